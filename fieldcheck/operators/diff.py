@@ -197,3 +197,14 @@ def mismatch_names(mismatches: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("mismatch_count"),
         F.concat_ws(",", F.array_sort(F.collect_set("property"))).alias("mismatches"),
     )
+
+
+def id_set_diff(expected: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ids on one side only: missing or extra. Copies fold before the shuffle."""
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("_s"))
+    folded = side(expected, 1).unionByName(side(observed, 2)).groupBy(*keys).agg(
+        F.max(F.col("_s") == 1).alias("_e"), F.max(F.col("_s") == 2).alias("_o")
+    )
+    return folded.filter(F.col("_e") != F.col("_o")).select(
+        *keys, F.when(F.col("_e"), "missing").otherwise("extra").alias("difference")
+    )

@@ -1 +1,42 @@
-"""Placeholder."""
+"""The flagship: is a candidate observation table equal to the trusted one and fit to publish?"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldcheck.operators import certify
+from fieldcheck.plans.observations import ATOL, DIGITS, RTOL
+from fieldcheck.plans.registry import Tables, query
+
+
+@query(
+    "certify_observations",
+    """WITH k AS (SELECT station_id, "timestamp", field_id, count(*) AS n FROM obs_cand GROUP BY 1, 2, 3),
+       c AS (SELECT (SELECT count(*) FROM k WHERE n > 1) AS dup, (SELECT count(*) FROM obs_cand WHERE "timestamp" < TIMESTAMP '2024-01-01' OR "timestamp" >= TIMESTAMP '2025-01-01') AS scope,
+               (SELECT count(*) FROM obs a FULL JOIN obs_cand b ON a.station_id = b.station_id AND a."timestamp" = b."timestamp" AND a.field_id = b.field_id
+                WHERE a.value IS DISTINCT FROM b.value) AS off,
+               (SELECT count(*) FROM (SELECT DISTINCT station_id FROM obs_cand) x FULL JOIN (SELECT DISTINCT station_id FROM obs) y ON x.station_id = y.station_id WHERE x.station_id IS NULL OR y.station_id IS NULL)
+               + (SELECT count(*) FROM (SELECT DISTINCT field_id FROM obs_cand) x FULL JOIN (SELECT DISTINCT field_id FROM obs) y ON x.field_id = y.field_id WHERE x.field_id IS NULL OR y.field_id IS NULL) AS ids)
+       SELECT 'contract_correctness' AS "constraint", CASE WHEN dup + scope + ids = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(3 AS BIGINT) AS checks FROM c
+       UNION ALL SELECT 'semantic_equivalence', CASE WHEN off + dup = 0 THEN 'PASS' ELSE 'FAIL' END, 1 FROM c
+       UNION ALL SELECT 'rerun_safety', 'PASS', 1 FROM c UNION ALL SELECT 'provenance_security', 'NOT_ASSESSED', 0 FROM c""",
+)
+def certify_observations(t: Tables) -> DataFrame:
+    """Candidate with defects, its exact rerun, and the events as reference."""
+    reference, candidate = t.obs(), t.obs_cand()
+    stations = reference.select(F.lit("station").alias("kind"), F.col("station_id").alias("id")).distinct()
+    fields = reference.select(F.lit("field").alias("kind"), F.col("field_id").alias("id")).distinct()
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    rows = certify.station_checks(
+        candidate,
+        t.obs_cand().repartition("station_id"),
+        reference,
+        stations.unionByName(fields),
+        day("2024-01-01"),
+        day("2024-12-31"),
+        ATOL,
+        RTOL,
+        DIGITS,
+    )
+    return certify.certify(rows)
