@@ -65,7 +65,7 @@ def field_id(name: Column, selectors: Column, mode: str = "sorted_typed") -> Col
     contract's order and quotes every value.
     """
     if mode == "sorted_typed":
-        ordered = F.array_sort(selectors)
+        ordered = F.sort_array(selectors)
         part = lambda s: F.concat(s["dimension"], F.lit("="), json_literal(s["value"], s["value_type"]))
     elif mode == "contract_order_text":
         ordered = selectors
@@ -127,9 +127,8 @@ STOP_WORDS = (
 
 def meaningful_tokens(text: Column) -> Column:
     """Distinct `[a-z0-9_]+` words longer than two characters that are no stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
-    keep = lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)
-    return F.array_distinct(F.filter(words, keep))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{3,}"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)))
 
 
 def safe_path(path: Column) -> Column:

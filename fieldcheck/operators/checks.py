@@ -106,7 +106,7 @@ def profile_tags(
         F.when(engineering, F.lit("engineering:rubric")),
         F.when(probe, F.lit("robustness:alternate-contract")),
     )
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(base, dataset_tags))))
+    return F.sort_array(F.array_distinct(F.array_compact(F.concat(base, dataset_tags))))
 
 
 def check_plan(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def gate_problems(profiles: DataFrame, plan: DataFrame, emitted: DataFrame) -> D
 def instance_problems(instances: DataFrame, catalog: DataFrame) -> DataFrame:
     """Declarative instances (instance_id, check_id, params map) against the trusted catalog."""
     roots = catalog.select("check_id", "roots")
-    lacking = F.array_sort(F.array_except("roots", F.map_keys("params")))
+    lacking = F.sort_array(F.array_except("roots", F.map_keys("params")))
     return instances.join(roots, "check_id", "left").select(
         "instance_id",
         "check_id",
@@ -325,8 +325,8 @@ QUARANTINE = "project/benchmarks/evaluation_check_candidates/"
 def plan_complete(data_class: Column, axes: Column, has_station: Column, compatible: Column, proposals: Column) -> Column:
     """Reasons a plan is not complete; empty text when it is."""
     grid = data_class == "regular_rectilinear_grid"
-    wanted = F.array_sort(F.array(F.lit("sample"), F.lit("y"), F.lit("x")))
-    valid = F.when(grid, (F.array_sort(F.array_distinct(axes)) == wanted) & ~has_station).otherwise(
+    wanted = F.sort_array(F.array(F.lit("sample"), F.lit("y"), F.lit("x")))
+    valid = F.when(grid, (F.sort_array(F.array_distinct(axes)) == wanted) & ~has_station).otherwise(
         (F.size(axes) == 0) & has_station
     )
     return flags(("incompatible", ~compatible), ("mapping_invalid", ~valid), ("open_proposals", proposals > 0))

@@ -195,7 +195,7 @@ def mismatch_names(mismatches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mismatching property names per row key; a key has at most one row per declared property."""
     return mismatches.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("mismatch_count"),
-        F.concat_ws(",", F.array_sort(F.collect_set("property"))).alias("mismatches"),
+        F.concat_ws(",", F.sort_array(F.collect_set("property"))).alias("mismatches"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,43 +109,38 @@ PRICES = (
     (r"^gemini-3\.1-pro-preview$", "gemini-3.1-pro-preview", "2.00", "0.20", "12.00", 200000, "2", "1.5"),
 )
 MONEY = "decimal(20,10)"
+# Prices are held as whole 1/10,000 USD per million tokens and multipliers as whole hundredths, so
+# a cost is exact integer arithmetic in units of 1e-12 USD.
+PRICE_UNITS, MULTIPLIER_UNITS, USD_UNITS = 10_000, 100, "0.000000000001"
 
 
 def price_calls(calls: DataFrame, prices: Sequence[tuple] = PRICES) -> DataFrame:
     """Cost of each call; unlisted models get the family 'unpriced' and no cost.
 
-    The price list is a handful of patterns, so it becomes one conditional expression per output
-    and no join. Callers pass their own list for further families.
+    The price list is a handful of patterns, so it becomes expressions and no join. Callers pass
+    their own list for further families.
     """
-    model = F.col("model")
-
-    def pick(index: int, kind: str, default: Column) -> Column:
-        out = default
-        for row in reversed(prices):
-            out = F.when(model.rlike(row[0]), F.lit(row[index]).cast(kind)).otherwise(out)
-        return out
-
-    none = F.lit(None)
-    rated = calls.withColumns(
+    index = F.lit(None).cast("int")
+    for i, row in reversed(list(enumerate(prices))):
+        index = F.when(F.col("model").rlike(row[0]), i + 1).otherwise(index)
+    whole = lambda column, units: F.array(*[F.lit(int(Decimal(str(r[column])) * units)).cast("long") for r in prices])
+    of = lambda values: F.element_at(values, F.col("_i"))
+    limit = of(whole(5, 1))
+    long_context = (limit > 0) & (F.col("input_tokens") > limit)
+    factor = lambda column: F.when(long_context, of(whole(column, MULTIPLIER_UNITS))).otherwise(MULTIPLIER_UNITS)
+    fresh = (F.col("input_tokens") - F.col("cached_input_tokens")) * of(whole(2, PRICE_UNITS))
+    cached = F.col("cached_input_tokens") * of(whole(3, PRICE_UNITS))
+    out = F.col("output_tokens") * of(whole(4, PRICE_UNITS))
+    units = (fresh + cached) * factor(6) + out * factor(7)
+    cost = (units.cast("decimal(20,0)") * F.lit(Decimal(USD_UNITS))).cast(MONEY)
+    families = F.array(*[F.lit(r[1]) for r in prices])
+    rated = calls.withColumn("_i", index)
+    return rated.withColumns(
         {
-            "family": pick(1, "string", F.lit("unpriced")),
-            "_in": pick(2, "decimal(8,4)", none.cast("decimal(8,4)")),
-            "_cached": pick(3, "decimal(8,4)", none.cast("decimal(8,4)")),
-            "_out": pick(4, "decimal(8,4)", none.cast("decimal(8,4)")),
-            "_limit": pick(5, "long", F.lit(0).cast("long")),
-            "_mi": pick(6, "decimal(4,2)", F.lit("1").cast("decimal(4,2)")),
-            "_mo": pick(7, "decimal(4,2)", F.lit("1").cast("decimal(4,2)")),
+            "family": F.when(F.col("_i").isNull(), "unpriced").otherwise(of(families)),
+            "cost_usd": F.when(F.col("_i").isNotNull(), cost),
         }
-    )
-    long_context = (F.col("_limit") > 0) & (F.col("input_tokens") > F.col("_limit"))
-    one = F.lit("1").cast("decimal(4,2)")
-    mi, mo = F.when(long_context, F.col("_mi")).otherwise(one), F.when(long_context, F.col("_mo")).otherwise(one)
-    count = lambda c: c.cast("decimal(12,0)")
-    fresh = count(F.col("input_tokens") - F.col("cached_input_tokens")) * F.col("_in") * mi
-    cached = count(F.col("cached_input_tokens")) * F.col("_cached") * mi
-    out = count(F.col("output_tokens")) * F.col("_out") * mo
-    cost = ((fresh + cached + out) / F.lit(1000000)).cast(MONEY)
-    return rated.withColumn("cost_usd", cost).drop("_in", "_cached", "_out", "_limit", "_mi", "_mo")
+    ).drop("_i")
 
 
 def usage_rollup(priced: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -371,7 +367,7 @@ def matched_measurements(records: DataFrame) -> DataFrame:
     timed_planned, warmup, warmup_planned). Each record's order is checked on its own row; equal
     texts within an experiment are seen from their minimum and maximum, which combine early.
     """
-    whole = F.array_sort("sample_order").eqNullSafe(F.sequence(F.lit(0).cast("long"), F.col("sample_count").cast("long") - 1))
+    whole = F.sort_array("sample_order").eqNullSafe(F.sequence(F.lit(0).cast("long"), F.col("sample_count").cast("long") - 1))
     full = (F.col("timed") == F.col("timed_planned")) & (F.col("warmup") == F.col("warmup_planned"))
     seen = records.select(
         "experiment_id",

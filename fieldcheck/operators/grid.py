@@ -241,7 +241,7 @@ def grid_blocks(cells: DataFrame, rows_per_block: int) -> DataFrame:
             F.min("y").alias("y0"),
             (F.max("y") - F.min("y") + 1).alias("height"),
             (F.max("x") + 1).alias("width"),
-            F.array_sort(F.collect_list(F.struct("y", "x", F.col("value").cast("float").alias("v")))).alias("_c"),
+            F.sort_array(F.collect_list(F.struct("y", "x", F.col("value").cast("float").alias("v")))).alias("_c"),
         )
         .select(
             "field_id", "sample", "y_block", "y0", "height", "width", F.transform("_c", lambda c: c["v"]).alias("cells")
@@ -260,7 +260,7 @@ def tensor_pack(cells: DataFrame, channels: Sequence[str]) -> DataFrame:
         F.count_distinct("field_id").alias("c"),
         (F.max("y") + 1).alias("h"),
         (F.max("x") + 1).alias("w"),
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct(order.alias("c"), "y", "x", F.col("value").cast("float").alias("v")))
         ).alias("_cells"),
     )

@@ -48,7 +48,7 @@ def extract_options(docs: DataFrame) -> DataFrame:
         options.alias("options"),
         F.size(options).alias("option_count"),
         schema["default"].alias("default_value"),
-        F.array_join(F.array_sort(kept), ",").alias("constraints"),
+        F.array_join(F.sort_array(kept), ",").alias("constraints"),
     )
 
 
@@ -121,7 +121,7 @@ def availability(rules: DataFrame) -> DataFrame:
     """Rule count and sorted distinct rule keys per dataset of rules(dataset, rule map)."""
     counts = rules.groupBy("dataset").agg(F.count(F.lit(1)).alias("rule_count"))
     keys = rules.select("dataset", F.explode(F.map_keys("rule")).alias("key")).distinct()
-    named = keys.groupBy("dataset").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("rule_keys"))
+    named = keys.groupBy("dataset").agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("rule_keys"))
     return counts.join(named, "dataset", "left").withColumn("rule_keys", F.coalesce("rule_keys", F.lit("")))
 
 

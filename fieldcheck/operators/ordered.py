@@ -79,11 +79,20 @@ def exact_quantiles(
         .groupBy(*keys, v.cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    up_to = running(folded, keys, ["_v"], {"_upto": F.col("_c")})
-    sizes = up_to.groupBy(*keys).agg(
-        F.max("_upto").alias("n"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum")
+    cut = sliced(folded, keys, ["_v"])
+    totals = cut.groupBy(*keys, SLICE).agg(F.sum("_c").alias("_t"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    every = Window.partitionBy(*keys)
+    earlier = every.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    spans = totals.select(
+        *keys,
+        SLICE,
+        F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_t").over(every).alias("n"),
+        F.min("_min").over(every).alias("minimum"),
+        F.max("_max").over(every).alias("maximum"),
     )
-    both = up_to.join(sizes, list(keys))
+    here = Window.partitionBy(*keys, SLICE).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = cut.join(spans, [*keys, SLICE]).withColumn("_upto", F.col("_before") + F.sum("_c").over(here))
     picks = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("n") - 1)

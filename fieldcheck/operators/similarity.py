@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from fieldcheck.session import pinned
 
 LEADERS = 4
+GROUP = ["targets", "path", "set_id"]
+BUCKET = ["targets", "path", "token"]
 
 
 def earliest_similar(proposals: DataFrame, threshold: float, leaders: int = LEADERS) -> DataFrame:
@@ -24,28 +26,22 @@ def earliest_similar(proposals: DataFrame, threshold: float, leaders: int = LEAD
     least `threshold`.
     """
     named = proposals.filter(F.size("tokens") > 0).select(
-        "seq", "targets", F.array_sort(F.array_distinct("tokens")).alias("tokens"), "paths"
+        "seq", "targets", "paths", F.sort_array(F.array_distinct("tokens")).alias("tokens")
     )
-    by_path = named.select(
-        "seq",
-        F.xxhash64("targets").alias("_x"),
-        "targets",
-        F.explode(F.array_distinct("paths")).alias("path"),
-        F.sha2(F.array_join("tokens", " "), 256).alias("sig"),
-    ).drop("_x")
-    group = ["targets", "path", "sig"]
-    first = by_path.groupBy(*group).agg(F.min("seq").alias("gid"))
-    sets = pinned(
-        named.select(F.sha2(F.array_join("tokens", " "), 256).alias("sig"), "tokens")
-        .groupBy("sig")
-        .agg(F.min("tokens").alias("tokens"))
+    signed = pinned(named.withColumn("_sig", F.sha2(F.array_join("tokens", " "), 256)))
+    keyed = signed.groupBy("_sig").agg(F.min("seq").alias("set_id"), F.min_by("tokens", "seq").alias("tokens"))
+    sets = pinned(keyed)
+    members = signed.select("seq", "targets", "paths", "_sig").join(sets.select("_sig", "set_id"), "_sig")
+    by_path = pinned(
+        members.select("seq", "targets", F.explode(F.array_distinct("paths")).alias("path"), "set_id")
     )
-    postings = pinned(first.join(prefixes(sets, threshold), "sig"))
-    similar = earliest_group(postings, sets, threshold, leaders)
-    best = first.join(similar, group, "left").select(
-        *group, "gid", F.least("gid", F.coalesce("other", F.col("gid"))).alias("_low"), "other"
+    sets = sets.select("set_id", "tokens")
+    first = by_path.groupBy(*GROUP).agg(F.min("seq").alias("gid"))
+    postings = pinned(first.join(prefixes(sets, threshold), "set_id"))
+    best = first.join(earliest_group(postings, sets, threshold, leaders), GROUP, "left").withColumn(
+        "_low", F.least("gid", F.coalesce("other", F.col("gid")))
     )
-    answers = by_path.join(best, group).select(
+    answers = by_path.join(best, GROUP).select(
         "seq",
         F.when(F.col("_low") < F.col("seq"), F.col("_low"))
         .when(F.col("other") < F.col("seq"), F.col("other"))
@@ -55,55 +51,60 @@ def earliest_similar(proposals: DataFrame, threshold: float, leaders: int = LEAD
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(sig, size, token) of the rarest tokens of each set, rarest by the number of sets holding them."""
-    each = sets.select("sig", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    """(set_id, size, token) of the rarest tokens of each set, rarest by the number of sets holding them."""
+    each = sets.select("set_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     spread = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rare = (
         each.join(spread, "token")
-        .groupBy("sig", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_t"))
+        .groupBy("set_id", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_t"))
     )
     keep = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    return rare.select("sig", "size", F.explode(F.slice("_t", F.lit(1), keep)["token"]).alias("token"))
+    return rare.select("set_id", "size", F.explode(F.slice("_t", F.lit(1), keep)["token"]).alias("token"))
 
 
 def earliest_group(postings: DataFrame, sets: DataFrame, threshold: float, leaders: int) -> DataFrame:
-    """Per (targets, path, sig): the smallest gid of another similar set that is smaller than its own."""
-    bucket = ["targets", "path", "token"]
-    place = F.row_number().over(Window.partitionBy(*bucket).orderBy("gid"))
+    """Per (targets, path, set): the smallest gid of another similar set that is smaller than its own."""
+    place = F.row_number().over(Window.partitionBy(*BUCKET).orderBy("gid"))
     front = pinned(postings.withColumn("_place", place).filter(F.col("_place") <= leaders + 1))
     ahead = front.filter(F.col("_place") <= leaders)
-    edge = front.filter(F.col("_place") == leaders + 1).select(*bucket, F.col("gid").alias("_edge"))
-    near = pinned(verified(candidates(postings, ahead, bucket, threshold), sets, threshold))
-    found = near.groupBy("targets", "path", "sig").agg(F.min("other").alias("other"))
+    edge = front.filter(F.col("_place") == leaders + 1).select(*BUCKET, F.col("gid").alias("_edge"))
+    near = pinned(verified(candidates(postings, ahead, threshold), sets, threshold))
+    found = near.groupBy(*GROUP).agg(F.min("other").alias("other"))
     # A bucket is exhausted for a set once its next member comes after the set's best answer.
+    deep = postings.join(edge, BUCKET)
     open_ = (
-        postings.join(edge, bucket)
-        .join(found, ["targets", "path", "sig"], "left")
+        deep.join(found, GROUP, "left")
         .withColumn("_bound", F.least("gid", F.coalesce("other", F.col("gid"))))
         .filter(F.col("_edge") < F.col("_bound"))
     )
-    later = postings.join(edge, bucket).filter(F.col("gid") >= F.col("_edge")).select(*postings.columns)
-    more = verified(candidates(open_, later, bucket, threshold, "_bound"), sets, threshold)
-    return near.unionByName(more).groupBy("targets", "path", "sig").agg(F.min("other").alias("other"))
+    later = deep.filter(F.col("gid") >= F.col("_edge")).select(*postings.columns)
+    more = verified(candidates(open_, later, threshold, "_bound"), sets, threshold)
+    return near.unionByName(more).groupBy(*GROUP).agg(F.min("other").alias("other"))
 
 
-def candidates(left: DataFrame, right: DataFrame, bucket: list[str], threshold: float, bound: str = "gid") -> DataFrame:
-    """Distinct (targets, path, sig, other sig) that share a rare token and fit in size."""
-    r = right.select(*bucket, F.col("sig").alias("sig2"), F.col("gid").alias("other"), F.col("size").alias("size2"))
+def candidates(left: DataFrame, right: DataFrame, threshold: float, bound: str = "gid") -> DataFrame:
+    """Distinct pairs of sets that share a rare token in a bucket and fit in size."""
+    r = right.select(*BUCKET, F.col("set_id").alias("set2"), F.col("gid").alias("other"), F.col("size").alias("size2"))
     fits = (F.col("size2") >= F.col("size") * threshold - 1e-9) & (F.col("size") >= F.col("size2") * threshold - 1e-9)
     return (
-        left.select(*bucket, "sig", "size", F.col(bound).alias("_b"))
-        .join(r, bucket)
+        left.select(*BUCKET, "set_id", "size", F.col(bound).alias("_b"))
+        .join(r, BUCKET)
         .filter((F.col("other") < F.col("_b")) & fits)
-        .select("targets", "path", "sig", "sig2", "other")
+        .select(*GROUP, "set2", "other")
         .distinct()
     )
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    a = sets.select("sig", F.col("tokens").alias("_a"))
-    b = sets.select(F.col("sig").alias("sig2"), F.col("tokens").alias("_b"))
+    """Pairs whose whole token sets reach the threshold.
+
+    Pairs are few bytes but much work, so they are spread by count before their tokens join them.
+    """
+    slots = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(slots, "set_id", "set2")
+    a = sets.select("set_id", F.col("tokens").alias("_a"))
+    b = sets.select(F.col("set_id").alias("set2"), F.col("tokens").alias("_b"))
     shared = F.size(F.array_intersect("_a", "_b"))
     jaccard = shared / (F.size("_a") + F.size("_b") - shared)
-    return pairs.join(a, "sig").join(b, "sig2").filter(jaccard >= threshold).select("targets", "path", "sig", "other")
+    return pairs.join(a, "set_id").join(b, "set2").filter(jaccard >= threshold).select(*GROUP, "other")

@@ -58,7 +58,7 @@ TOKENS_SQL = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-
 def tokens(t: Tables) -> DataFrame:
     k = columns.meaningful_tokens(F.col("text"))
     return t.read("documents").select("doc_id", k.alias("_k")).select(
-        "doc_id", F.size("_k").alias("n_tokens"), F.md5(F.array_join(F.array_sort("_k"), ",")).alias("tokens_md5")
+        "doc_id", F.size("_k").alias("n_tokens"), F.md5(F.array_join(F.sort_array("_k"), ",")).alias("tokens_md5")
     )
 
 
