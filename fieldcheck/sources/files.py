@@ -9,26 +9,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldcheck.session import pinned
+
 CHUNK_BYTES = 8 << 20
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, relative_path, size_bytes) of every file below root, without reading contents."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).select("path", F.col("length").alias("size_bytes"))
-    return with_relative_path(files, root)
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Direct entries of each folder, with the folder's own scheme and host in front."""
+    from pyarrow import fs
 
+    for batch in batches:
+        rows = []
+        for folder in batch["path"]:
+            uri = _uri(folder)
+            store, name = fs.FileSystem.from_uri(uri)
+            head = uri.rstrip("/").removesuffix(name.rstrip("/"))
+            for e in store.get_file_info(fs.FileSelector(name)):
+                rows.append((head + e.path, e.size or 0, e.type == fs.FileType.Directory))
+        yield pd.DataFrame(rows, columns=["path", "size_bytes", "is_folder"])
 
-def with_relative_path(files: DataFrame, root: str) -> DataFrame:
-    base = root.split(":", 1)[-1].rstrip("/")
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    return files.select(
-        "path",
-        F.substring(plain, F.lit(len(base) + 2), F.length(plain)).alias("relative_path"),
-        "size_bytes",
-    )
+
+def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """(path, relative_path, size_bytes) of every file below root, without reading contents.
+
+    Folders are listed in tasks, one round per level of depth. Unlike a file source this also sees
+    empty files and files whose name starts with an underscore or a dot. `pattern` is a glob on the
+    file name.
+    """
+    spread = spark.sparkContext.defaultParallelism
+    folders = spark.sql("SELECT :root AS path", args={"root": root.rstrip("/")})
+    out = None
+    while True:
+        level = pinned(
+            folders.repartition(spread, "path").mapInPandas(_entries, "path string, size_bytes long, is_folder boolean")
+        )
+        files = level.filter(~F.col("is_folder")).select("path", "size_bytes")
+        out = files if out is None else out.unionByName(files)
+        folders = level.filter("is_folder").select("path")
+        if folders.isEmpty():
+            break
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    whole, base = plain(F.col("path")), plain(F.lit(root.rstrip("/")))
+    listed = out.select("path", F.substring(whole, F.length(base) + 2, F.length(whole)).alias("relative_path"), "size_bytes")
+    if pattern is None:
+        return listed
+    body = pattern.replace(".", r"\.").replace("*", ".*").replace("?", ".")
+    return listed.filter(F.element_at(F.split("path", "/"), -1).rlike(f"^{body}$"))
 
 
 def _uri(path: str) -> str:
