@@ -164,28 +164,26 @@ def preference_problems(preferences: DataFrame) -> DataFrame:
 def date_option_violations(ranges: DataFrame, options: DataFrame) -> DataFrame:
     """Year, month and day texts of a date range that the inventory does not list.
 
-    Days are folded to the distinct texts per contract before they meet the options. A range that
-    ends before it starts is reported as such.
+    Days are folded to the distinct texts within the row of their range before they meet the
+    options. A range that ends before it starts is reported as such.
     """
     good = ranges.filter(F.col("end_date") >= F.col("start_date"))
-    days = good.select("contract", "dataset", F.explode(F.sequence("start_date", "end_date")).alias("_day"))
-    texts = (
-        days.select(
-            "contract",
-            "dataset",
-            F.date_format("_day", "yyyy").alias("year"),
-            F.date_format("_day", "MM").alias("month"),
-            F.date_format("_day", "dd").alias("day"),
-        )
-        .unpivot(["contract", "dataset"], ["year", "month", "day"], "dimension", "value")
-        .distinct()
+    days = F.sequence("start_date", "end_date")
+
+    def entries(dimension: str, pattern: str) -> Column:
+        values = F.array_distinct(F.transform(days, lambda d: F.date_format(d, pattern)))
+        return F.transform(values, lambda v: F.struct(F.lit(dimension).alias("dimension"), v.alias("value")))
+
+    every = F.concat(entries("year", "yyyy"), entries("month", "MM"), entries("day", "dd"))
+    texts = good.select("contract", "dataset", F.explode(every).alias("_e")).select(
+        "contract", "dataset", "_e.dimension", "_e.value"
     )
     picked = texts.select(
         "dataset", F.col("contract").alias("location"), F.lit("scope").alias("kind"), "dimension", "value"
     )
     outside = option_violations(picked, options).select(
         F.col("location").alias("contract"), "dimension", "value", "reason"
-    )
+    ).distinct()
     reversed_ = ranges.filter(F.col("end_date") < F.col("start_date")).select(
         "contract",
         F.lit("date_range").alias("dimension"),

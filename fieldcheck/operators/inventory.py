@@ -52,31 +52,50 @@ def extract_options(docs: DataFrame) -> DataFrame:
     )
 
 
+def _children(path: Column, node: Column) -> Column:
+    """Direct children of a variant as (path, key, node, open) structs; none for a scalar."""
+    child = lambda p, k, v: F.struct(p.alias("path"), k.alias("key"), v.alias("node"), F.lit(True).alias("open"))
+    named = F.transform(
+        F.map_entries(F.try_variant_get(node, "$", "map<string,variant>")),
+        lambda e: child(F.concat(path, F.lit("."), e["key"]), e["key"], e["value"]),
+    )
+    listed = F.transform(
+        F.try_variant_get(node, "$", "array<variant>"),
+        lambda v, i: child(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), F.lit(None).cast("string"), v),
+    )
+    return F.coalesce(named, listed)
+
+
 def json_nodes(docs: DataFrame, doc: str, json: str, depth: int = 8) -> DataFrame:
     """Every named or numbered node of JSON documents as (doc, path, key, kind, node variant).
 
-    One lateral variant_explode per nesting level. Containers left below `depth` come out with the
-    kind 'too_deep', so a deeper document is seen instead of being cut off.
+    A document is parsed and read once: each step keeps the nodes it has and adds the children of
+    the ones not opened yet. Containers left below `depth` come out with the kind 'too_deep', so a
+    deeper document is seen instead of being cut off.
     """
-    spark = docs.sparkSession
-    level = docs.select(F.col(doc).alias("doc"), F.lit("$").alias("path"), F.parse_json(json).alias("node"))
-    out = None
-    for n in range(1, depth + 1):
-        inner = spark.sql(
-            "SELECT p.doc, concat(p.path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') "
-            "ELSE concat('.', e.key) END) AS path, e.key AS key, e.value AS node "
-            "FROM {level} p, LATERAL variant_explode(p.node) AS e",
-            level=level,
+    rows = docs.select(
+        F.col(doc).alias("doc"),
+        F.struct(
+            F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.parse_json(json).alias("node"), F.lit(True).alias("open")
+        ).alias("n"),
+    )
+    n = F.col("n")
+    for _ in range(depth):
+        shut = F.struct(n["path"].alias("path"), n["key"].alias("key"), n["node"].alias("node"), F.lit(False).alias("open"))
+        below = F.when(n["open"], _children(n["path"], n["node"]))
+        rows = rows.select(
+            "doc", F.explode(F.when(below.isNotNull(), F.concat(F.array(shut), below)).otherwise(F.array(shut))).alias("n")
         )
-        kind = F.schema_of_variant("node")
-        container = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        name = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise("scalar")
-        if n == depth:
-            name = F.when(container, "too_deep").otherwise(name)
-        found = inner.select("doc", "path", "key", name.alias("kind"), "node")
-        out = found if out is None else out.unionByName(found)
-        level = inner.filter(container).select("doc", "path", "node")
-    return out
+    kind = F.schema_of_variant("node")
+    container = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    name = (
+        F.when(F.col("open") & container, "too_deep")
+        .when(kind.startswith("OBJECT"), "object")
+        .when(kind.startswith("ARRAY"), "array")
+        .otherwise("scalar")
+    )
+    nodes = rows.select("doc", "n.path", "n.key", "n.node", "n.open").filter(F.col("path") != "$")
+    return nodes.select("doc", "path", "key", name.alias("kind"), "node")
 
 
 def sensitive_keys(docs: DataFrame, doc: str, json: str, depth: int = 8) -> DataFrame:

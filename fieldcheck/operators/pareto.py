@@ -24,6 +24,7 @@ from fieldcheck.operators.ordered import exact_quantiles, ranked, running
 from fieldcheck.session import pinned
 
 SMALL_RUN = 2000
+MERGE_ROWS = 100_000
 CHUNK = 500
 KEY = ["run_id", "node_id"]
 
@@ -155,19 +156,23 @@ def dominators(points: DataFrame, objectives: Sequence[Objective]) -> DataFrame:
     """(run_id, members) chunks of bounded size that decide every dominance question of the run."""
     names = ["run_id", *[o.name for o in objectives]]
     slim = points.select(*names)
-    local = slim.mapInPandas(strongest(objectives, names), slim.schema)
-    merged = local.repartition("run_id").mapInPandas(strongest(objectives, names), slim.schema)
-    chunk = F.pmod(F.xxhash64(*names), F.lit(64))
-    counted = merged.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
-    pieces = F.ceil(F.col("_n") / CHUNK)
+    local = pinned(slim.mapInPandas(strongest(objectives, names), slim.schema))
+    merged = split_runs(local, names, MERGE_ROWS).repartition("run_id", "_piece").drop("_piece")
+    best = pinned(merged.mapInPandas(strongest(objectives, names), slim.schema))
     return (
-        merged.join(counted, "run_id")
-        .groupBy("run_id", F.pmod(chunk, pieces).alias("_chunk"))
-        .agg(F.collect_list(F.struct(*[o.name for o in objectives])).alias("members"))
+        split_runs(best, names, CHUNK)
+        .groupBy("run_id", "_piece")
+        .agg(F.collect_list(F.struct(*names[1:])).alias("members"))
         .select("run_id", "members")
     )
 
 
+def split_runs(rows: DataFrame, names: Sequence[str], size: int) -> DataFrame:
+    """Adds `_piece`, which cuts the rows of a run by hash into pieces of about `size` rows."""
+    counted = rows.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / size).alias("_pieces"))
+    return rows.join(counted, "run_id").select(*names, F.pmod(F.xxhash64(*names), F.col("_pieces")).alias("_piece"))
+
+
 def dominated_flags(points: DataFrame, objectives: Sequence[Objective]) -> DataFrame:
     """Adds `dominated` to (run_id, node_id, objectives...): some node of the run beats it beyond noise."""
     hit = F.exists("members", lambda m: dominates(objectives, lambda n: m[n], F.col))
@@ -185,7 +190,8 @@ def pareto_fronts(points: DataFrame, objectives: Sequence[Objective], small_run:
     names = [o.name for o in objectives]
     schema = points.select(*KEY).schema.add("front", "long")
     together = lambda df: df.groupBy("run_id").applyInPandas(peel(objectives), schema)
-    small, left, more = sized(points.select(*KEY, *names, F.lit(0).cast("long").alias("_base")), small_run)
+    given = pinned(points.select(*KEY, *names, F.lit(0).cast("long").alias("_base")))
+    small, left, more = sized(given, small_run)
     out, layer = together(small), 0
     while more:
         layer += 1
@@ -232,7 +238,7 @@ def pareto_archive(nodes: DataFrame, objectives: Sequence[Objective], small_run:
     number follows from the value ranges and not from the length of a run.
     """
     names = [o.name for o in objectives]
-    small, large, more = sized(nodes.select(*KEY, "seq", *names), small_run)
+    small, large, more = sized(pinned(nodes.select(*KEY, "seq", *names)), small_run)
     schema = nodes.select(*KEY).schema.add("admitted", "boolean").add("in_archive", "boolean")
     out = small.groupBy("run_id").applyInPandas(fold_archive(objectives), schema)
     return out.unionByName(archive_of_large(large, objectives)) if more else out

@@ -104,10 +104,12 @@ def contract_select(cells: DataFrame, contract: DataFrame, inventory: DataFrame)
 
     `contract` has one row per (dataset, variable, level) with start_date, end_date, times,
     north, west, south and east. Selection is one equi-join on (dataset, variable, level) whose
-    residual tests time and area; units missing on the cells come from `inventory`.
+    residual tests time and area. Units missing on the cells come from `inventory`; they join the
+    contract, so the cells pass one join only.
     """
-    want = contract.select(
-        "dataset", "variable", "level", "start_date", "end_date", "times", "north", "west", "south", "east"
+    units = inventory.select("variable", F.col("units").alias("_units"))
+    want = contract.join(units, "variable", "left").select(
+        "dataset", "variable", "level", "start_date", "end_date", "times", "north", "west", "south", "east", "_units"
     ).filter(
         area_problem(F.col("north"), F.col("west"), F.col("south"), F.col("east")).isin("ok", "dateline")
     )
@@ -127,8 +129,7 @@ def contract_select(cells: DataFrame, contract: DataFrame, inventory: DataFrame)
             F.lit("number").alias("value_type"),
         )
     )
-    units = inventory.select("variable", F.col("units").alias("_units"))
-    return chosen.join(units, "variable", "left").select(
+    return chosen.select(
         "dataset",
         "station_id",
         "timestamp",

@@ -36,7 +36,11 @@ def obs_scan(t: Tables) -> DataFrame:
        WHERE station_id = '8' AND field_id = 'error'""",
 )
 def station_scan(t: Tables) -> DataFrame:
-    return station.station_scan(t.obs(), "8", "error")
+    """The workload a published table is measured with: one station and field, pushed to storage."""
+    path = scratch(t.spark, "published")
+    write_observations(t.obs(), path)
+    found = station.station_scan(scan_observations(t.spark, path), "8", "error")
+    return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query(
@@ -205,7 +209,7 @@ def select_area(t: Tables) -> DataFrame:
          AND longitude BETWEEN west AND east""",
 )
 def contract_select(t: Tables) -> DataFrame:
-    kinds = t.cells().select("variable").distinct()
+    kinds = t.contract().select("variable").distinct()
     units = F.when(F.col("variable") == "temperature", "K").when(F.col("variable") == "geopotential", "m2 s-2").otherwise("1")
     inventory = kinds.select("variable", units.alias("units"))
     return selection.contract_select(t.cells(), t.contract(), inventory)

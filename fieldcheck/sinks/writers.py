@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldcheck.operators.station import KEY, key_quality
 from fieldcheck.session import shared_folder
 from fieldcheck.sources.files import hash_files, list_files, tree_hash
 
@@ -27,9 +28,14 @@ def canonical_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def utc_timestamps(spark: SparkSession) -> None:
+    """Timestamps as Parquet instants with a UTC mark instead of the INT96 default."""
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+
+
 def write_observations(df: DataFrame, path: str, compression: str = "zstd") -> None:
     """Canonical table as Parquet; an existing target is refused."""
-    df.sparkSession.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    utc_timestamps(df.sparkSession)
     canonical_columns(df).write.option("compression", compression).mode("errorifexists").parquet(path)
 
 
@@ -62,9 +68,33 @@ def publish(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
 
     Spark's job committer is the staging step; the target must not exist.
     """
+    utc_timestamps(df.sparkSession)
     df.write.option("compression", compression).mode("errorifexists").parquet(path)
-    files = list_files(df.sparkSession, path, "*.parquet")
-    return tree_hash(hash_files(files)).select(
+    return receipt(df.sparkSession, path)
+
+
+Step = Callable[[DataFrame], DataFrame]
+
+
+def materialise(source: DataFrame, steps: Sequence[Step], path: str) -> DataFrame:
+    """Applies the steps in order, checks the canonical keys and publishes the result.
+
+    The table is written once; its gate reads the written rows, and only a table that passes gets a
+    receipt.
+    """
+    for step in steps:
+        source = source.transform(step)
+    write_observations(source, path)
+    quality = key_quality(source.sparkSession.read.parquet(path)).first()
+    if quality["empty"] or quality["null_key_rows"] or quality["duplicate_keys"]:
+        raise ValueError(f"not fit to publish: {quality.asDict()}")
+    return receipt(source.sparkSession, path)
+
+
+def receipt(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes, files and content hash of a written table."""
+    hashed = hash_files(list_files(spark, path, "*.parquet"))
+    return tree_hash(hashed).select(
         F.lit("parquet").alias("storage_format"),
         "size_bytes",
         F.col("files").alias("file_count"),

@@ -110,3 +110,12 @@ def test_scan_pushes_filter_and_columns(spark, tmp_path):
     df = readers.scan_observations(spark, str(tmp_path / "o"), ("station_id", "value"), F.col("station_id") == "s")
     plan = df._jdf.queryExecution().toString()
     assert "EqualTo(station_id,s)" in plan and "ReadSchema: struct<station_id:string,value:double>" in plan
+
+
+def test_materialise_publishes_only_fit_tables(spark, tmp_path):
+    steps = [lambda df: df.withColumn("value", F.col("value") * 2), lambda df: df.filter("value > 0")]
+    receipt = writers.materialise(station(spark), steps, str(tmp_path / "good")).first()
+    assert receipt["file_count"] == 1 and spark.read.parquet(str(tmp_path / "good")).first()["value"] == 3.0
+    twice = [lambda df: df.unionByName(df)]
+    with pytest.raises(ValueError, match="duplicate_keys"):
+        writers.materialise(station(spark), twice, str(tmp_path / "bad"))
