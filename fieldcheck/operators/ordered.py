@@ -9,6 +9,7 @@ added afterwards.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) ->
     return pinned(df.repartitionByRange(*by).withColumn(SLICE, F.spark_partition_id()))
 
 
+def join_slices(rows: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds the columns of the one row per (key, slice) to the rows of that slice; null is a key too."""
+    on = [*keys, SLICE]
+    right = spans.withColumnsRenamed({k: f"_j_{k}" for k in on})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in on])
+    return rows.join(right, same).drop(*[f"_j_{k}" for k in on])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -49,7 +58,7 @@ def running(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     scanned = cut.select("*", *[F.sum(c).over(here).alias(f"_r_{n}") for n, c in sums.items()])
-    joined = scanned.join(before, [*keys, SLICE])
+    joined = join_slices(scanned, before, keys)
     return joined.select(
         *df.columns, *[(F.col(f"_b_{n}") + F.col(f"_r_{n}")).alias(n) for n in sums]
     )
@@ -92,7 +101,7 @@ def exact_quantiles(
         F.max("_max").over(every).alias("maximum"),
     )
     here = Window.partitionBy(*keys, SLICE).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = cut.join(spans, [*keys, SLICE]).withColumn("_upto", F.col("_before") + F.sum("_c").over(here))
+    both = join_slices(cut, spans, keys).withColumn("_upto", F.col("_before") + F.sum("_c").over(here))
     picks = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("n") - 1)

@@ -26,6 +26,7 @@ from fieldcheck.session import pinned
 SMALL_RUN = 2000
 MERGE_ROWS = 100_000
 CHUNK = 500
+COMPACT_EVERY = 20
 KEY = ["run_id", "node_id"]
 
 
@@ -201,6 +202,8 @@ def pareto_fronts(points: DataFrame, objectives: Sequence[Objective], small_run:
         if not stuck.isEmpty():
             raise RuntimeError("Pareto layering made no progress.")
         out = out.unionByName(front.select(*KEY, F.lit(layer).cast("long").alias("front")))
+        if layer % COMPACT_EVERY == 0:
+            out = pinned(out)
         rest = judged.filter("dominated").select(*KEY, *names, F.lit(layer).cast("long").alias("_base"))
         small, left, more = sized(rest, small_run)
         out = out.unionByName(together(small))
@@ -256,7 +259,7 @@ def archive_of_large(nodes: DataFrame, objectives: Sequence[Objective]) -> DataF
     state = nodes.select("run_id").distinct().select(
         "run_id", F.array().cast(f"array<{kind}>").alias("members"), F.lit(None).cast(kind).alias("new")
     )
-    admitted = None
+    seen, rounds = None, 0
     while True:
         passes = F.forall("members", lambda m: any_sign(objectives, F.col, lambda n: m[n], 1))
         after = F.col("new").isNull() | (F.col("seq") > F.col("new.seq"))
@@ -271,18 +274,20 @@ def archive_of_large(nodes: DataFrame, objectives: Sequence[Objective]) -> DataF
                 F.col("next").alias("new"),
             )
         )
-        done = step.filter(F.col("new").isNull())
-        finished = done.select("run_id", F.explode_outer("members").alias("m")).select("run_id", F.col("m.node_id").alias("node_id"))
-        log = step.filter(F.col("new").isNotNull()).select("run_id", F.col("new.node_id").alias("node_id"))
-        admitted = (log.withColumn("kind", F.lit("a")) if admitted is None else admitted.unionByName(log.withColumn("kind", F.lit("a")))).unionByName(
-            finished.withColumn("kind", F.lit("f"))
-        )
-        state = step.filter(F.col("new").isNotNull())
+        new = F.col("new")
+        log = step.filter(new.isNotNull()).select("run_id", new["node_id"].alias("node_id"), F.lit("admitted").alias("kind"))
+        held = step.filter(new.isNull()).select("run_id", F.explode("members").alias("_m"), F.lit("held").alias("kind"))
+        log = log.unionByName(held.select("run_id", F.col("_m.node_id").alias("node_id"), "kind"))
+        seen = log if seen is None else seen.unionByName(log)
+        rounds += 1
+        if rounds % COMPACT_EVERY == 0:
+            seen = pinned(seen)
+        state = step.filter(new.isNotNull())
         if state.isEmpty():
             break
-    flags_ = admitted.groupBy(*KEY).agg(F.max(F.col("kind") == "a").alias("_a"), F.max(F.col("kind") == "f").alias("_f"))
+    kinds = seen.groupBy(*KEY).agg(F.max(F.col("kind") == "admitted").alias("_a"), F.max(F.col("kind") == "held").alias("_f"))
     no = F.lit(False)
-    return nodes.join(flags_, KEY, "left").select(
+    return nodes.join(kinds, KEY, "left").select(
         *KEY, F.coalesce("_a", no).alias("admitted"), F.coalesce("_f", no).alias("in_archive")
     )
 

@@ -172,13 +172,13 @@ def e1_runs(t: Tables) -> DataFrame:
 
 @query(
     "e1_summary",
-    f"""WITH {E1} SELECT dataset, role, count(*) FILTER (run_success) AS successful_runs, count(*) AS total_runs, round(avg(mandatory_recall), 6) AS mean_recall,
+    f"""WITH {E1} SELECT dataset, role, count(*) FILTER (run_success) AS successful_runs, count(*) AS total_runs, round(avg(mandatory_recall), 12) AS mean_recall,
           count(*) FILTER (planning_complete) AS planning_complete_runs, count(*) FILTER (gap_count > 0) AS gap_runs,
           round(count(*) FILTER (run_success) / count(*), 9) AS success_rate FROM runs GROUP BY 1, 2""",
 )
 def e1_summary(t: Tables) -> DataFrame:
     out = experiments.e1_summary(e1_runs(t))
-    return out.withColumns({"mean_recall": F.round("mean_recall", 6), "success_rate": F.round("success_rate", 9)})
+    return out.withColumns({"mean_recall": F.round("mean_recall", 12), "success_rate": F.round("success_rate", 9)})
 
 
 @query(

@@ -46,3 +46,11 @@ def test_missing_values_are_left_out(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (4.0,)], "value double")
     row = exact_quantiles(df, [], "value", {"median": 0.5}).first()
     assert (row["n"], row["median"]) == (2, 2.5)
+
+
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 5.0), (None, 2, 7.0), ("a", 3, 1.0)], "key string, seq int, value double")
+    got = {(r["key"], r["seq"]): r["rank"] for r in ranked(df, ["key"], ["seq"]).collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("a", 3): 1}
+    q = {r["key"]: r["m"] for r in exact_quantiles(df, ["key"], "value", {"m": 0.5}).collect()}
+    assert q == {None: 6.0, "a": 1.0}
