@@ -168,13 +168,17 @@ def date_option_violations(ranges: DataFrame, options: DataFrame) -> DataFrame:
     options. A range that ends before it starts is reported as such.
     """
     good = ranges.filter(F.col("end_date") >= F.col("start_date"))
-    days = F.sequence("start_date", "end_date")
-
-    def entries(dimension: str, pattern: str) -> Column:
-        values = F.array_distinct(F.transform(days, lambda d: F.date_format(d, pattern)))
-        return F.transform(values, lambda v: F.struct(F.lit(dimension).alias("dimension"), v.alias("value")))
-
-    every = F.concat(entries("year", "yyyy"), entries("month", "MM"), entries("day", "dd"))
+    years = F.transform(
+        F.sequence(F.year("start_date"), F.year("end_date")), lambda y: F.lpad(y.cast("string"), 4, "0")
+    )
+    each_month = F.sequence(F.trunc("start_date", "MM"), F.col("end_date"), F.expr("INTERVAL 1 MONTH"))
+    months = F.array_distinct(F.transform(each_month, lambda d: F.date_format(d, "MM")))
+    numbers = F.array_distinct(F.transform(F.sequence("start_date", "end_date"), lambda d: F.day(d)))
+    days = F.transform(numbers, lambda d: F.lpad(d.cast("string"), 2, "0"))
+    entries = lambda name, values: F.transform(
+        values, lambda v: F.struct(F.lit(name).alias("dimension"), v.alias("value"))
+    )
+    every = F.concat(entries("year", years), entries("month", months), entries("day", days))
     texts = good.select("contract", "dataset", F.explode(every).alias("_e")).select(
         "contract", "dataset", "_e.dimension", "_e.value"
     )

@@ -67,11 +67,11 @@ def _children(path: Column, node: Column) -> Column:
 
 
 def json_nodes(docs: DataFrame, doc: str, json: str, depth: int = 8) -> DataFrame:
-    """Every named or numbered node of JSON documents as (doc, path, key, kind, node variant).
+    """Every named or numbered node of JSON documents as (doc, path, key, node variant, too_deep).
 
     A document is parsed and read once: each step keeps the nodes it has and adds the children of
-    the ones not opened yet. Containers left below `depth` come out with the kind 'too_deep', so a
-    deeper document is seen instead of being cut off.
+    the ones not opened yet. Containers left unopened at `depth` are marked too_deep, so a deeper
+    document is seen instead of being cut off.
     """
     rows = docs.select(
         F.col(doc).alias("doc"),
@@ -80,22 +80,15 @@ def json_nodes(docs: DataFrame, doc: str, json: str, depth: int = 8) -> DataFram
         ).alias("n"),
     )
     n = F.col("n")
+    nothing = F.array().cast("array<struct<path:string,key:string,node:variant,open:boolean>>")
     for _ in range(depth):
         shut = F.struct(n["path"].alias("path"), n["key"].alias("key"), n["node"].alias("node"), F.lit(False).alias("open"))
-        below = F.when(n["open"], _children(n["path"], n["node"]))
-        rows = rows.select(
-            "doc", F.explode(F.when(below.isNotNull(), F.concat(F.array(shut), below)).otherwise(F.array(shut))).alias("n")
-        )
+        below = F.coalesce(F.when(n["open"], _children(n["path"], n["node"])), nothing)
+        rows = rows.select("doc", F.explode(F.concat(F.array(shut), below)).alias("n"))
     kind = F.schema_of_variant("node")
-    container = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    name = (
-        F.when(F.col("open") & container, "too_deep")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .otherwise("scalar")
-    )
+    deeper = F.when(F.col("open"), kind.startswith("OBJECT") | kind.startswith("ARRAY")).otherwise(False)
     nodes = rows.select("doc", "n.path", "n.key", "n.node", "n.open").filter(F.col("path") != "$")
-    return nodes.select("doc", "path", "key", name.alias("kind"), "node")
+    return nodes.select("doc", "path", "key", "node", deeper.alias("too_deep"))
 
 
 def sensitive_keys(docs: DataFrame, doc: str, json: str, depth: int = 8) -> DataFrame:
@@ -104,15 +97,15 @@ def sensitive_keys(docs: DataFrame, doc: str, json: str, depth: int = 8) -> Data
     text = F.to_json("node")
     empty = text.isin("null", '""', "[]", "{}")
     return nodes.filter(
-        (F.col("kind") == "too_deep") | (F.coalesce(F.col("key"), F.lit("")).rlike(SENSITIVE_KEY) & ~empty)
+        F.col("too_deep") | (F.coalesce(F.col("key"), F.lit("")).rlike(SENSITIVE_KEY) & ~empty)
     ).select(
-        "doc", "path", F.when(F.col("kind") == "too_deep", "too_deep").otherwise("sensitive").alias("finding")
+        "doc", "path", F.when(F.col("too_deep"), "too_deep").otherwise("sensitive").alias("finding")
     )
 
 
 def layout_tables(docs: DataFrame, doc: str, json: str, depth: int = 8) -> DataFrame:
     """Nested nodes of type 'table' with a text id, and how many rows of content they carry."""
-    nodes = json_nodes(docs, doc, json, depth).filter(F.col("kind") == "object")
+    nodes = json_nodes(docs, doc, json, depth)
     kind = F.try_variant_get("node", "$.type", "string")
     ident = F.try_variant_get("node", "$.id", "string")
     rows = F.coalesce(F.size(F.try_variant_get("node", "$.content", "array<variant>")), F.lit(0))
