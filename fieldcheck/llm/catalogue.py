@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldcheck.llm import (  # noqa: F401
     bpe,
     chat_format,
+    decontam,
+    language_id,
+    secret_ledger,
 )
 from fieldcheck.llm.common import ORACLES, QUERIES
 
