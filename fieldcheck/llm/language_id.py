@@ -187,9 +187,14 @@ def _scores(entropies: np.ndarray, scale: float) -> np.ndarray:
 # --- on Spark -----------------------------------------------------------------------------------
 
 
+def id_crc(doc_id: str | Column = "doc_id") -> Column:
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")))
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Not to be learned from: crc32 of the id as text is 1 modulo 3; a null id counts as an empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % 3 == 1
+    return id_crc(doc_id) % 3 == 1
 
 
 def train(docs: DataFrame) -> Models | None:

@@ -120,8 +120,8 @@ class BlobLedger:
         """
         held = addressed(versions)
         todo = self.unseen(held.drop("text")).hint("shuffle_hash")
-        same = [held[c].eqNullSafe(todo[c]) for c in ("path", "version")]
-        fresh = held.join(todo, [held["blob"] == todo["blob"], *same]).select(todo["blob"], "text", "lacking")
+        same = F.expr("h.blob = t.blob AND h.path <=> t.path AND h.version <=> t.version")
+        fresh = held.alias("h").join(todo.alias("t"), same).select("t.blob", "h.text", "t.lacking")
         rules = self.rules
 
         def work(batch: pa.RecordBatch):
@@ -197,9 +197,9 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def _sql_spans(kind: str, no: int, pattern: str, least: int, group: int) -> str:
     """Spans of one kind in DuckDB: the pieces between matches and the matches give the starts."""
-    return f"""SELECT doc_id, unnest(list_filter(list_transform(range(1, len(m) + 1), i -> {{'start':
-      CAST(list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0) AS BIGINT),
-      'no': {no}, 'kind': '{kind}', 'size': length(m[i]), 'key': length(k[i])}}), s -> s.key >= {least})) AS s
+    return f"""SELECT doc_id, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'start':
+      CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+      'no': {no}, 'kind': '{kind}', 'size': length(m[i]), 'key': length(k[i])}}), lambda s: s.key >= {least})) AS s
     FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS k,
       string_split_regex(t, '{pattern}') AS g FROM texts)"""
 
@@ -219,12 +219,12 @@ def _oracle() -> str:
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 spans AS ({spans}),
-rows AS (SELECT doc_id, s.no AS no, s.kind AS kind, s.start AS at,
+rows AS (SELECT doc_id, s.no AS no, s.kind AS kind, s.start AS pos,
   s.kind || ':' || s.start || ':' || (s.start + s.size) AS span FROM spans)
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
   count(*) FILTER (kind = 'hex') AS n_hex,
-  sha256(coalesce(string_agg(span, ',' ORDER BY at, no) FILTER (kind IN ('assign', 'access', 'hex')), '')) AS base_sha256,
-  coalesce(string_agg(span, ',' ORDER BY at, no), '') AS spans
+  sha256(coalesce(string_agg(span, ',' ORDER BY pos, no) FILTER (kind IN ('assign', 'access', 'hex')), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY pos, no), '') AS spans
 FROM documents d LEFT JOIN rows r ON d.doc_id = r.doc_id GROUP BY d.doc_id
 """
 
