@@ -12,6 +12,7 @@ from fieldcheck.llm import (  # noqa: F401
     decontam,
     language_id,
     secret_ledger,
+    tile_join,
 )
 from fieldcheck.llm.common import ORACLES, QUERIES
 
