@@ -11,6 +11,8 @@ from fieldcheck.llm import (  # noqa: F401
     chat_format,
     decontam,
     language_id,
+    license_index,
+    quality_rules,
     secret_ledger,
     tile_join,
 )
