@@ -15,6 +15,7 @@ from fieldcheck.llm import (  # noqa: F401
     quality_rules,
     secret_ledger,
     tile_join,
+    warc,
 )
 from fieldcheck.llm.common import ORACLES, QUERIES
 

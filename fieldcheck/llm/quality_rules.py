@@ -130,18 +130,20 @@ def cutoffs(
         for j, c in enumerate(r.cutoffs)
     ]
     seen = labelled.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
-    strata = seen.agg(F.count("*").alias("strata"))
-    tests = sum(len(r.cutoffs) for r in rules)
-    # one row meets one row a stratum
-    seen = seen.withColumn("one", F.lit(1)).join(strata.withColumn("one", F.lit(1)), "one")
-    chosen = []
-    for i, r in enumerate(rules):
-        passed = [
-            F.when(binomial_tail(F.col("n"), F.col(f"x{i}_{j}"), risk) * tests * F.col("strata") <= doubt, F.lit(float(c)))
+    strata = seen.agg(F.count("*").alias("strata"), F.lit(1).alias("one"))
+    tests = F.array(
+        *(
+            F.struct(F.lit(i).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"x{i}_{j}").alias("x"))
+            for i, r in enumerate(rules)
             for j, c in enumerate(r.cutoffs)
-        ]
-        chosen.append(F.coalesce(*passed).alias(f"c{i}"))
-    return seen.select("stratum", *chosen)
+        )
+    )
+    # one row, the number of strata, meets a row a stratum and test
+    tested = seen.select("stratum", "n", F.lit(1).alias("one"), F.inline(tests)).join(strata, "one")
+    number = sum(len(r.cutoffs) for r in rules)
+    proven = tested.filter(binomial_tail(F.col("n"), F.col("x"), risk) * number * F.col("strata") <= doubt)
+    strictest = [F.min(F.when(F.col("rule") == i, F.col("cutoff"))).alias(f"c{i}") for i in range(len(rules))]
+    return proven.groupBy("stratum").agg(*strictest)
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
