@@ -12,6 +12,7 @@ from fieldcheck.llm import (  # noqa: F401
     decontam,
     language_id,
     license_index,
+    lm,
     quality_rules,
     secret_ledger,
     tile_join,
