@@ -29,7 +29,7 @@ HEAD = 1 << 16
 CLASSES, IN_CLASS = 32, 32
 HIDDEN = 32
 #: Texts (by hash) of 1 in SHARE train the network, in every task; ROUNDS averages of the copies.
-SHARE, ROUNDS = 16, 2
+SHARE, ROUNDS = 32, 2
 TRAIN_LANES, TRAIN_WINDOW, RATE = 32, 16, 0.02
 LANES, WINDOW = 256, 64
 #: Tokens a task scores, trains on or counts together: bounds its memory.
