@@ -2,10 +2,12 @@
 
 Exact, and without comparing all pairs:
 
-* Equal sets are one from the start. A set's order puts n-grams that tasks saw repeatedly last, so the
-  first few n-grams of each set (enough that two similar sets must share some) are rare ones.
+* Equal sets are one from the start. Every set is ordered alike: long n-grams first, those that tasks saw
+  repeatedly last. So the first few n-grams of each set (enough that two similar sets must share some) are
+  rare ones.
 * Tiles are (n-gram, size band): sets of a tile have nearly the same size. A first round compares each
-  set with one leader only, the set it shares most tiles with, and merges what is similar.
+  set with one leader only, the set it shares most tiles with, and merges what is similar. A tile's leader
+  is the set with the fewest n-grams before the tile's: the one with the least text of its own.
 * A second round takes from the tiles the pairs that are still in different components, passes those
   that share enough of their first n-grams and whose places and sizes allow the overlap.
 * Every pair is bounded first: bits that one hashed bitmap has and the other lacks stand for n-grams the
@@ -42,9 +44,10 @@ _WEIGHTS = [np.uint64(w) for w in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 
 
 def shingles(column: pa.Array, n: int) -> list[np.ndarray]:
-    """Of each text the sorted hashes of its distinct word n-grams, A-Z in lower case.
+    """Of each text the sorted hashes of its distinct word n-grams, A-Z in lower case; long n-grams come first.
 
-    A text of fewer words has one, of all its words; one without words (or null) has none.
+    A text of fewer words has one, of all its words; one without words (or null) has none. The upper 12 bits
+    are 4095 less the n-gram's bytes, as long n-grams are rarer; the other 52 are a hash.
     """
     raw, offsets = joined_bytes(column)
     raw = lowered(raw)
@@ -55,7 +58,8 @@ def shingles(column: pa.Array, n: int) -> list[np.ndarray]:
         gram = np.zeros(max(0, len(word) - n + 1), np.uint64)
         for i in range(n):
             gram += word[i : i + len(gram)] * _WEIGHTS[i]
-        gram = mixed(gram)
+        size = ends[n - 1 :] - starts[: len(gram)] if len(gram) else np.zeros(0, np.int64)
+        gram = (np.uint64(4095) - np.minimum(size, 4095).astype(np.uint64)) << np.uint64(52) | mixed(gram) >> np.uint64(12)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= n:
                 s = np.sort(gram[a : b - n + 1])
@@ -319,12 +323,12 @@ def _leaders(tiles: DataFrame, percent: int) -> DataFrame:
     out = None
     for shift in (0.0, 0.5):
         cut = tiles.withColumn("cut", _band("n", percent, shift))
-        order = "PARTITION BY gram, salt, cut ORDER BY n, sid"
+        order = "PARTITION BY gram, salt, cut ORDER BY place / n, sid"
         led = cut.withColumn("lead", F.expr(f"first_value(sid) OVER ({order})"))
         stars = led.filter("sid <> lead").select("sid", "lead")
         # a posting that is dealt to several tasks has a leader in each: they get a common one
         heads = led.filter("salt >= 0 AND sid = lead")
-        top = heads.groupBy("gram", "cut").agg(F.min(F.struct("n", "sid")).alias("top"))
+        top = heads.groupBy("gram", "cut").agg(F.min(F.struct(F.expr("place / n"), "sid")).alias("top"))
         heads = heads.join(top, ["gram", "cut"]).select("sid", F.col("top.sid").alias("lead")).filter("sid <> lead")
         best = (
             stars.unionByName(heads).groupBy("sid", "lead").count()
@@ -341,10 +345,13 @@ def _remaining(tiles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     open_ = known.join(mixed_.select("gram"), "gram").withColumn("band", _band("n", percent))
     visits = open_.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     # x is the smaller one, or the one of smaller name; y comes from its own band
+    both = f"ceil({percent} * (x.n + y.n) / {100 + percent})"  # what two similar sets of these sizes share
+    share = f"least({SHARED}, ceil({percent} * x.n / 100))"
     meet = (
         "x.gram = y.gram AND x.band = y.band AND x.label <> y.label "
         "AND (x.n < y.n OR x.n = y.n AND x.sid < y.sid) "
         f"AND 100 * x.n >= {percent} * y.n "
+        f"AND x.place < x.n - {both} + {share} AND y.place < y.n - {both} + {share} "
         f"AND {100 + percent} * (least(x.place, y.place) + 1 + least(x.n - x.place, y.n - y.place) - 1)"
         f" >= {percent} * (x.n + y.n)"
     )
