@@ -162,6 +162,22 @@ class BlobLedger:
         )
         return addressed(versions).drop("text").join(found, "blob", "left").select("path", "version", "blob", "spans")
 
+    def redact(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs with the ledger's spans in `text` replaced by [kind]; texts that hold none stay as they are.
+
+        The texts must have been scanned. Only blobs with findings are looked for, so texts go through one
+        shuffle by their address; AQE splits that of a frequent text.
+        """
+        keys = F.array(*(F.lit(r.key) for r in self.rules))
+        hits = F.filter("spans", lambda s: F.array_contains(keys, s["rule"]))
+        listed = self.scans().select("blob", F.inline(hits)).groupBy("blob").agg(F.collect_set(F.struct("start", "end", "kind")).alias("s"))
+        found = listed.select("blob", F.array_sort("s").alias("spans"))
+        columns = docs.columns
+        held = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+        text = F.when(F.col("f.spans").isNull(), F.col("h.text")).otherwise(redacted(F.col("h.text"), F.col("f.spans")))
+        joined = held.alias("h").join(found.hint("shuffle_hash").alias("f"), F.expr("h.blob = f.blob"), "left")
+        return joined.select(*(text.alias(c) if c == "text" else F.col(f"h.{c}") for c in columns))
+
 
 def addressed(versions: DataFrame) -> DataFrame:
     """path, version, text with nulls emptied, and the blob's address."""
