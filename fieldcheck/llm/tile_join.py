@@ -47,7 +47,7 @@ def shingles(column: pa.Array, n: int) -> list[np.ndarray]:
     """Of each text the sorted hashes of its distinct word n-grams, A-Z in lower case; long n-grams come first.
 
     A text of fewer words has one, of all its words; one without words (or null) has none. The upper 12 bits
-    are 4095 less the n-gram's bytes, as long n-grams are rarer; the other 52 are a hash.
+    are 4095 less the bytes of the n-gram's words, as long n-grams are rarer; the other 52 are a hash.
     """
     raw, offsets = joined_bytes(column)
     raw = lowered(raw)
@@ -58,7 +58,8 @@ def shingles(column: pa.Array, n: int) -> list[np.ndarray]:
         gram = np.zeros(max(0, len(word) - n + 1), np.uint64)
         for i in range(n):
             gram += word[i : i + len(gram)] * _WEIGHTS[i]
-        size = ends[n - 1 :] - starts[: len(gram)] if len(gram) else np.zeros(0, np.int64)
+        upto = np.concatenate([[0], np.cumsum(ends - starts)])  # bytes of words, whatever stands between them
+        size = upto[n : n + len(gram)] - upto[: len(gram)]
         gram = (np.uint64(4095) - np.minimum(size, 4095).astype(np.uint64)) << np.uint64(52) | mixed(gram) >> np.uint64(12)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= n:
