@@ -136,17 +136,17 @@ class _Member:
         self.file, self.at = file, start
         self.unpack = zlib.decompressobj(31)
 
-    def read(self) -> bytes:
-        """The next decoded bytes; empty at the member's end."""
+    def read(self, most: int = PIECE) -> bytes:
+        """The next decoded bytes, `most` at a time; empty at the member's end."""
         while not self.unpack.eof:
             waiting = self.unpack.unconsumed_tail
             if not waiting:
                 self.file.seek(self.at)
-                waiting = self.file.read(PIECE)
+                waiting = self.file.read(PIECE if most >= PIECE else 1024)
                 if not waiting:
                     raise zlib.error("the file ends inside a member")
                 self.at += len(waiting)
-            if data := self.unpack.decompress(waiting, PIECE):
+            if data := self.unpack.decompress(waiting, most):
                 return data
         return b""
 
@@ -156,13 +156,17 @@ class _Member:
 
 
 def _header(member: _Member) -> tuple[dict[str, str], bytes] | None:
-    """Fields of a WARC header and the bytes read beyond it; None if the candidate is no record."""
+    """Fields of a WARC header and the bytes read beyond it; None if the candidate is no record.
+
+    Four bytes at a time, so that the end of a short member, whose checks may fail, is not reached: a
+    damaged record must not pass for a false candidate.
+    """
     data = b""
     try:
         while b"\r\n\r\n" not in data:
-            more = member.read()
+            more = member.read(4)
             data += more
-            if not more or len(data) > HEAD + PIECE or not data.startswith(b"WARC/1."[: len(data)]):
+            if not more or len(data) > HEAD or not data.startswith(b"WARC/1."[: len(data)]):
                 return None
     except zlib.error:
         return None
