@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from fieldcheck.llm.common import query, table, written
 
 #: Allowed share of good texts that a rule rejects, and the chance that any bound is wrong.
-RISK, DOUBT = 0.01, 0.05
+RISK, DOUBT = 0.002, 0.05
 _BLANKS = r"[\x20\x09-\x0D]+"
 #: Terms of the binomial tail that are summed; the rest is bounded by the last one, so the sum never falls short.
 TERMS = 20_000
@@ -146,7 +146,13 @@ def cutoffs(
     return proven.groupBy("stratum").agg(*strictest)
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(
+    docs: DataFrame,
+    labels: DataFrame,
+    stratum: str = "lang",
+    keep: tuple[str, ...] = ("doc_id",),
+    risk: float = RISK,
+) -> DataFrame:
     """The columns `keep` with the features, base_failed, failed (names of the rules) and kept, for every row.
 
     Good texts are those whose labels all say quality 1; their strata set the cutoffs. A null stratum is one
@@ -159,7 +165,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: tuple
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     )
-    limits = written(cutoffs(found.join(good, "doc_id")), "cutoffs")
+    limits = written(cutoffs(found.join(good, "doc_id"), risk=risk), "cutoffs")
     failed = [
         F.when(F.coalesce(_value(r) > F.col(f"c{i}"), F.lit(False)), F.lit(r.name)) for i, r in enumerate(RULES)
     ]
