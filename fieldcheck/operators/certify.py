@@ -22,7 +22,6 @@ def station_checks(
     end: Column,
     atol: float,
     rtol: float,
-    digits: int = 15,
 ) -> DataFrame:
     """One row per check: constraint, check id, status and the observed count."""
     keys = key_quality(candidate).select(
@@ -41,7 +40,7 @@ def station_checks(
         F.lit("semantic.station_values_and_missingness").alias("check_id"),
         F.col("mismatches").alias("observed"),
     )
-    again = rerun_equal(candidate, rerun, [], digits).select(
+    again = rerun_equal(candidate, rerun, []).select(
         F.lit("rerun_safety").alias("constraint"),
         F.lit("rerun.station_logical_equivalence").alias("check_id"),
         F.when(F.col("equal"), 0).otherwise(1).cast("long").alias("observed"),

@@ -17,7 +17,7 @@ TENSOR = ("workload:full-field-tensor",)
 STATION = ("data-class:station-time-series",)
 PARQUET = ("parquet",)
 STATION_SCAN = ("workload:filtered-station-scan",)
-RUBRIC = ("engineering:rubric",)
+RUBRIC = ("engineering:meroda",)
 ALTERNATE = ("robustness:alternate-contract",)
 
 # Check id, layer, role, required profile tags, required parameter roots.
@@ -35,7 +35,7 @@ CATALOG = (
     ("contract.station_scope_and_keys", "data_class", "hard_gate", STATION, ("table",)),
     ("contract.zarr_integrity", "output_format", "hard_gate", ZARR, ("comparison", "grid")),
     ("contract.zarr_output_policy", "output_format", "hard_gate", ZARR_V3, ("output_policy",)),
-    ("engineering.rubric", "engineering", "assessment", RUBRIC, ("candidate_source", "engineering_quality")),
+    ("engineering.meroda", "engineering", "assessment", RUBRIC, ("candidate_source", "engineering_quality")),
     ("objective.consumer_samples_per_second", "objective", "objective", CORE, ("workload",)),
     ("objective.materialization_seconds", "objective", "objective", CORE, ("execution",)),
     ("objective.output_bytes", "objective", "objective", CORE, ("grid",)),
@@ -103,7 +103,7 @@ def profile_tags(
         fmt,
         F.concat(F.lit("workload:"), F.replace(workload, F.lit("_"), F.lit("-"))),
         F.when(version.isNotNull(), F.concat(fmt, F.lit("-v"), version.cast("string"))),
-        F.when(engineering, F.lit("engineering:rubric")),
+        F.when(engineering, F.lit("engineering:meroda")),
         F.when(probe, F.lit("robustness:alternate-contract")),
     )
     return F.sort_array(F.array_distinct(F.array_compact(F.concat(base, dataset_tags))))

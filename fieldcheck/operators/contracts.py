@@ -49,12 +49,10 @@ def rule_allowed(fields: DataFrame, rules: DataFrame, absent_is_wildcard: bool =
     """
     fits = F.forall(
         F.map_entries("selection"),
-        lambda e: (
-            F.coalesce(
-                F.array_contains(F.try_element_at(F.col("rule"), e["key"]), e["value"]),
-                F.lit(absent_is_wildcard),
-            )
-        ),
+        lambda e: F.when(
+            F.map_contains_key(F.col("rule"), e["key"]),
+            F.coalesce(F.array_contains(F.try_element_at(F.col("rule"), e["key"]), e["value"]), F.lit(False)),
+        ).otherwise(F.lit(absent_is_wildcard)),
     )
     r = rules.select(F.col("dataset").alias("_d"), "rule")
     ok = fields.join(r, (F.col("dataset") == F.col("_d")) & fits, "left_semi").select("dataset", "field")

@@ -467,6 +467,6 @@ def interaction_summary(turns: DataFrame, calls: DataFrame, questions: DataFrame
     )
 
 
-def latest_runs(runs: DataFrame, n: int) -> DataFrame:
-    """Newest n runs, those without a time last; a top-n, nothing is sorted as a whole."""
-    return runs.orderBy(F.col("generated_at").desc_nulls_last(), "run_id").limit(n)
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """All runs, newest first, those without a time last; sorted by range, so no task holds them all."""
+    return runs.orderBy(F.col("generated_at").desc_nulls_last(), "run_id")

@@ -40,18 +40,11 @@ def combine_digests(
     return total.select(*keys, "rows", F.sha2(text, 256).alias("fingerprint"), *extra)
 
 
-def canonical_text(column: Column, kind: T.DataType, digits: int) -> Column:
-    """Text of one cell: numbers with a fixed count of decimals, missing as an empty mark."""
+def canonical_text(column: Column, kind: T.DataType) -> Column:
+    """Text of one cell, exact: two different numbers have two texts. Missing is a mark, -0.0 is 0.0."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         value = column.cast("double")
-        inf = float("inf")
-        plain = value.cast(T.DecimalType(38, digits)).cast("string")
-        return (
-            F.when(missing(value), "missing")
-            .when(value == inf, "inf")
-            .when(value == -inf, "-inf")
-            .otherwise(F.coalesce(plain, value.cast("string")))
-        )
+        return F.when(missing(value), "missing").otherwise((value + 0.0).cast("string"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
@@ -59,25 +52,25 @@ def canonical_text(column: Column, kind: T.DataType, digits: int) -> Column:
     return F.coalesce(column.cast("string"), F.lit("missing"))
 
 
-def row_digest(df: DataFrame, digits: int = 15) -> Column:
+def row_digest(df: DataFrame) -> Column:
     """sha256 of every column in name order, extra columns included."""
     cells = [
-        canonical_text(F.col(f.name), f.dataType, digits)
+        canonical_text(F.col(f.name), f.dataType)
         for f in sorted(df.schema.fields, key=lambda f: f.name)
     ]
     return F.sha2(F.concat_ws(SEPARATOR, *cells), 256)
 
 
-def table_fingerprint(df: DataFrame, keys: Sequence[str] = (), digits: int = 15) -> DataFrame:
-    return combine_digests(df.withColumn("_digest", row_digest(df, digits)), keys, "_digest")
+def table_fingerprint(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return combine_digests(df.withColumn("_digest", row_digest(df)), keys, "_digest")
 
 
-def rerun_equal(first: DataFrame, second: DataFrame, keys: Sequence[str], digits: int = 15) -> DataFrame:
+def rerun_equal(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fingerprints of two runs side by side per key."""
     both = (
-        table_fingerprint(first, keys, digits)
+        table_fingerprint(first, keys)
         .withColumn("_run", F.lit(1))
-        .unionByName(table_fingerprint(second, keys, digits).withColumn("_run", F.lit(2)))
+        .unionByName(table_fingerprint(second, keys).withColumn("_run", F.lit(2)))
     )
     pick = lambda run, c: F.max(F.when(F.col("_run") == run, F.col(c)))
     return (

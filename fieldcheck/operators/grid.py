@@ -5,7 +5,6 @@ Cells are (field_id, sample, y, x, value); coordinates are (axis, idx, value) wi
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -121,20 +120,34 @@ def reindex(cells: DataFrame, orders: DataFrame) -> DataFrame:
     return out.select(*cells.columns)
 
 
-def block_widths(shape: Sequence[int], max_elements: int) -> list[int]:
-    """Widths after halving the longest axis until a block holds at most max_elements."""
-    widths = [int(s) for s in shape]
-    bound = max(1, max_elements)
-    while math.prod(widths) > bound:
-        longest = widths.index(max(widths))
-        widths[longest] = max(1, -(-widths[longest] // 2))
-    return widths
+AXES = ("sample", "y", "x")
+#: An axis is halved at most once for each bit of its length.
+HALVINGS = 63 * len(AXES)
 
 
-def block_ids(cells: DataFrame, widths: Sequence[int]) -> DataFrame:
-    """Complete, non-overlapping block number per axis."""
-    at = {f"{a}_block": F.floor(F.col(a) / int(w)) for a, w in zip(("sample", "y", "x"), widths)}
-    return cells.withColumns(at)
+def block_widths(shapes: DataFrame, max_elements: int) -> DataFrame:
+    """shapes with sample_width, y_width, x_width: the block of a grid with the lengths sample, y, x.
+
+    The longest axis (the first of equals) is halved, rounded up, while a block has more than
+    max_elements cells. A fold over column expressions; rows are grids.
+    """
+
+    def halved(w: Column, _: Column) -> Column:
+        cells = w["sample"].cast("double") * w["y"] * w["x"]
+        longest = F.greatest(*(w[a] for a in AXES))
+        turn = F.array_position(F.array(*(w[a] for a in AXES)), longest)
+        shorter = lambda i, a: F.when(turn == i + 1, F.ceil(w[a] / 2)).otherwise(w[a]).cast("long").alias(a)
+        return F.when(cells > max(1, max_elements), F.struct(*(shorter(i, a) for i, a in enumerate(AXES)))).otherwise(w)
+
+    start = F.struct(*(F.col(a).cast("long").alias(a) for a in AXES))
+    folded = shapes.withColumn("_w", F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halved))
+    return folded.withColumns({f"{a}_width": F.col("_w")[a] for a in AXES}).drop("_w")
+
+
+def block_ids(cells: DataFrame, widths: DataFrame) -> DataFrame:
+    """Complete, non-overlapping block number per axis; widths is the one row of this grid's block_widths."""
+    width = lambda a: widths.select(f"{a}_width").scalar()
+    return cells.withColumns({f"{a}_block": F.floor(F.col(a) / width(a)) for a in AXES})
 
 
 def grid_sizes(cells: DataFrame) -> DataFrame:
@@ -223,14 +236,20 @@ def logical_bytes(cells: DataFrame, cell_bytes: int = 4, coordinate_bytes: int =
     return n.select("cells", coords.alias("coordinate_bytes"), (F.col("cells") * cell_bytes + coords).alias("total_bytes"))
 
 
-def y_chunk(height: int, width: int, target_bytes: int = 1536 * 1024) -> int:
-    """Rows per block: about target_bytes of float32, at least 16, at most the height."""
-    if width <= 0:
-        return max(1, height)
-    return max(1, min(height, max(16, target_bytes // (4 * width))))
+MIN_BLOCK_ROWS = 16
+FLOAT_BYTES = 4
+
+
+def rows_per_block(height: Column, width: Column, target_bytes: int = 1536 * 1024) -> Column:
+    """How many grid rows fit target_bytes of float32: MIN_BLOCK_ROWS or more, never above the height.
+
+    A grid without columns is one block.
+    """
+    fitting = F.when(width > 0, F.floor(F.lit(target_bytes) / (width * FLOAT_BYTES)))
+    return F.greatest(F.lit(1), F.least(height, F.greatest(F.lit(MIN_BLOCK_ROWS), F.coalesce(fitting, height))))
 
 
-def grid_blocks(cells: DataFrame, rows_per_block: int) -> DataFrame:
+def grid_blocks(cells: DataFrame, rows_per_block: Column) -> DataFrame:
     """One row per (field, sample, y range) with its cells in y, x order.
 
     A block holds rows_per_block x width cells, a size fixed by the layout, not by the data.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldcheck.functions.columns import label_key
 from fieldcheck.functions.text import SENSITIVE_KEY
+from fieldcheck.session import pinned
 
 # Schema keys kept as constraints, hosts and path mark of the catalogue extractor.
 CONSTRAINT_KEYS = (
@@ -53,8 +54,8 @@ def extract_options(docs: DataFrame) -> DataFrame:
 
 
 def _children(path: Column, node: Column) -> Column:
-    """Direct children of a variant as (path, key, node, open) structs; none for a scalar."""
-    child = lambda p, k, v: F.struct(p.alias("path"), k.alias("key"), v.alias("node"), F.lit(True).alias("open"))
+    """Direct children of a variant as (path, key, node) structs; none for a scalar."""
+    child = lambda p, k, v: F.struct(p.alias("path"), k.alias("key"), v.alias("node"))
     named = F.transform(
         F.map_entries(F.try_variant_get(node, "$", "map<string,variant>")),
         lambda e: child(F.concat(path, F.lit("."), e["key"]), e["key"], e["value"]),
@@ -66,46 +67,38 @@ def _children(path: Column, node: Column) -> Column:
     return F.coalesce(named, listed)
 
 
-def json_nodes(docs: DataFrame, doc: str, json: str, depth: int = 8) -> DataFrame:
-    """Every named or numbered node of JSON documents as (doc, path, key, node variant, too_deep).
+def json_nodes(docs: DataFrame, doc: str, json: str) -> DataFrame:
+    """Every node of JSON documents, the root included, as (doc, path, key, node variant).
 
-    A document is parsed and read once: each step keeps the nodes it has and adds the children of
-    the ones not opened yet. Containers left unopened at `depth` are marked too_deep, so a deeper
-    document is seen instead of being cut off.
+    Round by round the open containers, and only they, give their children, until none is open: there
+    is no limit of depth, and a round costs what that level holds. Each level is checkpointed once.
     """
-    rows = docs.select(
-        F.col(doc).alias("doc"),
-        F.struct(
-            F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.parse_json(json).alias("node"), F.lit(True).alias("open")
-        ).alias("n"),
+    level = docs.select(
+        F.col(doc).alias("doc"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.parse_json(json).alias("node")
     )
-    n = F.col("n")
-    nothing = F.array().cast("array<struct<path:string,key:string,node:variant,open:boolean>>")
-    for _ in range(depth):
-        shut = F.struct(n["path"].alias("path"), n["key"].alias("key"), n["node"].alias("node"), F.lit(False).alias("open"))
-        below = F.coalesce(F.when(n["open"], _children(n["path"], n["node"])), nothing)
-        rows = rows.select("doc", F.explode(F.concat(F.array(shut), below)).alias("n"))
-    kind = F.schema_of_variant("node")
-    deeper = F.when(F.col("open"), kind.startswith("OBJECT") | kind.startswith("ARRAY")).otherwise(False)
-    nodes = rows.select("doc", "n.path", "n.key", "n.node", "n.open").filter(F.col("path") != "$")
-    return nodes.select("doc", "path", "key", "node", deeper.alias("too_deep"))
-
-
-def sensitive_keys(docs: DataFrame, doc: str, json: str, depth: int = 8) -> DataFrame:
-    """Paths whose key looks like a credential and whose value is not empty."""
-    nodes = json_nodes(docs, doc, json, depth)
+    out = None
+    while True:
+        level = pinned(level)
+        out = level if out is None else out.unionByName(level)
+        kind = F.schema_of_variant("node")
+        open_ = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        below = open_.select("doc", F.explode(_children(F.col("path"), F.col("node"))).alias("n"))
+        if open_.isEmpty():
+            return out
+        level = below.select("doc", "n.path", "n.key", "n.node")
+
+
+def sensitive_keys(docs: DataFrame, doc: str, json: str) -> DataFrame:
+    """Paths whose key looks like a credential and whose value is not empty, at any depth."""
     text = F.to_json("node")
     empty = text.isin("null", '""', "[]", "{}")
-    return nodes.filter(
-        F.col("too_deep") | (F.coalesce(F.col("key"), F.lit("")).rlike(SENSITIVE_KEY) & ~empty)
-    ).select(
-        "doc", "path", F.when(F.col("too_deep"), "too_deep").otherwise("sensitive").alias("finding")
-    )
+    named = json_nodes(docs, doc, json).filter(F.coalesce(F.col("key"), F.lit("")).rlike(SENSITIVE_KEY) & ~empty)
+    return named.select("doc", "path", F.lit("sensitive").alias("finding"))
 
 
-def layout_tables(docs: DataFrame, doc: str, json: str, depth: int = 8) -> DataFrame:
-    """Nested nodes of type 'table' with a text id, and how many rows of content they carry."""
-    nodes = json_nodes(docs, doc, json, depth)
+def layout_tables(docs: DataFrame, doc: str, json: str) -> DataFrame:
+    """Nodes of type 'table' with a text id at any depth, and how many rows of content they carry."""
+    nodes = json_nodes(docs, doc, json)
     kind = F.try_variant_get("node", "$.type", "string")
     ident = F.try_variant_get("node", "$.id", "string")
     rows = F.coalesce(F.size(F.try_variant_get("node", "$.content", "array<variant>")), F.lit(0))

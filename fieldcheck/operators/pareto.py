@@ -117,7 +117,7 @@ def peel(objectives: Sequence[Objective]) -> Callable[[pd.DataFrame], pd.DataFra
             n += 1
             front = left & ~beats[left].any(axis=0)
             if not front.any():
-                raise RuntimeError("Pareto layering made no progress.")
+                raise RuntimeError("no node of the rest is free of dominators: the floors do not order them")
             layer[front] = n
             left &= ~front
         return pd.DataFrame({"run_id": pdf["run_id"], "node_id": pdf["node_id"], "front": layer + pdf["_base"].to_numpy()})
@@ -200,7 +200,7 @@ def pareto_fronts(points: DataFrame, objectives: Sequence[Objective], small_run:
         front = judged.filter(~F.col("dominated"))
         stuck = judged.select("run_id").distinct().join(front.select("run_id").distinct(), "run_id", "left_anti")
         if not stuck.isEmpty():
-            raise RuntimeError("Pareto layering made no progress.")
+            raise RuntimeError("no node of the rest is free of dominators: the floors do not order them")
         out = out.unionByName(front.select(*KEY, F.lit(layer).cast("long").alias("front")))
         if layer % COMPACT_EVERY == 0:
             out = pinned(out)

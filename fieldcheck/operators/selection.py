@@ -83,19 +83,19 @@ def select_level(coordinates: DataFrame, selectors: DataFrame, keys: Sequence[st
 
 
 def first_source_wins(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Union of sources by name; where keys overlap the earliest source in the list wins.
+    """Union of sources by name; for each key and variable the earliest source that has a value wins.
 
-    Folded with min_by before the shuffle, so overlapping copies never travel.
+    source_no is the earliest source of the key. Folded with min_by before the shuffle, so overlapping
+    copies never travel.
     """
     stacked = None
     for i, df in enumerate(sources):
         part = df.withColumn("source_no", F.lit(i))
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    rest = [c for c in stacked.columns if c not in keys]
-    return (
-        stacked.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), "source_no").alias("_row"))
-        .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    rest = [c for c in stacked.columns if c not in keys and c != "source_no"]
+    held = lambda c: F.when(F.col(c).isNotNull(), F.col("source_no"))
+    return stacked.groupBy(*keys).agg(
+        F.min("source_no").alias("source_no"), *(F.min_by(c, held(c)).alias(c) for c in rest)
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcheck.operators import certify
-from fieldcheck.plans.observations import ATOL, DIGITS, RTOL
+from fieldcheck.plans.observations import ATOL, RTOL
 from fieldcheck.plans.registry import Tables, query
 
 
@@ -37,6 +37,5 @@ def certify_observations(t: Tables) -> DataFrame:
         day("2024-12-31"),
         ATOL,
         RTOL,
-        DIGITS,
     )
     return certify.certify(rows)

@@ -484,10 +484,10 @@ def interaction_summary(t: Tables) -> DataFrame:
 @query(
     "latest_runs",
     """SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS generated_at FROM orders
-       ORDER BY generated_at DESC NULLS LAST, run_id LIMIT 50""",
+       ORDER BY generated_at DESC NULLS LAST, run_id""",
 )
 def latest_runs(t: Tables) -> DataFrame:
     runs = t.read("orders").select(
         F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("generated_at")
     )
-    return experiments.latest_runs(runs, 50)
+    return experiments.latest_runs(runs)

@@ -18,7 +18,7 @@ profiles AS (SELECT c_custkey AS profile_id, CASE WHEN c_nationkey % 2 = 0 THEN
 tags AS (SELECT profile_id, unnest(['core', CASE WHEN is_grid THEN 'regular-grid' ELSE 'data-class:station-time-series' END,
              CASE WHEN is_grid THEN 'zarr' ELSE 'parquet' END,
              CASE WHEN is_grid THEN 'workload:full-field-tensor' ELSE 'workload:filtered-station-scan' END,
-             CASE WHEN v3 THEN 'zarr-v3' END, CASE WHEN c_acctbal > 0 THEN 'engineering:rubric' END,
+             CASE WHEN v3 THEN 'zarr-v3' END, CASE WHEN c_acctbal > 0 THEN 'engineering:meroda' END,
              CASE WHEN c_acctbal > 5000 THEN 'robustness:alternate-contract' END, 'domain:' || lower(c_mktsegment)]) AS tag FROM profiles),
 plan AS (SELECT profile_id, check_id, layer, role FROM tags JOIN catalog USING (tag) GROUP BY profile_id, check_id, layer, role, need HAVING count(*) = need)"""
 

@@ -158,8 +158,7 @@ MAX_BLOCK = 256
 )
 def grid_block_ids(t: Tables) -> DataFrame:
     cells = t.grid()
-    shape = grid.grid_sizes(cells).first()
-    widths = grid.block_widths((shape["sample"], shape["y"], shape["x"]), MAX_BLOCK)
+    widths = grid.block_widths(grid.grid_sizes(cells), MAX_BLOCK)
     return grid.block_ids(cells, widths).groupBy("field_id", "sample_block", "y_block", "x_block").agg(
         F.count(F.lit(1)).alias("cells"), F.round(F.sum("value"), 4).alias("total")
     )
@@ -355,7 +354,7 @@ def tensor_check(t: Tables) -> DataFrame:
 )
 def grid_blocks(t: Tables) -> DataFrame:
     path = scratch(t.spark, "blocks")
-    write_grid_blocks(grid.grid_blocks(t.grid(), grid.y_chunk(HEIGHT, WIDTH)), path)
+    write_grid_blocks(grid.grid_blocks(t.grid(), grid.rows_per_block(F.lit(HEIGHT), F.lit(WIDTH))), path)
     return t.spark.read.parquet(path).select(
         "field_id",
         "sample",

@@ -13,17 +13,16 @@ KNOWN = ("hunter2value", "second-secret")
 # Suffixes of files that are scanned as text.
 TEXT_SUFFIXES = (".cfg", ".env", ".ini", ".json", ".log", ".md", ".py", ".sh", ".toml", ".txt", ".yaml", ".yml")
 SUFFIX = r"(\.[A-Za-z0-9]+)$"
-MAX_BYTES = 1 << 20
 SECRET_SQL = text.ASSIGNED_SECRET.replace("'", "''")
 
 
 @query(
     "secret_scan",
-    f"""SELECT path, CASE WHEN NOT regexp_matches(path, '\\.(txt|json|toml)$') OR strlen(text) > {MAX_BYTES} THEN 'not_scanned' WHEN contains(text, 'hunter2value') OR contains(text, 'second-secret') THEN 'known_environment_secret'
+    f"""SELECT path, CASE WHEN NOT regexp_matches(path, '\\.(txt|json|toml)$') THEN 'not_scanned' WHEN contains(text, 'hunter2value') OR contains(text, 'second-secret') THEN 'known_environment_secret'
           WHEN contains(text, '-----BEGIN PRIVATE KEY-----') THEN 'private_key_material' WHEN regexp_matches(text, '{SECRET_SQL}') THEN 'assigned_secret_like_value' ELSE 'clean' END AS reason FROM texts""",
 )
 def secret_scan(t: Tables) -> DataFrame:
-    scanned = F.lower(F.regexp_extract("path", SUFFIX, 1)).isin(*TEXT_SUFFIXES) & (F.octet_length("text") <= MAX_BYTES)
+    scanned = F.lower(F.regexp_extract("path", SUFFIX, 1)).isin(*TEXT_SUFFIXES)
     reason = F.when(~scanned, "not_scanned").otherwise(text.secret_reason(F.col("text"), KNOWN))
     return t.texts().select("path", reason.alias("reason"))
 

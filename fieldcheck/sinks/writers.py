@@ -40,14 +40,13 @@ def write_observations(df: DataFrame, path: str, compression: str = "zstd") -> N
 
 
 def write_cache(df: DataFrame, path: str) -> None:
-    """Cache laid out by field and day. Rows of a (field, day) are spread by station before writing.
+    """Cache laid out by field and day. Rows are rebalanced by (field, day) before writing.
 
-    The spread keeps a hot field in many tasks; the day in the key keeps the files per folder few.
+    Adaptive execution splits a hot (field, day) by its bytes into as many tasks as it needs and joins
+    small ones, so files are of one size whatever the skew.
     """
     dated = df.withColumn("date", F.to_date("timestamp"))
-    dated.repartition("field_id", "date", F.pmod(F.xxhash64("station_id"), F.lit(16))).write.partitionBy(
-        "field_id", "date"
-    ).mode("errorifexists").parquet(path)
+    dated.hint("rebalance", "field_id", "date").write.partitionBy("field_id", "date").mode("errorifexists").parquet(path)
 
 
 def write_grid_blocks(blocks: DataFrame, path: str) -> None:
@@ -79,16 +78,36 @@ Step = Callable[[DataFrame], DataFrame]
 def materialise(source: DataFrame, steps: Sequence[Step], path: str) -> DataFrame:
     """Applies the steps in order, checks the canonical keys and publishes the result.
 
-    The table is written once; its gate reads the written rows, and only a table that passes gets a
-    receipt.
+    The table is written once, beside its target; its gate reads the written rows. A table that passes
+    is renamed to the target and gets a receipt, one that fails is removed.
     """
     for step in steps:
         source = source.transform(step)
-    write_observations(source, path)
-    quality = key_quality(source.sparkSession.read.parquet(path)).first()
-    if quality["empty"] or quality["null_key_rows"] or quality["duplicate_keys"]:
-        raise ValueError(f"not fit to publish: {quality.asDict()}")
-    return receipt(source.sparkSession, path)
+    spark = source.sparkSession
+    staged = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    store, at, target = _store(spark, staged), _path(spark, staged), _path(spark, path)
+    if store.exists(target):
+        raise FileExistsError(path)
+    try:
+        write_observations(source, staged)
+        quality = key_quality(spark.read.parquet(staged)).first()
+        if quality["empty"] or quality["null_key_rows"] or quality["duplicate_keys"]:
+            raise ValueError(f"not fit to publish: {quality.asDict()}")
+        if not store.rename(at, target):
+            raise OSError(f"cannot rename {staged} to {path}")
+    except BaseException:
+        store.delete(at, True)
+        raise
+    return receipt(spark, path)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, whatever its scheme."""
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def receipt(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -25,6 +26,8 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             store, name = fs.FileSystem.from_uri(uri)
             head = uri.rstrip("/").removesuffix(name.rstrip("/"))
             for e in store.get_file_info(fs.FileSelector(name)):
+                if isinstance(store, fs.LocalFileSystem) and os.path.islink(e.path):
+                    raise ValueError(f"{e.path} is a symbolic link")
                 rows.append((head + e.path, e.size or 0, e.type == fs.FileType.Directory))
         yield pd.DataFrame(rows, columns=["path", "size_bytes", "is_folder"])
 
@@ -140,6 +143,7 @@ def tree_hash(hashed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow as pa
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -147,7 +151,10 @@ def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path in batch["path"]:
             store, name = fs.FileSystem.from_uri(_uri(path))
-            meta = pq.read_metadata(store.open_input_file(name))
+            try:
+                meta = pq.read_metadata(store.open_input_file(name))
+            except (pa.ArrowException, OSError):
+                continue  # damaged: no rows, like a file without row groups
             arrow = meta.schema.to_arrow_schema()
             for g in range(meta.num_row_groups):
                 group = meta.row_group(g)
@@ -187,7 +194,7 @@ def check_parquet_physical(
 ) -> DataFrame:
     """Per file: row groups, required columns, declared types and codec.
 
-    A file without row groups has no footer rows and is reported as unreadable.
+    A damaged file, and one without row groups, has no footer rows: zero row groups, nothing ok.
     """
     chunks = parquet_footers(files)
     present = [F.max((F.col("column") == c).cast("int")).alias(f"_has_{c}") for c in required]

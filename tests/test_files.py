@@ -119,3 +119,14 @@ def test_materialise_publishes_only_fit_tables(spark, tmp_path):
     twice = [lambda df: df.unionByName(df)]
     with pytest.raises(ValueError, match="duplicate_keys"):
         writers.materialise(station(spark), twice, str(tmp_path / "bad"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["good"]
+
+
+def test_damaged_files_and_links(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 this is no footer PAR1")
+    found = files.list_files(spark, str(tmp_path), "*.parquet")
+    row = files.check_parquet_physical(found, files.STATION_TYPES, "zstd").first()
+    assert row["row_groups"] == 0 and not row["columns_ok"]
+    (tmp_path / "link.parquet").symlink_to(tmp_path / "bad.parquet")
+    with pytest.raises(Exception, match="symbolic link"):
+        files.list_files(spark, str(tmp_path)).count()

@@ -55,14 +55,16 @@ def test_sample_order_is_a_fixed_permutation(spark):
 
 
 @pytest.mark.parametrize("shape, bound", [((28, 721, 1440), 400_000), ((5, 1, 3), 4), ((1, 1, 1), 0), ((9, 9), 81)])
-def test_block_widths_fit_and_cover(shape, bound):
-    widths = grid.block_widths(shape, bound)
+def test_block_widths_fit_and_cover(spark, shape, bound):
+    shape = (*shape, 1)[:3]
+    row = grid.block_widths(spark.createDataFrame([shape], "sample long, y long, x long"), bound).first()
+    widths = [row[f"{a}_width"] for a in grid.AXES]
     assert math.prod(widths) <= max(1, bound) and all(1 <= w <= s for w, s in zip(widths, shape))
 
 
 @pytest.mark.parametrize("height, width, rows", [(721, 1440, 273), (8, 4, 8), (500, 100_000, 16), (10, 0, 10)])
-def test_rows_per_block(height, width, rows):
-    assert grid.y_chunk(height, width) == rows
+def test_rows_per_block(spark, height, width, rows):
+    assert spark.range(1).select(grid.rows_per_block(F.lit(height), F.lit(width))).first()[0] == rows
 
 
 def test_tensor_keeps_channel_order(cells):

@@ -133,12 +133,14 @@ def test_safe_path(spark, path, safe):
     assert rows(spark, [(path,)], "p string").select(columns.safe_path(F.col("p"))).first()[0] is safe
 
 
-def test_deep_json_is_reported_not_cut(spark):
+def test_json_of_any_depth(spark):
     docs = rows(spark, [(1, '{"a":{"b":{"my_token":"x"}},"secret":"","key":[1]}')], "doc int, j string")
     whole = {(r["path"], r["finding"]) for r in inventory.sensitive_keys(docs, "doc", "j").collect()}
     assert whole == {("$.a.b.my_token", "sensitive"), ("$.key", "sensitive")}
-    flat = {(r["path"], r["finding"]) for r in inventory.sensitive_keys(docs, "doc", "j", depth=2).collect()}
-    assert ("$.a.b", "too_deep") in flat
+    deep = '{"b":' * 14 + '{"type":"table","id":"t","token":"x"}' + "}" * 14
+    docs = rows(spark, [(1, deep), (2, '{"type":"table","id":"root"}'), (3, "[]"), (4, "1")], "doc int, j string")
+    assert [r["path"] for r in inventory.sensitive_keys(docs, "doc", "j").collect()] == ["$" + ".b" * 14 + ".token"]
+    assert {(r["doc"], r["table_id"]) for r in inventory.layout_tables(docs, "doc", "j").collect()} == {(1, "t"), (2, "root")}
 
 
 def test_catalogue_urls(spark):

@@ -152,4 +152,19 @@ def test_first_source_wins(spark):
     a = spark.createDataFrame([(1, "a")], "k int, v string")
     b = spark.createDataFrame([(1, "b", 7), (2, "b", 8)], "k int, v string, w int")
     out = {r["k"]: (r["v"], r["w"]) for r in selection.first_source_wins([a, b], ["k"]).collect()}
-    assert out == {1: ("a", None), 2: ("b", 8)}
+    assert out == {1: ("a", 7), 2: ("b", 8)}
+
+
+def test_first_source_wins_for_each_variable(spark):
+    a = spark.createDataFrame([("k", 1.0, None)], "k string, t double, h double")
+    b = spark.createDataFrame([("k", 2.0, 9.0), ("m", None, 3.0)], "k string, t double, h double")
+    out = {r["k"]: (r["source_no"], r["t"], r["h"]) for r in selection.first_source_wins([a, b], ["k"]).collect()}
+    assert out == {"k": (0, 1.0, 9.0), "m": (1, None, 3.0)}
+
+
+def test_fingerprints_are_exact(spark):
+    from fieldcheck.operators import fingerprint
+
+    mark = lambda *v: fingerprint.table_fingerprint(spark.createDataFrame([(x,) for x in v], "v double")).first()["fingerprint"]
+    assert mark(1e-20) != mark(2e-20) and mark(1e25) != mark(1e26) and mark(0.1) != mark(0.1 + 2**-55)
+    assert mark(0.0) == mark(-0.0) and mark(1.0, 2.0) == mark(2.0, 1.0) and mark(None) == mark(float("nan"))
