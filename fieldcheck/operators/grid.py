@@ -156,8 +156,9 @@ def grid_sizes(cells: DataFrame) -> DataFrame:
 
 
 def seeded(key: Column, seed: int, bound: Column, salt: str) -> Column:
-    """Repeatable draw in 0..bound-1."""
-    return F.pmod(F.xxhash64(key, F.lit(seed), F.lit(salt)), bound)
+    """Repeatable draw in 0..bound-1: the first 60 bits of an MD5, which other engines can draw too."""
+    text = F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(salt))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % bound
 
 
 def patches(cells: DataFrame, height: int, width: int, size: int, mode: str, seed: int, chunk: int | None = None) -> DataFrame:
@@ -303,7 +304,7 @@ def tensor_reduce(tensors: DataFrame) -> DataFrame:
 
 def sample_order(samples: DataFrame, seed: int) -> DataFrame:
     """One seeded permutation of the samples, the same for every pass over them."""
-    keyed = samples.select("sample", F.xxhash64("sample", F.lit(seed)).alias("_h"))
+    keyed = samples.select("sample", F.md5(F.concat_ws(":", F.col("sample").cast("string"), F.lit(str(seed)))).alias("_h"))
     return ranked(keyed, [], ["_h", "sample"], "_rank").select(
         "sample", (F.col("_rank") - 1).alias("position")
     )

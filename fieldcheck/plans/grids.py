@@ -20,12 +20,26 @@ def sample_limit(t: Tables) -> DataFrame:
     return grid.limit_samples(t.grid(), SAMPLES)
 
 
-@query("patch_aligned")
+DRAW = "CAST('0x' || substr(md5(sample || ':7:{salt}'), 1, 15) AS BIGINT) % {bound}"
+PATCH = """SELECT field_id, sample, y - top AS y, x - "left" AS x, value, top, "left" FROM placed
+       WHERE y >= top AND y < top + 2 AND x >= "left" AND x < "left" + 2"""
+
+
+@query(
+    "patch_aligned",
+    f"""WITH placed AS (SELECT *, 2 * ({DRAW.format(salt="top", bound=(HEIGHT - 2) // 2 + 1)}) AS top,
+         2 * ({DRAW.format(salt="left", bound=(WIDTH - 2) // 2 + 1)}) AS "left" FROM grid) {PATCH}""",
+)
 def patch_aligned(t: Tables) -> DataFrame:
     return grid.patches(t.grid(), HEIGHT, WIDTH, 2, "chunk_aligned", seed=7, chunk=2)
 
 
-@query("patch_misaligned")
+@query(
+    "patch_misaligned",
+    f"""WITH drawn AS (SELECT *, {DRAW.format(salt="top", bound=HEIGHT - 1)} AS t, {DRAW.format(salt="left", bound=WIDTH - 1)} AS l FROM grid),
+       placed AS (SELECT * EXCLUDE (t, l), CASE WHEN t % 2 = 0 AND l % 2 = 0 AND l >= {WIDTH - 2} AND t < {HEIGHT - 2} THEN t + 1 ELSE t END AS top,
+         CASE WHEN t % 2 = 0 AND l % 2 = 0 AND l < {WIDTH - 2} THEN l + 1 ELSE l END AS "left" FROM drawn) {PATCH}""",
+)
 def patch_misaligned(t: Tables) -> DataFrame:
     return grid.patches(t.grid(), HEIGHT, WIDTH, 2, "misaligned", seed=7, chunk=2)
 
@@ -368,6 +382,9 @@ def grid_blocks(t: Tables) -> DataFrame:
     )
 
 
-@query("sample_order")
+@query(
+    "sample_order",
+    "SELECT vec_id AS sample, row_number() OVER (ORDER BY md5(vec_id || ':11'), vec_id) - 1 AS position FROM embeddings",
+)
 def sample_order(t: Tables) -> DataFrame:
     return grid.sample_order(t.read("embeddings").select(F.col("vec_id").alias("sample")), seed=11)
