@@ -99,13 +99,33 @@ def first_source_wins(sources: Sequence[DataFrame], keys: Sequence[str]) -> Data
     )
 
 
+def contract_faults(cells: DataFrame, contract: DataFrame) -> DataFrame:
+    """(dataset, variable, level, fault) of contract rows that cannot be served; what is in order gives no row.
+
+    An invalid area is named by its reason. `no_variable`: the dataset has no cell of it; `no_level`: it has,
+    but none at this level. Cells are folded to their levels before they meet the contract.
+    """
+    key = ["dataset", "variable", "level"]
+    held = cells.groupBy(*key).agg(F.lit(True).alias("_level"))
+    named = held.groupBy("dataset", "variable").agg(F.lit(True).alias("_variable"))
+    area = area_problem(F.col("north"), F.col("west"), F.col("south"), F.col("east"))
+    fault = (
+        F.when(~area.isin("ok", "dateline"), F.concat(F.lit("area_"), area))
+        .when(F.col("_variable").isNull(), "no_variable")
+        .when(F.col("_level").isNull(), "no_level")
+    )
+    met = contract.join(named, ["dataset", "variable"], "left").join(held, key, "left")
+    return met.select(*key, fault.alias("fault")).filter(F.col("fault").isNotNull())
+
+
 def contract_select(cells: DataFrame, contract: DataFrame, inventory: DataFrame) -> DataFrame:
     """Cells a contract asks for, as canonical long rows with restored units.
 
     `contract` has one row per (dataset, variable, level) with start_date, end_date, times,
     north, west, south and east. Selection is one equi-join on (dataset, variable, level) whose
     residual tests time and area. Units missing on the cells come from `inventory`; they join the
-    contract, so the cells pass one join only.
+    contract, so the cells pass one join only. Rows with an invalid area select nothing; contract_faults
+    reports them, and requested fields and levels without data.
     """
     units = inventory.select("variable", F.col("units").alias("_units"))
     want = contract.join(units, "variable", "left").select(

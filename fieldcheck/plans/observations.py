@@ -212,6 +212,27 @@ def contract_select(t: Tables) -> DataFrame:
     return selection.contract_select(t.cells(), t.contract(), inventory)
 
 
+@query(
+    "contract_faults",
+    """WITH k AS (SELECT dataset, variable, level, CASE dataset WHEN 'NATION_3' THEN 200.0 ELSE west END AS west, east, north, south FROM contract
+         UNION ALL SELECT n_name, 'snow', 2, -1.0, 1.0, 1.0, -1.0 FROM nation),
+       l AS (SELECT DISTINCT dataset, variable, level FROM cells), v AS (SELECT DISTINCT dataset, variable FROM l)
+       SELECT k.dataset, k.variable, k.level, CASE WHEN k.west > 180 THEN 'area_longitude' WHEN v.variable IS NULL THEN 'no_variable' ELSE 'no_level' END AS fault
+       FROM k LEFT JOIN v ON v.dataset = k.dataset AND v.variable = k.variable
+              LEFT JOIN l ON l.dataset = k.dataset AND l.variable = k.variable AND l.level = k.level
+       WHERE k.west > 180 OR l.level IS NULL""",
+)
+def contract_faults(t: Tables) -> DataFrame:
+    """One dataset asks for an impossible area, all ask for a variable that none has."""
+    asked = t.contract().withColumn("west", F.when(F.col("dataset") == "NATION_3", 200.0).otherwise(F.col("west")))
+    one = F.lit(1.0)
+    snow = t.read("nation").select(
+        F.col("n_name").alias("dataset"), F.lit("snow").alias("variable"), F.lit(2).alias("level"),
+        (-one).alias("west"), one.alias("east"), one.alias("north"), (-one).alias("south"),
+    )
+    return selection.contract_faults(t.cells(), asked.select(snow.columns).unionByName(snow))
+
+
 @query(
     "scope_violations",
     """SELECT station_id, "timestamp", field_id, value FROM obs
