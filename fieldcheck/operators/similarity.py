@@ -1,7 +1,8 @@
 """Earliest similar proposal by Jaccard similarity of token sets, exact and without all-pairs work.
 
 Two sets with Jaccard >= t share a token among their rarest |x| - ceil(t |x|) + 1 tokens, so only
-sets that meet in such a token are compared. Copies of one token set are one row from the start.
+sets that meet in such a token are compared, and of these only pairs whose token places leave room for
+the overlap. Copies of one token set are one row from the start.
 Only the earliest match is wanted: each bucket first offers its earliest few members, which answers
 every member of a cluster of near copies; a set goes on to the rest of its buckets only while an
 earlier answer could still hide there.
@@ -51,7 +52,7 @@ def earliest_similar(proposals: DataFrame, threshold: float, leaders: int = LEAD
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(set_id, size, token) of the rarest tokens of each set, rarest by the number of sets holding them."""
+    """(set_id, size, place, token) of the rarest tokens of each set, rarest by the number of sets holding them."""
     each = sets.select("set_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     spread = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rare = (
@@ -60,7 +61,7 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_t"))
     )
     keep = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    return rare.select("set_id", "size", F.explode(F.slice("_t", F.lit(1), keep)["token"]).alias("token"))
+    return rare.select("set_id", "size", F.posexplode(F.slice("_t", F.lit(1), keep)["token"]).alias("place", "token"))
 
 
 def earliest_group(postings: DataFrame, sets: DataFrame, threshold: float, leaders: int) -> DataFrame:
@@ -84,11 +85,21 @@ def earliest_group(postings: DataFrame, sets: DataFrame, threshold: float, leade
 
 
 def candidates(left: DataFrame, right: DataFrame, threshold: float, bound: str = "gid") -> DataFrame:
-    """Distinct pairs of sets that share a rare token in a bucket and fit in size."""
-    r = right.select(*BUCKET, F.col("set_id").alias("set2"), F.col("gid").alias("other"), F.col("size").alias("size2"))
-    fits = (F.col("size2") >= F.col("size") * threshold - 1e-9) & (F.col("size") >= F.col("size2") * threshold - 1e-9)
+    """Distinct pairs of sets that share a rare token in a bucket, fit in size and have room for the overlap.
+
+    `need` tokens must be shared. All sets are in one order, so two such sets share a token among the first
+    size - need + 1 of either, and what they share is at most what stands before and after any common token.
+    """
+    r = right.select(
+        *BUCKET, F.col("set_id").alias("set2"), F.col("gid").alias("other"), F.col("size").alias("size2"), F.col("place").alias("place2")
+    )
+    a, b, i, j = (F.col(c) for c in ("size", "size2", "place", "place2"))
+    need = F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
+    room = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1) >= need
+    sized = (b >= a * threshold - 1e-9) & (a >= b * threshold - 1e-9)
+    fits = sized & (i <= a - need) & (j <= b - need) & room
     return (
-        left.select(*BUCKET, "set_id", "size", F.col(bound).alias("_b"))
+        left.select(*BUCKET, "set_id", "size", "place", F.col(bound).alias("_b"))
         .join(r, BUCKET)
         .filter((F.col("other") < F.col("_b")) & fits)
         .select(*GROUP, "set2", "other")

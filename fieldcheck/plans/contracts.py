@@ -226,12 +226,13 @@ def extract_options(t: Tables) -> DataFrame:
     return inventory.extract_options(docs).withColumn("options", F.array_join("options", "|"))
 
 
-LAYOUT = """'{"body":{"main":[{"type":"text","id":"t' || p_partkey || '"},{"type":"table","id":"main_variables","content":[{"name":"' || p_name || '"},{"name":"' || p_type || '"}]},{"type":"block","blocks":[{"type":"table","id":"' || p_brand || '"}]}],"secret_token":"' || CASE WHEN p_size > 25 THEN p_name ELSE '' END || '","aside":{"api_key":' || CASE WHEN p_size > 40 THEN '{"name":"ENV"}' ELSE '{}' END || ',"monkey":"x"}}}'"""
+LAYOUT = """'{"body":{"main":[{"type":"text","id":"t' || p_partkey || '"},{"type":"table","id":"main_variables","content":[{"name":"' || p_name || '"},{"name":"' || p_type || '"}]},{"type":"block","blocks":[{"type":"table","id":"' || p_brand || '"}]}],"secret_token":"' || CASE WHEN p_size > 25 THEN p_name ELSE '' END || '","aside":{"api_key":' || CASE WHEN p_size > 40 THEN '{"name":"ENV"}' ELSE '{}' END || ',"monkey":"x"},"deep":' || CASE WHEN p_partkey % 50 = 0 THEN repeat('{"a":', 12) || '{"type":"table","id":"deep","content":[1],"token":"t"}' || repeat('}', 12) ELSE '{}' END || '}}'"""
 
 
 @query(
     "layout_tables",
-    """SELECT p_partkey AS doc, u.table_id, u.path, u.content_rows FROM part, LATERAL (VALUES ('main_variables', '$.body.main[1]', 2), (p_brand, '$.body.main[2].blocks[0]', 0)) u(table_id, path, content_rows)""",
+    """SELECT p_partkey AS doc, u.table_id, u.path, u.content_rows FROM part, LATERAL (VALUES ('main_variables', '$.body.main[1]', 2), (p_brand, '$.body.main[2].blocks[0]', 0)) u(table_id, path, content_rows)
+       UNION ALL SELECT p_partkey, 'deep', '$.body.deep' || repeat('.a', 12), 1 FROM part WHERE p_partkey % 50 = 0""",
 )
 def layout_tables(t: Tables) -> DataFrame:
     docs = t.read("part").select("p_partkey", F.expr(LAYOUT).alias("layout"))
