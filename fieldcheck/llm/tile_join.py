@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from fieldcheck.llm.common import joined_bytes, map_batches, mixed, query, table, written
 from fieldcheck.llm.slices import hash_slices, lowered, words
 
-#: Sets that share at least SHARED n-grams are looked for (fewer if they are small).
-SHARED = 3
+#: Pairs must share this many of their first n-grams (fewer if they are small). More of them make longer beginnings, in
+#: which near copies that just miss the similarity meet after all; bitmaps settle what one shared n-gram leaves.
+SHARED = 1
 #: Repeated n-grams kept for the order, the most frequent ones: bounds the broadcast at 16 bytes each.
 #: Any choice gives the same result; n-grams left out only make longer postings.
 ORDERED = 1 << 17
@@ -339,11 +340,11 @@ def _leaders(tiles: DataFrame, percent: int) -> DataFrame:
     return out.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
 
 
-def _remaining(tiles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share enough first n-grams to be similar."""
+def _meetings(tiles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """x, y, n: sets of different components that meet in a tile and may be similar; a row a meeting, n is x's size."""
     known = tiles.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed_ = known.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    open_ = known.join(mixed_.select("gram"), "gram").withColumn("band", _band("n", percent))
+    several = known.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    open_ = known.join(several.select("gram"), "gram").withColumn("band", _band("n", percent))
     visits = open_.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     # x is the smaller one, or the one of smaller name; y comes from its own band
     both = f"ceil({percent} * (x.n + y.n) / {100 + percent})"  # what two similar sets of these sizes share
@@ -356,10 +357,15 @@ def _remaining(tiles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         f"AND {100 + percent} * (least(x.place, y.place) + 1 + least(x.n - x.place, y.n - y.place) - 1)"
         f" >= {percent} * (x.n + y.n)"
     )
-    pairs = visits.alias("x").join(open_.alias("y"), F.expr(meet)).select("x.sid", "y.sid", "x.n")
+    met = visits.alias("x").join(open_.alias("y"), F.expr(meet))
+    return met.select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y"), F.col("x.n").alias("n"))
+
+
+def _remaining(tiles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share enough first n-grams to be similar."""
     need = F.ceil(F.expr(f"{percent} * n / 100"))
     return (
-        pairs.toDF("x", "y", "n").groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+        _meetings(tiles, labels, percent).groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
         .filter(F.col("shared") >= F.least(F.lit(SHARED), need))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
