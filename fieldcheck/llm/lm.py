@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcheck.llm.common import joined_bytes, mixed, query, table, written
+from fieldcheck.llm.common import joined_bytes, mixed, most_frequent, query, table, written
 from fieldcheck.llm.language_id import id_crc
 from fieldcheck.llm.slices import hash_slices, lowered, words
 
@@ -110,9 +110,9 @@ class Head:
 
 
 def head_of(counts: DataFrame) -> Head:
-    """At most HEAD rows and two sums reach the driver."""
+    """At most HEAD rows, a histogram and two sums reach the driver."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    top = most_frequent(counts, "n", HEAD).sort_values(["n", "word"], ascending=[False, True])
     word, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     size = CLASSES * IN_CLASS
     listed = np.zeros(size, np.int64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcheck.llm.common import joined_bytes, map_batches, mixed, query, table, written
+from fieldcheck.llm.common import joined_bytes, map_batches, mixed, most_frequent, query, table, written
 from fieldcheck.llm.slices import hash_slices, lowered, words
 
 #: Pairs must share this many of their first n-grams (fewer if they are small). More of them make longer beginnings, in
@@ -385,8 +385,8 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     times = (
         found.filter("repeated IS NOT NULL").select(F.inline("repeated"))
         .groupBy("gram").agg(F.sum("times").alias("times"))
-        .orderBy(F.desc("times"), "gram").limit(ORDERED).toPandas().sort_values("gram")
     )
+    times = most_frequent(written(times, "repeated"), "times", ORDERED)
     grams = times["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(grams)
     late = (grams[order], times["times"].to_numpy(np.int64)[order])
