@@ -54,10 +54,19 @@ def promote_scalar(df: DataFrame, dimension: str, value: object) -> DataFrame:
     return df if dimension in df.columns else df.withColumn(dimension, F.lit(value))
 
 
-def scan_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON documents (one per line or per file) read with a fixed schema, with their file name."""
+UNREADABLE = "_unreadable"
+
+
+def scan_records(spark: SparkSession, path: str, schema: T.StructType, whole_files: bool = False) -> DataFrame:
+    """JSON records read with a fixed schema, with their file name and what could not be read.
+
+    Appended records stand one on a line; with `whole_files` each file is one document, indented or not.
+    A record that is no JSON or does not fit keeps its text in `_unreadable`, which is null for all others.
+    """
     return (
-        spark.read.schema(schema)
+        spark.read.schema(T.StructType([*schema.fields, T.StructField(UNREADABLE, T.StringType())]))
+        .option("columnNameOfCorruptRecord", UNREADABLE)
+        .option("multiLine", whole_files)
         .json(path)
         .withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     )

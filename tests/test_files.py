@@ -130,3 +130,14 @@ def test_damaged_files_and_links(spark, tmp_path):
     (tmp_path / "link.parquet").symlink_to(tmp_path / "bad.parquet")
     with pytest.raises(Exception, match="symbolic link"):
         files.list_files(spark, str(tmp_path)).count()
+
+
+def test_indented_documents_and_broken_records(spark, tmp_path):
+    schema = "a int, b string"
+    kind = spark.createDataFrame([], schema).schema
+    (tmp_path / "one.json").write_text('{\n  "a": 1,\n  "b": "x"\n}\n')
+    whole = readers.scan_records(spark, str(tmp_path / "one.json"), kind, whole_files=True).collect()
+    assert [(r["a"], r["b"], r["_unreadable"], r["source_file"]) for r in whole] == [(1, "x", None, "one.json")]
+    (tmp_path / "lines.json").write_text('{"a": 1}\n{"a": \n')
+    lines = readers.scan_records(spark, str(tmp_path / "lines.json"), kind).collect()
+    assert [(r["a"], r["_unreadable"] is None) for r in lines] == [(1, True), (None, False)]
