@@ -19,13 +19,22 @@ def limit_samples(cells: DataFrame, n: int) -> DataFrame:
     return cells.filter(F.col("sample") < n)
 
 
+KEPT_MODES = ("none", "cf_datetime")
+SORTED_MODES = ("ascending", "cf_datetime_ascending", "longitude_modulo_360")
+
+
 def normalise_coordinates(coords: DataFrame) -> DataFrame:
     """New order of each axis by its `mode`; `source_idx` keeps the old position.
 
-    Modes: none, ascending, longitude_modulo_360. Ties keep their source order.
+    none and cf_datetime keep the order, ascending, cf_datetime_ascending and longitude_modulo_360 sort; any
+    other mode, and none given, is an error. Ties keep their source order. Time axes come decoded (decode_cf_time).
     """
-    v = F.when(F.col("mode") == "longitude_modulo_360", longitude_360(F.col("value"))).otherwise(F.col("value"))
-    place = F.when(F.col("mode") == "none", F.col("idx").cast("double")).otherwise(v)
+    mode = F.col("mode")
+    v = F.when(mode == "longitude_modulo_360", longitude_360(F.col("value"))).otherwise(F.col("value"))
+    unknown = F.raise_error(F.concat(F.lit("unknown coordinate mode "), F.coalesce(mode, F.lit("null")))).cast("double")
+    place = (
+        F.when(mode.isin(*KEPT_MODES), F.col("idx").cast("double")).when(mode.isin(*SORTED_MODES), v).otherwise(unknown)
+    )
     ready = coords.select("axis", F.col("idx").alias("source_idx"), v.alias("value"), place.alias("_place"))
     return ranked(ready, ["axis"], ["_place", "source_idx"], "_rank").select(
         "axis", (F.col("_rank") - 1).alias("idx"), "source_idx", "value"

@@ -126,3 +126,12 @@ def test_level_matches(spark):
     )
     got = {r["selector_id"]: (r["matches"], r["status"]) for r in selection.select_level(coords, wanted, ["channel"]).collect()}
     assert got == {1: (1, "selected"), 2: (2, "ambiguous"), 3: (0, "no_match"), 4: (0, "no_axis"), 5: (1, "selected")}
+
+
+def test_coordinate_modes(spark):
+    axis = lambda mode: spark.createDataFrame([("t", i, v, mode) for i, v in enumerate([3.0, 1.0, 2.0])], "axis string, idx long, value double, mode string")
+    order = lambda mode: [r["source_idx"] for r in grid.normalise_coordinates(axis(mode)).orderBy("idx").collect()]
+    assert order("none") == order("cf_datetime") == [0, 1, 2]
+    assert order("ascending") == order("cf_datetime_ascending") == [1, 2, 0]
+    with pytest.raises(Exception, match="unknown coordinate mode"):
+        order("descending")
