@@ -28,8 +28,8 @@ HEAD = 1 << 16
 #: Classes of the softmax, words in each; the first word of the first class stands for all others.
 CLASSES, IN_CLASS = 32, 32
 HIDDEN = 32
-#: Texts (by hash) of 1 in SHARE train the network, in every task; ROUNDS averages of the copies.
-SHARE, ROUNDS = 32, 2
+#: Texts (by hash) of 1 in SHARE train the network, in every task: all of them. ROUNDS averages of the copies.
+SHARE, ROUNDS = 1, 2
 TRAIN_LANES, TRAIN_WINDOW, RATE = 32, 16, 0.02
 LANES, WINDOW = 256, 64
 #: Tokens a task scores, trains on or counts together: bounds its memory.

@@ -300,6 +300,16 @@ def test_network_beats_the_counts_on_held_out_texts(spark, docs):
     assert got[0] > got[1]
 
 
+def test_every_training_text_trains_the_network(docs):
+    """Each text has a word of its own; a word that no task has trained on keeps its first weights."""
+    rows = docs([(i, f"own{i} " * 5, None) for i in range(96)])
+    head = lm.head_of(lm.counted(rows))
+    first, after = lm.Network(head.listed, head.other_total), lm.train(rows.repartition(2), head)
+    moved = np.abs(after.inputs - first.inputs).max(1) > 0
+    own = head.place[head.words != lm.END]
+    assert len(own) == 96 and moved[own].all()
+
+
 def test_scores_without_training(docs):
     table_ = docs(HARD)
     got = lm.score(table_, table_.limit(0)).collect()
