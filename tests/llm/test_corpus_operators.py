@@ -219,6 +219,18 @@ def test_judgement(spark, docs):
     assert quality_rules.judge(docs([]), labels).count() == 0
 
 
+def test_judgement_at_the_production_risk(spark, docs):
+    """One stratum: 3,451 good texts without a hit prove a cutoff, 3,450 prove none."""
+    draw = random.Random(8)
+    prose = lambda: " ".join("".join(draw.choices("abcdefghij", k=draw.randrange(3, 8))) for _ in range(60))
+    rows = docs([(i, prose(), "en") for i in range(3451)] + [(5000, "### " * 20 + prose(), "en")])
+    for n, kept in ((3451, False), (3450, True)):
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id bigint, quality int, toxic int")
+        got = {r["doc_id"]: r for r in quality_rules.judge(rows, labels).collect()}
+        assert got[5000]["kept"] == kept and ("symbols" in got[5000]["failed"]) != kept
+        assert sum(not got[i]["kept"] for i in range(3451)) <= quality_rules.RISK * len(quality_rules.RULES) * 3451
+
+
 # --- language model
 
 
