@@ -57,6 +57,18 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", needs=("eyj",)),
     Rule("google", r"AIza[A-Za-z0-9_-]+", least=39, needs=("aiza",)),
 )
+#: A private key as a whole: to the END line of its label, with no other key between. Without that line, what looks
+#: like the body: lines of base64 alone, runs of 24 characters or more, and one shorter run behind these.
+_GAP = r"(?:\s|\\[nr])"
+_PEM = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----"
+    r"(?:[^-]*(?:-(?!----(?:BEGIN|END) )[^-]*)*-----END \1PRIVATE KEY-----"
+    rf"|(?:{_GAP}+(?:Proc-Type|DEK-Info|Comment|Version):[^\n]*)*"
+    rf"(?:{_GAP}*(?:[A-Za-z0-9+/]{{24,}}=*|(?<=\n)[\x20\t]*[A-Za-z0-9+/]+=*(?=[\x20\t\r]*(?:\n|\Z))))*"
+    rf"(?:(?<=[A-Za-z0-9+/]{{24}}){_GAP}+[A-Za-z0-9+/]+=*(?!\S))?)"
+)
+#: The rules by which texts are redacted. RULES, which op2_secret_scan lists, show a private key by its header, as its SQL does.
+WHOLE = tuple(Rule(r.kind, _PEM, needs=r.needs) if r.kind == "pem" else r for r in RULES)
 BASE = ("assign", "access", "hex")
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
@@ -88,7 +100,7 @@ class Scanner:
 class BlobLedger:
     """A ledger kept in `folder`, which all executors must reach."""
 
-    def __init__(self, spark: SparkSession, folder: str, rules: tuple[Rule, ...] = RULES) -> None:
+    def __init__(self, spark: SparkSession, folder: str, rules: tuple[Rule, ...] = WHOLE) -> None:
         self.spark, self.folder, self.rules = spark, folder.rstrip("/"), rules
 
     def scans(self) -> DataFrame:
@@ -249,7 +261,7 @@ FROM documents d LEFT JOIN rows r ON d.doc_id = r.doc_id GROUP BY d.doc_id
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     versions = docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text")
-    ledger = BlobLedger(spark, scratch(spark, "ledger"))
+    ledger = BlobLedger(spark, scratch(spark, "ledger"), RULES)
     ledger.update(versions)
     return findings(ledger.report(versions)).withColumnRenamed("path", "doc_id")
 

@@ -155,6 +155,31 @@ def test_secrets_against_brute_force(spark, docs):
     assert clean[3].startswith("api_key=short") and clean[6] == "f" * 31 + " [hex]"
 
 
+def test_no_byte_of_a_private_key_is_left(spark, docs):
+    """With its END line or without, in lines, escaped or in one line; the text around it stays."""
+    from pyspark.sql import functions as F
+
+    body = ["MIIEpAIBAAKCAQEA" + c * 48 for c in "QRST"] + ["Zz9+/w=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = "\n".join([begin, *body])
+    cases = [
+        (f"before {lines}\n{end} behind it", "before [pem] behind it"),
+        (f"{lines}\n{end}\nand {lines}\n{end}", "[pem]\nand [pem]"),
+        (f"{lines}\n-----END EC PRIVATE KEY-----", "[pem]\n-----END EC PRIVATE KEY-----"),
+        (f"{lines}\nbehind the key", "[pem]\nbehind the key"),
+        (lines, "[pem]"),
+        (" ".join([begin, *body]) + " behind the key", "[pem] behind the key"),
+        (r"\n".join([begin, *body, end]) + '", x', '[pem]", x'),
+        ("\r\n".join([begin, "Proc-Type: 4,ENCRYPTED", "", *body, end]), "[pem]"),
+        (f"a file with {begin} is a key\n{lines}\n{end}", "a file with [pem] is a key\n[pem]"),
+    ]
+    table = docs([(i, t, None) for i, (t, _) in enumerate(cases)])
+    ledger = secret_ledger.BlobLedger(spark, scratch(spark, "ledger"))
+    ledger.update(table.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"))
+    clean = {r["doc_id"]: r["text"] for r in ledger.redact(table).collect()}
+    assert [clean[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_ledger_scans_only_what_is_new(spark, docs):
     from pyspark.sql import functions as F
 
