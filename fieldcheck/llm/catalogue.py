@@ -14,6 +14,7 @@ from fieldcheck.llm import (  # noqa: F401
     license_index,
     lm,
     quality_rules,
+    runs,
     secret_ledger,
     tile_join,
     warc,
