@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldcheck.llm import (  # noqa: F401
     bpe,
     chat_format,
+    collocations,
     decontam,
     language_id,
     license_index,
     lm,
+    passages,
     quality_rules,
     runs,
     secret_ledger,

@@ -35,6 +35,18 @@ def hash_slices(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def hash_windows(raw: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every stretch of `size` bytes, by its start; hash_slices gives the same."""
+    n = len(raw) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _grown(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_VALUE[raw] * up[: len(raw)], out=sums[1:])
+        return mixed((sums[size:] - sums[:n]) * down[:n] + np.uint64(size))
+
+
 def gather(source: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices number `which` of source, one behind the other, and the offsets that cut the result."""
     sizes = offsets[which + 1] - offsets[which]
