@@ -4,9 +4,9 @@ A value is better than a reference only beyond the reference's noise floor, max(
 |reference| * relative). The relation is therefore neither symmetric nor transitive: fronts may get
 stuck and the archive depends on the order of its nodes.
 
-Runs up to SMALL_RUN nodes are handled as one group each. A larger run is never put in one task:
-its fronts are peeled with the dominators found in every partition, its archive is grown by one
-distributed search for the next admission at a time.
+No run is ever one group. Its nodes are cut into slices of bounded size in the order that the job
+needs; slices work alone on what they are sent, and rounds repeat until nothing changes. A first
+round that sees its whole run is the common case, but not a special one.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from fieldcheck.operators.ordered import exact_quantiles, ranked, running
+from fieldcheck.operators.ordered import SLICE, exact_quantiles, ranked, running
 from fieldcheck.session import pinned
 
-SMALL_RUN = 2000
+#: Nodes of a slice: bounds what a task compares.
+SLICE_ROWS = 4096
 MERGE_ROWS = 100_000
 CHUNK = 500
-COMPACT_EVERY = 20
+SALTS = 32
 KEY = ["run_id", "node_id"]
 
 
@@ -83,13 +85,13 @@ def parent_changes(nodes: DataFrame, objectives: Sequence[Objective]) -> DataFra
     return with_parent(nodes, objectives).select("node_id", "parent_id", *[change(o).alias(f"{o.name}_change") for o in objectives])
 
 
-def sized(points: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(small runs, large runs, whether there are large ones) by node count."""
-    counts = points.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
-    large_ids = counts.filter(F.col("_n") > limit).select("run_id")
-    if large_ids.isEmpty():
-        return points, points.limit(0), False
-    return points.join(large_ids, "run_id", "left_anti"), points.join(large_ids, "run_id", "left_semi"), True
+def sliced_runs(rows: DataFrame, order: Sequence[Column | str], size: int) -> DataFrame:
+    """Adds `_slice`, which cuts the rows of each run into stretches of about `size` rows in the given order.
+
+    Slices are range partitions, so their numbers grow with the order; pinned, so that they cannot change.
+    """
+    parts = max(1, -(-rows.count() // size))
+    return pinned(rows.repartitionByRange(parts, "run_id", *order).withColumn(SLICE, F.spark_partition_id()))
 
 
 def _values(pdf: pd.DataFrame, objectives: Sequence[Objective]) -> np.ndarray:
@@ -102,29 +104,6 @@ def _floors(values: np.ndarray, objectives: Sequence[Objective]) -> np.ndarray:
     return np.maximum(absolute, np.abs(values) * relative)
 
 
-def peel(objectives: Sequence[Objective]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Layers of one small run."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = _values(pdf, objectives)
-        gain = v[:, None, :] - v[None, :, :]
-        floor = _floors(v, objectives)[None, :, :]
-        beats = (gain > floor).any(axis=2) & ~(gain < -floor).any(axis=2)
-        layer = np.zeros(len(pdf), dtype=np.int64)
-        left = np.ones(len(pdf), dtype=bool)
-        n = 0
-        while left.any():
-            n += 1
-            front = left & ~beats[left].any(axis=0)
-            if not front.any():
-                raise RuntimeError("no node of the rest is free of dominators: the floors do not order them")
-            layer[front] = n
-            left &= ~front
-        return pd.DataFrame({"run_id": pdf["run_id"], "node_id": pdf["node_id"], "front": layer + pdf["_base"].to_numpy()})
-
-    return run
-
-
 def strongest(objectives: Sequence[Objective], schema_names: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Per run, the points of a partition no other point of it equals or exceeds everywhere.
 
@@ -186,108 +165,217 @@ def first_front(points: DataFrame, objectives: Sequence[Objective]) -> DataFrame
     return dominated_flags(points, objectives).filter(~F.col("dominated")).select(*KEY)
 
 
-def pareto_fronts(points: DataFrame, objectives: Sequence[Objective], small_run: int = SMALL_RUN) -> DataFrame:
-    """(run_id, node_id, front) with fronts numbered from 1; raises when a run makes no progress."""
-    names = [o.name for o in objectives]
-    schema = points.select(*KEY).schema.add("front", "long")
-    together = lambda df: df.groupBy("run_id").applyInPandas(peel(objectives), schema)
-    given = pinned(points.select(*KEY, *names, F.lit(0).cast("long").alias("_base")))
-    small, left, more = sized(given, small_run)
-    out, layer = together(small), 0
-    while more:
-        layer += 1
-        judged = pinned(dominated_flags(left.select(*KEY, *names), objectives))
-        front = judged.filter(~F.col("dominated"))
-        stuck = judged.select("run_id").distinct().join(front.select("run_id").distinct(), "run_id", "left_anti")
-        if not stuck.isEmpty():
-            raise RuntimeError("no node of the rest is free of dominators: the floors do not order them")
-        out = out.unionByName(front.select(*KEY, F.lit(layer).cast("long").alias("front")))
-        if layer % COMPACT_EVERY == 0:
-            out = pinned(out)
-        rest = judged.filter("dominated").select(*KEY, *names, F.lit(layer).cast("long").alias("_base"))
-        small, left, more = sized(rest, small_run)
-        out = out.unionByName(together(small))
+def _bounds(values: np.ndarray, senders: np.ndarray, front: np.ndarray, objectives: Sequence[Objective]) -> np.ndarray:
+    """For each row the largest front of the senders that dominate it, 0 without any."""
+    floors = _floors(values, objectives)
+    out = np.zeros(len(values), np.int64)
+    for i in range(0, len(senders), CHUNK):
+        gain = senders[i : i + CHUNK, None, :] - values[None]
+        beats = (gain > floors).any(2) & ~(gain < -floors).any(2)
+        out = np.maximum(out, (beats * front[i : i + CHUNK, None]).max(0))
     return out
 
 
-def fold_archive(objectives: Sequence[Objective]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Ordered admission within one small run."""
+def _solved(objectives: Sequence[Objective]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Fronts of a slice, given the largest front that dominates each of its rows from outside."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        v = _values(pdf, objectives)
+    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v, bound = _values(pdf, objectives), pdf["_bound"].to_numpy(np.int64)
+        gain = v[:, None, :] - v[None]
         floors = _floors(v, objectives)
-        inside: list[int] = []
-        admitted = np.zeros(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            gain = v[i] - v[inside]
-            better = (gain > floors[inside]).any(axis=1)
-            worse = (gain < -floors[inside]).any(axis=1)
-            if better.all():
-                inside = [m for m, b, w in zip(inside, better, worse) if not (b and not w)] + [i]
-                admitted[i] = True
-        final = np.isin(np.arange(len(pdf)), inside)
-        return pd.DataFrame({"run_id": pdf["run_id"], "node_id": pdf["node_id"], "admitted": admitted, "in_archive": final})
+        beats = (gain > floors).any(2) & ~(gain < -floors).any(2)
+        front = np.maximum(pdf["front"].to_numpy(np.int64), bound + 1)
+        moved = np.arange(len(v))
+        for _ in range(len(v) + 1):
+            new = np.maximum(front, (beats[moved] * (front[moved, None] + 1)).max(0))
+            moved = np.flatnonzero(new != front)
+            front = new
+            if not len(moved):
+                break
+        else:
+            raise RuntimeError("no node of the rest is free of dominators: the floors do not order them")
+        return pdf.assign(_moved=front != pdf["front"].to_numpy(np.int64), front=front).drop(columns="_bound")
+
+    return run
+
+
+def _received(objectives: Sequence[Objective]) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What one slice's fronts mean for the rows of another one."""
+
+    def run(_: tuple, senders: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        bound = _bounds(_values(rows, objectives), _values(senders, objectives), senders["front"].to_numpy(np.int64), objectives)
+        return rows[KEY].assign(_bound=bound)[bound > 0]
+
+    return run
+
+
+def pareto_fronts(points: DataFrame, objectives: Sequence[Objective], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(run_id, node_id, front) with fronts numbered from 1; raises when a run makes no progress.
+
+    A node's front is one more than the largest front of its dominators. Slices, cut along the first
+    objective, solve this among their own rows; then those whose fronts have moved send them to the
+    slices of their run that they may dominate, pair by pair, until no front moves. Dominators mostly
+    come from slices before, so a run of k slices takes some k rounds at most, one of one slice none.
+    """
+    names = [o.name for o in objectives]
+    first = objectives[0]
+    order = F.col(first.name).desc() if first.maximize else F.col(first.name).asc()
+    rows = sliced_runs(points.select(*KEY, *names), [order], slice_rows)
+    size = rows.count()
+    schema = StructType([*rows.schema.fields]).add("front", "long").add("_moved", "boolean")
+    solve = lambda df: pinned(df.groupBy("run_id", SLICE).applyInPandas(_solved(objectives), schema).select(*schema.names))
+    state = solve(rows.withColumns({"front": F.lit(0).cast("long"), "_bound": F.lit(0).cast("long")}))
+    boxes = rows.groupBy("run_id", SLICE).agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))])
+    ways = pinned(_ways(boxes, objectives))
+    while not ways.isEmpty():
+        moved = state.groupBy("run_id", SLICE).agg(F.max("_moved").alias("_m"), F.max("front").alias("_f")).filter("_m")
+        if moved.isEmpty():
+            break
+        if moved.agg(F.max("_f")).first()[0] > size:
+            raise RuntimeError("no node of the rest is free of dominators: the floors do not order them")
+        live = ways.join(moved.select("run_id", F.col(SLICE).alias("_from")), ["run_id", "_from"])
+        sent = state.withColumnRenamed(SLICE, "_from").join(live, ["run_id", "_from"])
+        met = state.toDF(*["_to" if c == SLICE else c for c in state.columns]).join(live.toDF(*live.columns), ["run_id", "_to"])
+        pair = ["run_id", "_from", "_to"]
+        bounds = (
+            sent.groupBy(*pair).cogroup(met.groupBy(*pair))
+            .applyInPandas(_received(objectives), points.select(*KEY).schema.add("_bound", "long"))
+            .groupBy(*KEY).agg(F.max("_bound").alias("_bound"))
+        )
+        now = state.drop("_moved").join(bounds, KEY, "left").withColumn("_bound", F.coalesce("_bound", F.lit(0).cast("long")))
+        state = solve(now)
+    return state.select(*KEY, "front")
+
+
+def _ways(boxes: DataFrame, objectives: Sequence[Objective]) -> DataFrame:
+    """(run_id, _from, _to): slices of a run of which the first may hold dominators of the second's rows."""
+    other = boxes.select("run_id", F.col(SLICE).alias("_to"), *[F.col(c).alias(f"t_{c}") for c in boxes.columns[2:]])
+    both = boxes.withColumnRenamed(SLICE, "_from").join(other, "run_id").filter(F.col("_from") != F.col("_to"))
+    for o in objectives:
+        low, high = (F.col(f"t_lo_{o.name}"), F.col(f"t_hi_{o.name}"))
+        floor = F.greatest(F.lit(float(o.absolute)), F.greatest(F.abs(low), F.abs(high)) * float(o.relative))
+        both = both.filter(F.col(f"hi_{o.name}") >= low - floor if o.maximize else F.col(f"lo_{o.name}") <= high + floor)
+    return both.select("run_id", "_from", "_to")
+
+
+def _admissions(v: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In the order given: which rows an archive that starts empty admits, and which row evicts each (-1: none).
+
+    Between two admissions the members stand still, so all rows that follow are tested at once.
+    """
+    n = len(v)
+    admitted, evictor = np.zeros(n, bool), np.full(n, -1)
+    inside = np.zeros(0, np.int64)
+    i, step = 0, 64
+    while i < n:
+        part = slice(i, min(i + step, n))
+        gain = v[part, None, :] - v[inside][None]
+        passes = (gain > floors[inside]).any(2).all(1)
+        if not passes.any():
+            i, step = part.stop, min(2 * step, 4096)
+            continue
+        at = int(passes.argmax())
+        beaten = ~(gain[at] < -floors[inside]).any(1)
+        evictor[inside[beaten]] = i + at
+        inside = np.append(inside[~beaten], i + at)
+        admitted[i + at] = True
+        i, step = i + at + 1, max(16, step // 2)
+    return admitted, evictor
+
+
+def _proposals(objectives: Sequence[Objective]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """What a slice's nodes would have admitted, had the run begun with them."""
+
+    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", kind="stable")
+        v = _values(pdf, objectives)
+        return pdf[_admissions(v, _floors(v, objectives))[0]]
+
+    return run
+
+
+def _folded(objectives: Sequence[Objective], schema_names: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Archives of the proposals, sorted by run and seq: members leave as rows when they are evicted.
+
+    Only the members of the run at hand are held, whatever the number of proposals.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            for run_id, part in batch.groupby("run_id", sort=False):
+                if held is not None and len(held) and held["run_id"].iloc[0] != run_id:
+                    yield held[list(schema_names)]
+                    held = None
+                part = part.assign(until=np.nan, until_slice=np.nan)
+                both = part if held is None else pd.concat([held, part], ignore_index=True)
+                v = _values(both, objectives)
+                # the members stand first, in the order of their admission, and admit each other again
+                admitted, evictor = _admissions(v, _floors(v, objectives))
+                gone = np.flatnonzero(admitted & (evictor >= 0))
+                done = both.iloc[gone].assign(
+                    until=both["seq"].to_numpy(float)[evictor[gone]], until_slice=both[SLICE].to_numpy(float)[evictor[gone]]
+                )
+                yield done[list(schema_names)]
+                held = both.iloc[np.flatnonzero(admitted & (evictor < 0))]
+        if held is not None:
+            yield held[list(schema_names)]
+
+    return run
+
+
+def _overlooked(objectives: Sequence[Objective]) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Nodes of a slice that the archive of their time would have admitted, though it has not seen them."""
+
+    def run(_: tuple, pdf: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", kind="stable")
+        v, seq = _values(pdf, objectives), pdf["seq"].to_numpy()
+        passes = ~np.isin(seq, members["seq"].to_numpy())
+        m = _values(members, objectives)
+        floors = _floors(m, objectives)
+        since = np.searchsorted(seq, members["seq"].to_numpy(), "right")
+        until = members["until"].to_numpy(float)
+        to = np.where(np.isnan(until), len(seq), np.searchsorted(seq, np.nan_to_num(until), "right"))
+        for i, (a, b) in enumerate(zip(since.tolist(), to.tolist(), strict=True)):
+            passes[a:b] &= (v[a:b] - m[i] > floors[i]).any(1)
+        return pdf[passes]
 
     return run
 
 
-def pareto_archive(nodes: DataFrame, objectives: Sequence[Objective], small_run: int = SMALL_RUN) -> DataFrame:
+def pareto_archive(nodes: DataFrame, objectives: Sequence[Objective], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Which nodes of (run_id, node_id, seq, objectives...) the archive admits, and which it still holds.
 
     In order of `seq` a node is rejected when a member dominates it or is equivalent to it, that
     is, unless it is better than every member in some objective; an admitted node evicts the
     members it dominates. The members differ pairwise by more than the noise floor, so their
     number follows from the value ranges and not from the length of a run.
-    """
-    names = [o.name for o in objectives]
-    small, large, more = sized(pinned(nodes.select(*KEY, "seq", *names)), small_run)
-    schema = nodes.select(*KEY).schema.add("admitted", "boolean").add("in_archive", "boolean")
-    out = small.groupBy("run_id").applyInPandas(fold_archive(objectives), schema)
-    return out.unionByName(archive_of_large(large, objectives)) if more else out
-
 
-def archive_of_large(nodes: DataFrame, objectives: Sequence[Objective]) -> DataFrame:
-    """All large runs advance together, each by its next admission per round.
-
-    Under a fixed archive every node can be tested alone, so the next admission is the smallest
-    `seq` that passes: a filter and a min. Rounds end when no run admits a node.
+    Each slice of a run proposes the nodes that its own fold would admit. One sorted stream folds the
+    proposals into members with a time of admission and one of eviction, as rows; every slice then
+    tests all its nodes against the members of their time. Nodes that pass without having been proposed
+    join the proposals, and the fold is repeated. When there are none, each node has been judged by the
+    very members that the fold of the whole run would have had.
     """
-    node = F.struct(*KEY[1:], "seq", *[o.name for o in objectives])
-    nodes = pinned(nodes)
-    kind = dict(nodes.select(node.alias("n")).dtypes)["n"]
-    state = nodes.select("run_id").distinct().select(
-        "run_id", F.array().cast(f"array<{kind}>").alias("members"), F.lit(None).cast(kind).alias("new")
-    )
-    seen, rounds = None, 0
+    names = [o.name for o in objectives]
+    rows = sliced_runs(nodes.select(*KEY, "seq", *names), ["seq"], slice_rows)
+    by_slice = rows.groupBy("run_id", SLICE)
+    last = rows.groupBy("run_id").agg(F.max(SLICE).alias("_last"))
+    proposed = pinned(by_slice.applyInPandas(_proposals(objectives), rows.schema))
+    schema = StructType([*rows.schema.fields]).add("until", "double").add("until_slice", "double")
     while True:
-        passes = F.forall("members", lambda m: any_sign(objectives, F.col, lambda n: m[n], 1))
-        after = F.col("new").isNull() | (F.col("seq") > F.col("new.seq"))
-        nxt = (
-            nodes.join(state, "run_id").filter(after & passes).groupBy("run_id").agg(F.min_by(node, "seq").alias("next"))
-        )
-        stays = F.filter("members", lambda m: ~dominates(objectives, lambda n: F.col("next")[n], lambda n: m[n]))
-        step = pinned(
-            state.join(nxt, "run_id", "left").select(
-                "run_id",
-                F.when(F.col("next").isNull(), F.col("members")).otherwise(F.concat(stays, F.array("next"))).alias("members"),
-                F.col("next").alias("new"),
-            )
-        )
-        new = F.col("new")
-        log = step.filter(new.isNotNull()).select("run_id", new["node_id"].alias("node_id"), F.lit("admitted").alias("kind"))
-        held = step.filter(new.isNull()).select("run_id", F.explode("members").alias("_m"), F.lit("held").alias("kind"))
-        log = log.unionByName(held.select("run_id", F.col("_m.node_id").alias("node_id"), "kind"))
-        seen = log if seen is None else seen.unionByName(log)
-        rounds += 1
-        if rounds % COMPACT_EVERY == 0:
-            seen = pinned(seen)
-        state = step.filter(new.isNotNull())
-        if state.isEmpty():
+        stream = proposed.repartition("run_id").sortWithinPartitions("run_id", "seq")
+        members = pinned(stream.mapInPandas(_folded(objectives, schema.names), schema))
+        spans = members.join(last, "run_id").withColumn("_end", F.coalesce(F.col("until_slice").cast("int"), "_last"))
+        sent = spans.withColumn(SLICE, F.explode(F.sequence(F.col(SLICE), F.col("_end")))).drop("_end", "_last")
+        more = by_slice.cogroup(sent.groupBy("run_id", SLICE)).applyInPandas(_overlooked(objectives), rows.schema)
+        more = pinned(more)
+        if more.isEmpty():
             break
-    kinds = seen.groupBy(*KEY).agg(F.max(F.col("kind") == "admitted").alias("_a"), F.max(F.col("kind") == "held").alias("_f"))
+        proposed = pinned(proposed.unionByName(more))
+    flags = members.select(*KEY, F.lit(True).alias("_a"), F.col("until").isNull().alias("_f"))
     no = F.lit(False)
-    return nodes.join(kinds, KEY, "left").select(
+    return rows.join(flags, KEY, "left").select(
         *KEY, F.coalesce("_a", no).alias("admitted"), F.coalesce("_f", no).alias("in_archive")
     )
 
@@ -339,16 +427,18 @@ def branch_seeds(points: DataFrame, fronts: DataFrame, preferred: DataFrame, obj
         *[F.greatest(F.max(n) - F.min(n), F.lit(1e-12)).alias(f"_s_{n}") for n in names]
     )
     place = F.struct((-F.col("_near")).alias("d"), "front", "node_id", *names)
-    open_ = pinned(
-        points.join(fronts, KEY).join(scales, "run_id").withColumn("_near", F.lit(float("inf")))
-    )
+    # the nodes of a run are dealt over SALTS keys, each of which gets the run's newest seed
+    salted = points.join(fronts, KEY).withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    wide = salted.join(scales.select("*", every), ["run_id", "_salt"])
+    open_ = pinned(wide.withColumn("_near", F.lit(float("inf"))))
     newest = preferred.select(*KEY).join(points.select(*KEY, *names), KEY)
     out = preferred.select(*KEY, F.lit(1).alias("step"))
     for step in range(2, width + 1):
-        last = newest.select("run_id", F.col("node_id").alias("_c"), *[F.col(n).alias(f"_c_{n}") for n in names])
+        last = newest.select("run_id", F.col("node_id").alias("_c"), *[F.col(n).alias(f"_c_{n}") for n in names], every)
         gap = reduce(Column.__add__, [F.abs(F.col(n) - F.col(f"_c_{n}")) / F.col(f"_s_{n}") for n in names])
         open_ = pinned(
-            open_.join(last, "run_id")
+            open_.join(last, ["run_id", "_salt"])
             .filter(F.col("node_id") != F.col("_c"))
             .withColumn("_near", F.least("_near", gap))
             .select(*open_.columns)

@@ -233,7 +233,7 @@ class StandIns:
         )
 
     def points(self) -> DataFrame:
-        """Search nodes: one per supplier, nation as run; parent is the supplier of half the number."""
+        """Search nodes: one per supplier; a third of them are one run, the others go by nation. Parent: half the number."""
         s = self.read("supplier")
         sums = (
             self.read("lineitem")
@@ -245,7 +245,7 @@ class StandIns:
             )
         )
         return s.join(sums, F.col("s_suppkey") == F.col("l_suppkey")).select(
-            F.concat(F.lit("run"), F.col("s_nationkey")).alias("run_id"),
+            F.when(F.col("s_suppkey") % 3 == 0, "hot").otherwise(F.concat(F.lit("run"), F.col("s_nationkey"))).alias("run_id"),
             F.col("s_suppkey").alias("node_id"),
             F.floor(F.col("s_suppkey") / 2).alias("parent_id"),
             F.col("s_suppkey").alias("seq"),
@@ -348,7 +348,7 @@ FROM lineitem""",
 SELECT l_suppkey AS candidate_id, l_linenumber AS pass_no, l_quantity AS seconds,
        1000.0::DOUBLE / l_quantity AS samples_per_second, CAST(floor(l_extendedprice) AS BIGINT) AS output_bytes FROM lineitem""",
     "points": """
-SELECT 'run' || s_nationkey AS run_id, s_suppkey AS node_id, s_suppkey // 2 AS parent_id, s_suppkey AS seq,
+SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'hot' ELSE 'run' || s_nationkey END AS run_id, s_suppkey AS node_id, s_suppkey // 2 AS parent_id, s_suppkey AS seq,
        round(q / n, 6) AS throughput, CAST(b AS DOUBLE) AS bytes, s_acctbal > 0 AS feasible
 FROM supplier JOIN (SELECT l_suppkey, sum(l_quantity) AS q, sum(CAST(floor(l_extendedprice) AS BIGINT)) AS b, count(*) AS n
                     FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey""",

@@ -37,10 +37,10 @@ GOLDEN = [
 FINAL = {3, 7, 10, 11, 12, 13, 18}
 
 
-@pytest.mark.parametrize("small_run", [2000, 0])
-def test_golden_archive(spark, small_run):
+@pytest.mark.parametrize("slice_rows", [4096, 3])
+def test_golden_archive(spark, slice_rows):
     nodes = spark.createDataFrame([("r", n, n, a, b) for n, a, b, _ in GOLDEN], "run_id string, node_id long, seq long, throughput double, bytes double")
-    got = {r["node_id"]: r for r in pareto.pareto_archive(nodes, SEARCH, small_run).collect()}
+    got = {r["node_id"]: r for r in pareto.pareto_archive(nodes, SEARCH, slice_rows).collect()}
     assert [got[n]["admitted"] for n, *_ in GOLDEN] == [flag for *_, flag in GOLDEN]
     assert {n for n, r in got.items() if r["in_archive"]} == FINAL
 
@@ -93,9 +93,9 @@ def per_run(cloud, fn):
         yield fn({int(r.node_id): (r.a, r.b, r.c) for r in part.itertuples()}, OBJ3)
 
 
-@pytest.mark.parametrize("small_run", [2000, 5])
-def test_fronts_match_brute_force(spark, cloud, small_run):
-    got = {r["node_id"]: r["front"] for r in pareto.pareto_fronts(spark.createDataFrame(cloud), OBJ3, small_run).collect()}
+@pytest.mark.parametrize("slice_rows", [4096, 9])
+def test_fronts_match_brute_force(spark, cloud, slice_rows):
+    got = {r["node_id"]: r["front"] for r in pareto.pareto_fronts(spark.createDataFrame(cloud), OBJ3, slice_rows).collect()}
     want = {}
     for fronts in per_run(cloud, brute_fronts):
         want |= fronts
@@ -104,9 +104,9 @@ def test_fronts_match_brute_force(spark, cloud, small_run):
     assert first == {n for n, f in want.items() if f == 1}
 
 
-@pytest.mark.parametrize("small_run", [2000, 30])
-def test_archive_matches_brute_force(spark, cloud, small_run):
-    got = pareto.pareto_archive(spark.createDataFrame(cloud), OBJ3, small_run).toPandas().set_index("node_id")
+@pytest.mark.parametrize("slice_rows", [4096, 8])
+def test_archive_matches_brute_force(spark, cloud, slice_rows):
+    got = pareto.pareto_archive(spark.createDataFrame(cloud), OBJ3, slice_rows).toPandas().set_index("node_id")
     admitted, held = {}, set()
     for a, h in per_run(cloud, brute_archive):
         admitted |= a
