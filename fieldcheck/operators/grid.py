@@ -5,8 +5,10 @@ Cells are (field_id, sample, y, x, value); coordinates are (axis, idx, value) wi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -278,37 +280,122 @@ def grid_blocks(cells: DataFrame, rows_per_block: Column) -> DataFrame:
     )
 
 
-def tensor_pack(cells: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """One [C, H, W] float32 tensor per sample, channels in the given order.
+BLOCK_CELLS = 1 << 16
 
-    The group of a sample is one tensor: C*H*W cells, fixed by the grid and checked by
-    `tensor_check`.
-    """
-    order = F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("field_id"))
-    packed = cells.filter(F.col("field_id").isin(*channels)).groupBy("sample").agg(
-        F.count_distinct("field_id").alias("c"),
-        (F.max("y") + 1).alias("h"),
-        (F.max("x") + 1).alias("w"),
-        F.sort_array(
-            F.collect_list(F.struct(order.alias("c"), "y", "x", F.col("value").cast("float").alias("v")))
-        ).alias("_cells"),
-    )
-    return packed.select("sample", "c", "h", "w", F.transform("_cells", lambda s: s["v"]).alias("tensor"))
 
+def tensor_pack(cells: DataFrame, channels: Sequence[str], block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """One [C, H, W] float32 tensor per sample, channels in the given order, as blocks of fixed size.
 
-def tensor_check(tensors: DataFrame, c: int, h: int, w: int) -> DataFrame:
-    """Whether each tensor has the declared shape and all of its cells."""
-    shape = (F.col("c") == c) & (F.col("h") == h) & (F.col("w") == w)
-    return tensors.select("sample", "c", "h", "w", F.size("tensor").alias("cells"), (shape & (F.size("tensor") == c * h * w)).alias("accepted"))
-
-
-def tensor_reduce(tensors: DataFrame) -> DataFrame:
-    """First element and full sum of each tensor."""
-    return tensors.select(
-        "sample",
-        F.element_at("tensor", 1).cast("double").alias("marker"),
-        F.aggregate("tensor", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"),
+    A row is (sample, c, h, w, block, first, cells, filled, data): `data` holds the little-endian float32 of
+    the places first, first + 1, .. of the tensor in (c, y, x) order, NaN where there is no cell or no value;
+    `cells` counts the cells met and `filled` the places they take; a block without any cell is no row. Cells are sorted by place and written
+    into one block at a time, so a task holds a block, however large the tensor is. A sample whose channels
+    differ in height or width ends the job, as its tensor has no shape; a channel it lacks altogether lowers `c`.
+    """
+    order = F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("field_id")) - 1
+    known = cells.filter(F.col("field_id").isin(*channels)).withColumn("_c", order)
+    shapes = known.groupBy("sample", "_c").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    one = shapes.groupBy("sample").agg(
+        F.count(F.lit(1)).alias("c"), F.max("h").alias("h"), F.max("w").alias("w"),
+        ((F.min("h") < F.max("h")) | (F.min("w") < F.max("w"))).alias("_mixed"),
+    )
+    refusal = F.raise_error(F.concat(F.lit("channels of unequal shape in sample "), F.col("sample").cast("string")))
+    one = one.withColumn("h", F.when(F.col("_mixed"), refusal.cast("int")).otherwise(F.col("h"))).drop("_mixed")
+    place = (F.col("_c") * F.col("h") + F.col("y")) * F.col("w") + F.col("x")
+    placed = known.join(one, "sample").select(
+        "sample", "c", "h", "w", F.floor(place / block_cells).alias("block"), place.alias("place"),
+        F.col("value").cast("float").alias("v"),
+    )
+    key = ["sample", "block"]
+    kind = cells.schema["sample"].dataType.simpleString()
+    count, height, width = (one.schema[n].dataType.simpleString() for n in ("c", "h", "w"))
+    schema = (
+        f"sample {kind}, c {count}, h {height}, w {width}, block bigint, first bigint, cells bigint, filled bigint, data binary"
     )
+    return placed.repartition(*key).sortWithinPartitions(*key, "place").mapInArrow(_assembled(len(channels), block_cells), schema)
+
+
+def _assembled(channels: int, block_cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted cells to blocks, each handed on as soon as the next one begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: dict | None = None
+        data = known = np.zeros(0)
+
+        def done() -> pa.RecordBatch:
+            head["filled"] = int(known.sum())
+            return pa.RecordBatch.from_pylist([head | {"data": data.astype("<f4").tobytes()}], schema=out)
+
+        out: pa.Schema | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = out or pa.schema(
+                [batch.schema.field(n) for n in ("sample", "c", "h", "w", "block")]
+                + [(n, pa.int64()) for n in ("first", "cells", "filled")] + [("data", pa.binary())]
+            )
+            sample, block = batch.column("sample"), batch.column("block").to_numpy()
+            codes = sample.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            place, value = batch.column("place").to_numpy(), batch.column("v").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(codes) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                names = {n: batch.column(n)[a].as_py() for n in ("sample", "c", "h", "w", "block")}
+                if head is None or any(head[n] != v for n, v in names.items()):
+                    if head is not None:
+                        yield done()
+                    first = names["block"] * block_cells
+                    size = min(block_cells, channels * names["h"] * names["w"] - first)
+                    head = names | {"first": first, "cells": 0}
+                    data, known = np.full(size, np.nan, np.float32), np.zeros(size, bool)
+                data[place[a:b] - head["first"]] = value[a:b]
+                known[place[a:b] - head["first"]] = True
+                head["cells"] += b - a
+        if head is not None:
+            yield done()
+
+    return run
+
+
+def tensor_check(blocks: DataFrame, c: int, h: int, w: int) -> DataFrame:
+    """Whether each tensor has the declared shape and each of its places one cell."""
+    whole = blocks.groupBy("sample", "c", "h", "w").agg(F.sum("cells").alias("cells"), F.sum("filled").alias("filled"))
+    shape = (F.col("c") == c) & (F.col("h") == h) & (F.col("w") == w)
+    full = (F.col("cells") == c * h * w) & (F.col("filled") == c * h * w)
+    return whole.select("sample", "c", "h", "w", "cells", (shape & full).alias("accepted"))
+
+
+def tensor_reduce(blocks: DataFrame) -> DataFrame:
+    """First element and full sum of each tensor; a block is summed where it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x.as_py(), "<f4") for x in batch.column("data")]
+            first = [float(p[0]) if n == 0 else None for p, n in zip(parts, batch.column("first").to_pylist(), strict=True)]
+            total = [float(p.sum(dtype=np.float64)) for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sample"), pa.array(first, pa.float64()), pa.array(total, pa.float64())],
+                ["sample", "marker", "total"],
+            )
+
+    kind = blocks.schema["sample"].dataType.simpleString()
+    sums = blocks.select("sample", "first", "data").mapInArrow(run, f"sample {kind}, marker double, total double")
+    return sums.groupBy("sample").agg(F.max("marker").alias("marker"), F.sum("total").alias("total"))
+
+
+def tensor_values(blocks: DataFrame) -> DataFrame:
+    """The blocks with their data as an array of floats, for readers without numpy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.frombuffer(x.as_py(), "<f4") for x in batch.column("data")]
+            cuts = np.cumsum([0, *map(len, data)])
+            flat = np.concatenate([*data, np.zeros(0, "<f4")])
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.float32()))
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([lists if n == "data" else batch.column(n) for n in names], names)
+
+    fields = ", ".join(f"{n} {'array<float>' if n == 'data' else t}" for n, t in blocks.dtypes)
+    return blocks.mapInArrow(run, fields)
 
 
 def sample_order(samples: DataFrame, seed: int) -> DataFrame:

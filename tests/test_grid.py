@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,14 +68,53 @@ def test_rows_per_block(spark, height, width, rows):
     assert spark.range(1).select(grid.rows_per_block(F.lit(height), F.lit(width))).first()[0] == rows
 
 
-def test_tensor_keeps_channel_order(cells):
-    packed = grid.tensor_pack(cells, ["b", "a"])
+def whole(blocks) -> dict:
+    """Sample -> tensor, from blocks in any order."""
+    out: dict = {}
+    for r in sorted(blocks.collect(), key=lambda r: (r["sample"], r["first"])):
+        out.setdefault(r["sample"], []).append(np.frombuffer(r["data"], "<f4"))
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("block_cells", [1, 7, 36, 1 << 16])
+def test_tensor_keeps_channel_order(cells, block_cells):
+    packed = grid.tensor_pack(cells, ["b", "a"], block_cells)
     row = packed.filter("sample = 2").first()
-    assert (row["c"], row["h"], row["w"]) == (2, 6, 6) and row["tensor"][0] == 2000.5 and row["tensor"][36] == 2000.0
-    assert row["tensor"][7] == 2011.5
+    tensor = whole(packed)[2]
+    assert (row["c"], row["h"], row["w"]) == (2, 6, 6) and len(tensor) == 72
+    assert tensor[0] == 2000.5 and tensor[36] == 2000.0 and tensor[7] == 2011.5
     broken = cells.filter(~((F.col("sample") == 3) & (F.col("y") == 5) & (F.col("x") == 5) & (F.col("field_id") == "a")))
-    bad = grid.tensor_check(grid.tensor_pack(broken, ["b", "a"]), 2, 6, 6).filter(~F.col("accepted")).collect()
-    assert [r["sample"] for r in bad] == [3]
+    lacking = grid.tensor_pack(broken, ["b", "a"], block_cells)
+    assert np.isnan(whole(lacking)[3]).sum() == 1 or block_cells == 1
+    doubled = grid.tensor_pack(broken.unionByName(broken.filter("sample = 3 AND y = 5 AND x = 4 AND field_id = 'a'")), ["b", "a"], block_cells)
+    for frame in (lacking, doubled):
+        assert [r["sample"] for r in grid.tensor_check(frame, 2, 6, 6).filter(~F.col("accepted")).collect()] == [3]
+
+
+def test_unequal_channels_are_refused(cells):
+    low = cells.filter(~((F.col("sample") == 4) & (F.col("y") == 5) & (F.col("field_id") == "a")))
+    with pytest.raises(Exception, match="unequal shape in sample 4"):
+        grid.tensor_pack(low, ["b", "a"]).collect()
+    assert len(grid.tensor_pack(low.filter("sample <> 4"), ["b", "a"]).collect()) == 19
+    lone = grid.tensor_pack(cells.filter("field_id = 'a'"), ["b", "a"])
+    assert lone.first()["c"] == 1 and not grid.tensor_check(lone, 2, 6, 6).filter("accepted").count()
+
+
+def test_a_full_size_tensor_comes_in_blocks(spark):
+    """721 x 1440 x 3 cells: 48 blocks of a quarter of a MiB at most."""
+    h, w = 721, 1440
+    n = spark.range(3 * h * w, numPartitions=8)
+    cells = n.select(
+        F.lit(0).alias("sample"), F.concat(F.lit("f"), F.floor(F.col("id") / (h * w)).cast("string")).alias("field_id"),
+        F.floor(F.col("id") / w).cast("int").alias("_r"), (F.col("id") % w).cast("int").alias("x"), (F.col("id") % 97).cast("double").alias("value"),
+    ).withColumn("y", (F.col("_r") % h).cast("int"))
+    blocks = grid.tensor_pack(cells, ["f0", "f1", "f2"]).cache()
+    sizes = [len(r["data"]) for r in blocks.collect()]
+    assert len(sizes) == -(-3 * h * w // grid.BLOCK_CELLS) and max(sizes) == 4 * grid.BLOCK_CELLS
+    assert (whole(blocks)[0] == np.arange(3 * h * w) % 97).all()
+    assert grid.tensor_reduce(blocks).first()["total"] == float((np.arange(3 * h * w) % 97).sum())
+    assert grid.tensor_check(blocks, 3, h, w).first()["accepted"]
+    blocks.unpersist()
 
 
 def test_shape_report_sees_a_lost_cell(spark, cells):
