@@ -17,7 +17,6 @@ from fieldcheck.functions.columns import missing
 
 LANES = 4
 LANE_HEX = 15
-SEPARATOR = "\x1f"
 
 
 def combine_digests(
@@ -41,24 +40,26 @@ def combine_digests(
 
 
 def canonical_text(column: Column, kind: T.DataType) -> Column:
-    """Text of one cell, exact: two different numbers have two texts. Missing is a mark, -0.0 is 0.0."""
+    """Text of one cell, exact: two different cells have two texts, null where the cell is missing. -0.0 is 0.0."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         value = column.cast("double")
-        return F.when(missing(value), "missing").otherwise((value + 0.0).cast("string"))
+        return F.when(~missing(value), (value + 0.0).cast("string"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-        column = F.to_json(column)
-    return F.coalesce(column.cast("string"), F.lit("missing"))
+        column = F.to_json(column, {"ignoreNullFields": "false"})
+    return column.cast("string")
+
+
+def framed(cells: Sequence[Column]) -> Column:
+    """One text for a list of texts: each behind its length, so no text can pass for a border or for null."""
+    frame = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("~"))
+    return F.concat(*[frame(c) for c in cells])
 
 
 def row_digest(df: DataFrame) -> Column:
     """sha256 of every column in name order, extra columns included."""
-    cells = [
-        canonical_text(F.col(f.name), f.dataType)
-        for f in sorted(df.schema.fields, key=lambda f: f.name)
-    ]
-    return F.sha2(F.concat_ws(SEPARATOR, *cells), 256)
+    return F.sha2(framed([canonical_text(F.col(f.name), f.dataType) for f in sorted(df.schema.fields, key=lambda f: f.name)]), 256)
 
 
 def table_fingerprint(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,3 +84,22 @@ def rerun_equal(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> Dat
         )
         .select(*keys, "rows_initial", "rows_rerun", F.col("_f1").eqNullSafe(F.col("_f2")).alias("equal"))
     )
+
+
+def grid_fingerprint(cells: DataFrame, coords: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rows, fingerprint) of a grid: shape and type of each channel, coordinates, values and the missing mask.
+
+    A missing value enters by its mask alone, whatever stands there; a cell that is absent changes the shape
+    or the number of rows. One digest a cell, coordinate and channel, added up in any order.
+    """
+    part = lambda df, *texts: df.select(*keys, F.sha2(framed(texts), 256).alias("_digest"))
+    text = lambda name: F.col(name).cast("string")
+    kind = F.lit(cells.schema["value"].dataType.simpleString())
+    value = canonical_text(F.col("value"), cells.schema["value"].dataType)
+    mask = value.isNull().cast("string")
+    shapes = cells.groupBy(*keys, "field_id").agg(*[(F.max(a) + 1).alias(f"_{a}") for a in ("sample", "y", "x")])
+    rows = part(cells, F.lit("cell"), text("field_id"), text("sample"), text("y"), text("x"), mask, value)
+    rows = rows.unionByName(part(shapes, F.lit("shape"), text("field_id"), kind, text("_sample"), text("_y"), text("_x")))
+    at = canonical_text(F.col("value"), coords.schema["value"].dataType)
+    rows = rows.unionByName(part(coords, F.lit("coordinate"), text("axis"), text("idx"), at))
+    return combine_digests(rows, keys, "_digest")

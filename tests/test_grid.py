@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldcheck.operators import grid, selection
+from fieldcheck.operators import certify, fingerprint, grid, selection
 
 
 @pytest.fixture(scope="module")
@@ -175,3 +175,47 @@ def test_coordinate_modes(spark):
     assert order("ascending") == order("cf_datetime_ascending") == [1, 2, 0]
     with pytest.raises(Exception, match="unknown coordinate mode"):
         order("descending")
+
+
+def grid_of(cells, shift=0.0):
+    axes = cells.sparkSession.createDataFrame(
+        [(a, i, i * 1.5 + (shift if (a, i) == ("x", 2) else 0.0)) for a, n in (("sample", 20), ("y", 6), ("x", 6)) for i in range(n)],
+        "axis string, idx long, value double",
+    )
+    return certify.Grid(cells, axes)
+
+
+def test_grid_gates_in_order(spark, cells):
+    cells = cells.filter("field_id <> 'c'")
+    want = spark.createDataFrame([("a", 20, 6, 6), ("b", 20, 6, 6)], "field_id string, samples int, height int, width int")
+    claims = cells.groupBy("field_id").count().withColumnRenamed("count", "rows")
+    good = grid_of(cells)
+
+    def statuses(first, again):
+        gates = certify.grid_gates(first, again, good, want, claims, 1e-6, 0.0, 0.0)
+        rows = certify.with_objective(certify.assess(spark, "c", gates), lambda: certify.grid_bytes(first)).collect()
+        return [r["status"] for r in rows], rows[0]["feasible"], rows[0]["objective"]
+
+    cell = (F.col("sample") == 3) & (F.col("y") == 5) & (F.col("x") == 1) & (F.col("field_id") == "b")
+    value = lambda v: grid_of(cells.withColumn("value", F.when(cell, v).otherwise(F.col("value"))))
+    bytes_ = 2 * 20 * 36 * 4 + 32 * 8
+    p, f, n = "PASS", "FAIL", "NOT_ASSESSED"
+    assert statuses(good, good) == ([p] * 6, True, bytes_)
+    assert statuses(grid_of(cells, 0.1), good) == ([p, f, n, p, f, p], False, None)
+    assert statuses(grid_of(cells.filter(~cell)), good) == ([f, n, n, p, n, f], False, None)
+    assert statuses(good, grid_of(cells.filter(~cell))) == ([p, p, p, f, n, p], False, None)
+    assert statuses(value(F.lit(None)), value(F.lit(float("nan")))) == ([p, p, f, p, p, p], False, None)
+    assert statuses(good, value(F.lit(0.125))) == ([p, p, p, p, f, p], False, None)
+    lost_axis = certify.Grid(cells, good.coords.filter("axis <> 'y'"))
+    assert statuses(lost_axis, good) == ([f, n, n, p, n, p], False, None)
+
+
+def test_grid_fingerprint(spark, cells):
+    mark = lambda g: fingerprint.grid_fingerprint(g.cells, g.coords).first()["fingerprint"]
+    good = grid_of(cells)
+    assert mark(good) == mark(certify.Grid(cells.repartition(5), good.coords.repartition(3)))
+    turn = lambda a, b: F.when(F.col("sample") == 0, F.col(a)).otherwise(F.col(b))
+    swapped = cells.withColumns({"y": turn("x", "y"), "x": turn("y", "x")})
+    typed = cells.withColumn("value", F.col("value").cast("float"))
+    others = [grid_of(cells, 0.5), grid_of(swapped), grid_of(typed), grid_of(cells.filter("sample < 19"))]
+    assert len({mark(g) for g in [good, *others]}) == 5

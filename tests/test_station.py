@@ -26,12 +26,13 @@ def ids(spark):
     return spark.createDataFrame([("station", "a"), ("station", "b"), ("field", "t"), ("field", "rh")], "kind string, id string")
 
 
-def gates(spark, candidate, rerun=None):
+def gates(spark, candidate, rerun=None, claimed=6):
     day = F.lit("2024-01-01").cast("timestamp_ntz")
-    rows = certify.station_checks(
-        table(spark, candidate), table(spark, rerun or candidate), table(spark, clean()), ids(spark), day, day, 1e-6, 1e-6
+    claims = spark.createDataFrame([("t", claimed), ("rh", 6)], "field_id string, rows long")
+    rows = certify.station_gates(
+        table(spark, candidate), table(spark, rerun or candidate), table(spark, clean()), ids(spark), claims, day, day, 1e-6, 1e-6
     )
-    return {r["check_id"]: r["status"] for r in rows.collect()}
+    return {r["check_id"]: r["status"] for r in certify.assess(spark, "c", rows).collect()}
 
 
 def mutated(index, **change):
@@ -43,6 +44,7 @@ def mutated(index, **change):
 
 VALUES, KEYS = "semantic.station_values_and_missingness", "contract.station_scope_and_keys"
 SCOPE, IDS, RERUN = "contract.time_scope", "contract.identities", "rerun.station_logical_equivalence"
+RECEIPTS = "provenance.receipts"
 
 
 @pytest.mark.parametrize(
@@ -54,14 +56,14 @@ SCOPE, IDS, RERUN = "contract.time_scope", "contract.identities", "rerun.station
         (mutated(4, value=None), None, {VALUES}),
         (mutated(4, value=NAN), None, {VALUES}),
         (mutated(4, value=INF), None, {VALUES}),
-        (clean()[:-1], None, {VALUES}),
-        (clean() + [clean()[0]], None, {KEYS, VALUES}),
+        (clean()[:-1], None, {VALUES, RECEIPTS}),
+        (clean() + [clean()[0]], None, {KEYS, VALUES, RECEIPTS}),
         (mutated(2, station_id=None), None, {KEYS, VALUES, IDS}),
         (mutated(0, timestamp=DAY + dt.timedelta(days=1)), None, {SCOPE, VALUES}),
-        (mutated(0, field_id="extra"), None, {IDS, VALUES}),
+        (mutated(0, field_id="extra"), None, {IDS, VALUES, RECEIPTS}),
         (clean(), mutated(1, value=10.0000001), {RERUN}),
         (clean(), clean()[1:], {RERUN}),
-        ([], None, {KEYS, VALUES, IDS}),
+        ([], None, {KEYS, VALUES, IDS, RECEIPTS}),
     ],
 )
 def test_mutation_flips_only_its_gates(spark, candidate, rerun, flipped):
@@ -69,16 +71,24 @@ def test_mutation_flips_only_its_gates(spark, candidate, rerun, flipped):
     assert {k for k, v in seen.items() if v != "PASS"} == flipped
 
 
-def test_certificate_has_all_constraints(spark):
-    day = F.lit("2024-01-01").cast("timestamp_ntz")
-    t = table(spark, clean())
-    rows = certify.certify(certify.station_checks(t, t, t, ids(spark), day, day, 0, 0)).collect()
-    assert {r["constraint"]: r["status"] for r in rows} == {
-        "contract_correctness": "PASS",
-        "semantic_equivalence": "PASS",
-        "rerun_safety": "PASS",
-        "provenance_security": "NOT_ASSESSED",
-    }
+def test_a_failed_gate_blocks_those_that_need_it(spark):
+    """What is blocked is not measured at all."""
+    seen = gates(spark, clean() + [clean()[0]])
+    assert seen[KEYS] == "FAIL" and seen[VALUES] == "NOT_ASSESSED" and seen[RERUN] == "PASS"
+    assert gates(spark, mutated(4, value=99.0))[VALUES] == "FAIL" and gates(spark, clean(), claimed=5)[RECEIPTS] == "FAIL"
+    ran = []
+    count = lambda name, n: lambda: ran.append(name) or spark.range(1).select(F.lit(n))
+    graph = [
+        certify.Gate("last", "d", count("last", 0), ("middle",)),
+        certify.Gate("middle", "c", count("middle", 0), ("first", "other")),
+        certify.Gate("first", "a", count("first", 3)),
+        certify.Gate("other", "b", count("other", None)),
+    ]
+    rows = certify.assess(spark, "c", graph).collect()
+    assert [(r["check_id"], r["status"], r["observed"]) for r in rows] == [
+        ("last", "NOT_ASSESSED", None), ("middle", "NOT_ASSESSED", None), ("first", "FAIL", 3), ("other", "NOT_ASSESSED", None)
+    ]
+    assert sorted(ran) == ["first", "other"]
 
 
 @pytest.mark.parametrize(
@@ -118,6 +128,12 @@ def test_fingerprint_ignores_order_but_not_content(spark):
     assert one != fingerprint.table_fingerprint(wider).first()["fingerprint"]
 
 
+def test_fingerprint_tells_null_and_borders_apart(spark):
+    mark = lambda *rows: fingerprint.table_fingerprint(spark.createDataFrame(list(rows), "a string, b string")).first()["fingerprint"]
+    assert len({mark(("missing", "x")), mark((None, "x")), mark(("~", "x")), mark(("", "x")), mark(("x", None))}) == 5
+    assert mark(("a\x1fb", "c")) != mark(("a", "b\x1fc")) and mark(("1:a", "")) != mark(("", "1:a"))
+
+
 def test_canonicalise_refuses_bad_hints(spark):
     df = spark.createDataFrame([("s", DAY, 1.0, 2.0)], "st string, ts timestamp_ntz, t double, z double")
     out = station.canonicalise(df, "st", "ts", {"t": "temperature", "z": "geopotential"})
