@@ -1,15 +1,17 @@
 """Language model scoring: a gated recurrent network over words, next to exact corpus counts.
 
-Counts of all training words are a table; the most frequent ones, a bounded number, also go to the
-workers. The network predicts a short list of words and one entry for all others, with a softmax that is
-factored into word classes. It is trained in numpy by truncated backpropagation: every task trains a
-copy on its share of the training texts, the copies are averaged by the words they saw, and so on for
-some rounds. A word outside the short list has the chance of the entry for others, shared out by the
-corpus counts. Scoring carries the state across windows, so a text counts as a whole.
+Counts of all training words are a table; the most frequent ones, a bounded number, also go to the workers.
+The network reads and predicts entries, with a softmax that is factored into classes of them: every frequent
+word is an entry of its own, the other counted words share one a band of frequency, and one stands for the rest.
+Inside a band the exact counts tell a word's share. The network is trained in numpy by truncated
+backpropagation: every task trains a copy once on all of its training texts, and the copies are averaged by the
+words they saw (so weights depend on how the texts are dealt over tasks). Texts lie in many lanes side by
+side, cut window by window. Scoring carries the state across windows, so a text counts as a whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,15 +25,17 @@ from fieldcheck.llm.common import joined_bytes, mixed, most_frequent, query, tab
 from fieldcheck.llm.language_id import id_crc
 from fieldcheck.llm.slices import hash_slices, lowered, words
 
-#: Words counted in the workers (16 bytes each); the others' counts are joined. Changes no result.
-HEAD = 1 << 16
-#: Classes of the softmax, words in each; the first word of the first class stands for all others.
+#: Words counted in the workers (16 bytes each); the others' counts are joined. They have an entry of their own or a band.
+HEAD = 1 << 17
+#: Classes of the softmax, entries in each. The first class holds entry 0, for words beyond the head, and the bands.
 CLASSES, IN_CLASS = 32, 32
-HIDDEN = 32
-#: Texts (by hash) of 1 in SHARE train the network, in every task: all of them. ROUNDS averages of the copies.
-SHARE, ROUNDS = 1, 2
-TRAIN_LANES, TRAIN_WINDOW, RATE = 32, 16, 0.02
+HIDDEN = 16
+TRAIN_LANES, TRAIN_WINDOW, RATE = 256, 16, 0.02
+#: Tokens that make a step: where few lanes go on, their windows wait for more.
+STEP = 2048
 LANES, WINDOW = 256, 64
+#: Tasks' copies of a block of weights are averaged in this many groups before they meet.
+GROUPS = 16
 #: Tokens a task scores, trains on or counts together: bounds its memory.
 HELD = 2 << 20
 BLOCK = 4096
@@ -87,13 +91,19 @@ class Head:
 
     words: np.ndarray
     counts: np.ndarray
-    place: np.ndarray  # 0: not in the short list
-    listed: np.ndarray  # counts of the short list's words, 0 for the others' entry
+    place: np.ndarray  # entry of each word
+    listed: np.ndarray  # count of each entry's words; 0 for entry 0
+    kinds: np.ndarray  # number of each entry's words
     total: int
     distinct: int
 
+    def share(self, count: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log10 of each word's part of its entry, 0 for entry 0, whose words are shared out by the joined counts."""
+        whole = self.listed[place] + 0.5 * self.kinds[place]
+        return np.where(place > 0, np.log10(np.maximum(count, 0) + 0.5) - np.log10(np.maximum(whole, 0.5)), 0.0)
+
     def look_up(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and short list place of each token; -1 and 0 where the head lacks it."""
+        """Count and entry of each token; -1 and 0 where the head lacks it."""
         if not len(self.words):
             return np.full(len(found), -1), np.zeros(len(found), np.int32)
         at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
@@ -106,7 +116,7 @@ class Head:
 
     @property
     def other_distinct(self) -> int:
-        return self.distinct - int((self.listed > 0).sum())
+        return self.distinct - int(self.kinds.sum())
 
 
 def head_of(counts: DataFrame) -> Head:
@@ -115,28 +125,34 @@ def head_of(counts: DataFrame) -> Head:
     top = most_frequent(counts, "n", HEAD).sort_values(["n", "word"], ascending=[False, True])
     word, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     size = CLASSES * IN_CLASS
-    listed = np.zeros(size, np.int64)
-    listed[1 : 1 + min(len(n), size - 1)] = n[: size - 1]
-    place = np.zeros(len(n), np.int32)
-    place[: size - 1] = np.arange(1, 1 + min(len(n), size - 1))
+    place = IN_CLASS + np.arange(len(n), dtype=np.int32)
+    bands = 1 + np.minimum(np.log2(n).astype(np.int32), IN_CLASS - 2)  # an octave of counts each
+    place = np.where(place < size, place, bands).astype(np.int32)
+    listed, kinds = (np.bincount(place, w, size).astype(np.int64) for w in (n, None))
     order = np.argsort(word)
-    return Head(word[order], n[order], place[order], listed, int(total["n"]), int(total["v"]))
+    return Head(word[order], n[order], place[order], listed, kinds, int(total["n"]), int(total["v"]))
 
 
 # --- the network --------------------------------------------------------------------------------
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.negative(x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, shifted only if it has to be, its exponentials, and their sum in each row; x is used up."""
+    if max(x.max(), -x.min()) > 60:  # else nothing runs out of the range of single precision
+        x = x - x.max(1, keepdims=True)
+    e = np.exp(x)
+    return x, e, e @ np.ones(x.shape[1], x.dtype)
 
 
 class Network:
-    """Gated recurrent units with a class-factored softmax over the short list.
+    """Gated recurrent units with a class-factored softmax over the entries.
 
     inputs: each word's share of the three gates; state, bias: the state's share. Tokens come as arrays
     (steps, lanes); `fresh` marks a text's first token, before which the state is zero.
@@ -193,15 +209,16 @@ class Network:
     def log_chance(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log probability of each token, by the state before it; flat arrays."""
         wide = self.words.shape[2]
-        group = token // wide
-        out = np.take_along_axis(_log_softmax(before @ self.classes + self.class_bias), group[:, None], 1)[:, 0]
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                logs = _log_softmax(before[own] @ self.words[c] + self.word_bias[c])
-                out[own] += logs[np.arange(len(own)), token[own] - c * wide]
+        order, cuts = _by_class(token // wide)
+        before, token = before[order], token[order]
+        x, _, total = _exponentials(before @ self.classes + self.class_bias)
+        logs = x[np.arange(len(token)), token // wide] - np.log(total)
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[c], cuts[c + 1]
+            x, _, total = _exponentials(before[a:b] @ self.words[c] + self.word_bias[c])
+            logs[a:b] += x[np.arange(b - a), token[a:b] - c * wide] - np.log(total)
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def gradients(self, h: np.ndarray, token: np.ndarray, fresh: np.ndarray, real: np.ndarray):
@@ -210,43 +227,63 @@ class Network:
         hidden, wide = self.hidden, self.words.shape[2]
         grads = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         pick = np.flatnonzero(real.ravel())
+        order, cuts = _by_class(token.ravel()[pick] // wide)
+        pick = pick[order]  # class by class
         states, target = before.reshape(-1, hidden)[pick], token.ravel()[pick]
-        group = target // wide
-        logs = _log_softmax(states @ self.classes + self.class_bias)
-        row = np.arange(len(pick))
-        loss = -logs[row, group].sum()
-        d = np.exp(logs)
+        x, d, total = _exponentials(states @ self.classes + self.class_bias)
+        row, group = np.arange(len(pick)), target // wide
+        loss = float((np.log(total) - x[row, group]).sum(dtype=np.float64))
+        d /= total[:, None]
         d[row, group] -= 1
         grads["classes"], grads["class_bias"] = states.T @ d, d.sum(0)
         back = d @ self.classes.T
-        for c in np.unique(group):
-            own = np.flatnonzero(group == c)
-            logs = _log_softmax(states[own] @ self.words[c] + self.word_bias[c])
-            inner = target[own] - c * wide
-            loss -= logs[np.arange(len(own)), inner].sum()
-            d = np.exp(logs)
-            d[np.arange(len(own)), inner] -= 1
-            grads["words"][c], grads["word_bias"][c] = states[own].T @ d, d.sum(0)
-            back[own] += d @ self.words[c].T
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            own = states[cuts[c] : cuts[c + 1]]
+            x, d, total = _exponentials(own @ self.words[c] + self.word_bias[c])
+            row, inner = np.arange(len(own)), target[cuts[c] : cuts[c + 1]] - c * wide
+            loss += float((np.log(total) - x[row, inner]).sum(dtype=np.float64))
+            d /= total[:, None]
+            d[row, inner] -= 1
+            grads["words"][c], grads["word_bias"][c] = own.T @ d, d.sum(0)
+            back[cuts[c] : cuts[c + 1]] += d @ self.words[c].T
         out = np.zeros((token.size, hidden), h.dtype)
         out[pick] = back
         out = out.reshape(before.shape)
-        d_gates = np.empty((*token.shape, 3 * hidden), h.dtype)
+        # of each step: what the gates take from the inputs, and from the state
+        d_in = np.empty((*token.shape, 3 * hidden), h.dtype)
+        d_own = np.empty_like(d_in)
         d_h = np.zeros_like(h)
+        turned = np.ascontiguousarray(self.state.T)
         for t in range(len(token) - 1, -1, -1):
             z, r, new, own = kept[t]
-            d_new = d_h * (1 - z) * (1 - new * new)
-            d_z = d_h * (before[t] - new) * z * (1 - z)
-            d_r = d_new * own * r * (1 - r)
-            d_own = np.concatenate([d_z, d_r, d_new * r], 1)
-            d_gates[t] = np.concatenate([d_z, d_r, d_new], 1)
-            grads["state"] += before[t].T @ d_own
-            grads["bias"] += d_own.sum(0)
-            d_h = (d_h * z + d_own @ self.state.T + out[t]) * live[t]
-        np.add.at(grads["inputs"], token.ravel(), d_gates.reshape(-1, 3 * hidden))
+            d_z, d_r, d_new = (d_in[t, :, i * hidden : (i + 1) * hidden] for i in range(3))
+            np.multiply(d_h * (1 - z), 1 - new * new, out=d_new)
+            np.multiply(d_h * (before[t] - new), z * (1 - z), out=d_z)
+            np.multiply(d_new * own, r * (1 - r), out=d_r)
+            d_own[t, :, : 2 * hidden] = d_in[t, :, : 2 * hidden]
+            np.multiply(d_new, r, out=d_own[t, :, 2 * hidden :])
+            d_h *= z
+            d_h += d_own[t] @ turned
+            d_h += out[t]
+            d_h *= live[t]
+        flat = d_own.reshape(-1, 3 * hidden)
+        grads["state"], grads["bias"] = before.reshape(-1, hidden).T @ flat, flat.sum(0)
+        # each entry's rows are summed where they lie side by side
+        seen = token.ravel()
+        order = np.argsort(seen.astype(np.uint16 if len(self.inputs) <= 1 << 16 else seen.dtype), kind="stable")
+        first = np.flatnonzero(np.diff(seen[order], prepend=-1))
+        sums = np.cumsum(d_in.reshape(-1, 3 * hidden)[order], 0, dtype=np.float64)
+        last = np.append(first[1:], len(order)) - 1
+        grads["inputs"][seen[order][first]] = np.diff(sums[last], axis=0, prepend=0)
         return loss, grads, end
 
 
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts the rows of each class side by side, and where each class begins."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(group, minlength=CLASSES))])
+
+
 class Trainer:
     """Adam steps over windows; the state goes on from window to window, gradients do not."""
 
@@ -254,131 +291,152 @@ class Trainer:
         self.network = network
         self.first = {k: np.zeros_like(getattr(network, k)) for k in network.NAMES}
         self.second = {k: np.zeros_like(getattr(network, k)) for k in network.NAMES}
-        self.steps = 0
+        self.waiting = {k: np.zeros_like(getattr(network, k)) for k in network.NAMES}
+        self.steps = self.waits = 0
 
     def train(self, texts: list[np.ndarray]) -> None:
-        token, fresh, real, _ = lanes(texts, TRAIN_LANES)
-        h = np.zeros((token.shape[1], self.network.hidden), np.float32)
-        for t in range(0, len(token), TRAIN_WINDOW):
-            part = slice(t, t + TRAIN_WINDOW)
-            n = int(real[part].sum())
-            if not n:
-                break
-            _, grads, h = self.network.gradients(h, token[part], fresh[part], real[part])
-            self.step(grads, n)
-
-    def step(self, grads: dict[str, np.ndarray], n: int) -> None:
+        laid = Lanes(texts, TRAIN_LANES)
+        h = np.zeros((laid.count, self.network.hidden), np.float32)
+        for token, fresh, real, _ in laid.windows(TRAIN_WINDOW):
+            _, grads, h = self.network.gradients(h[: token.shape[1]], token, fresh, real)
+            for k, g in grads.items():
+                self.waiting[k] += g
+            self.waits += int(real.sum())
+            if self.waits >= STEP:
+                self.step()
+
+    def step(self) -> None:
+        """Takes what has gathered; a part of a step moves the weights by that part."""
+        if not self.waits:
+            return
         self.steps += 1
-        for k, g in grads.items():
-            g = np.clip(g / n, -1, 1)
+        rate = RATE * min(1.0, self.waits / STEP)
+        for k, g in self.waiting.items():
+            g = np.clip(g / self.waits, -1, 1)
             self.first[k] += 0.1 * (g - self.first[k])
             self.second[k] += 0.01 * (g * g - self.second[k])
             m, v = self.first[k] / (1 - 0.9**self.steps), self.second[k] / (1 - 0.99**self.steps)
-            getattr(self.network, k)[...] -= RATE * m / (np.sqrt(v) + 1e-8)
-
-
-def lanes(texts: list[np.ndarray], most: int):
-    """Texts laid one behind the other in lanes of about equal length, longest first.
-
-    Returns token, fresh, real (steps, lanes), and for each text its lane and first step.
-    """
-    count = max(1, min(most, len(texts)))
-    filled = np.zeros(count, np.int64)
-    where = np.zeros((len(texts), 2), np.int64)
-    for i in np.argsort([-len(t) for t in texts], kind="stable"):
-        lane = int(filled.argmin())
-        where[i] = lane, filled[lane]
-        filled[lane] += len(texts[i])
-    steps = int(filled.max(initial=0))
-    token = np.zeros((count, steps), np.int32)
-    fresh = np.zeros((count, steps), bool)
-    for text, (lane, at) in zip(texts, where.tolist(), strict=True):
-        token[lane, at : at + len(text)] = text
-        fresh[lane, at] = True
-    real = np.arange(steps) < filled[:, None]
-    return token.T, fresh.T, real.T, where
+            getattr(self.network, k)[...] -= rate * m / (np.sqrt(v) + 1e-8)
+            self.waiting[k][...] = 0
+        self.waits = 0
+
+
+class Lanes:
+    """Texts one behind the other in lanes of about equal length, the longest first; lanes by falling length."""
+
+    def __init__(self, texts: list[np.ndarray], most: int) -> None:
+        self.count = max(1, min(most, len(texts)))
+        heap = [(0, i) for i in range(self.count)]
+        held: list[list[int]] = [[] for _ in range(self.count)]
+        for i in np.argsort([-len(t) for t in texts], kind="stable").tolist():
+            size, lane = heap[0]
+            held[lane].append(i)
+            heapq.heapreplace(heap, (size + len(texts[i]), lane))
+        filled = np.zeros(self.count, np.int64)
+        for size, lane in heap:
+            filled[lane] = size
+        by_length = np.argsort(-filled, kind="stable")
+        self.filled = filled[by_length]
+        self.base = np.cumsum(self.filled) - self.filled
+        order = [i for lane in by_length.tolist() for i in held[lane]]
+        self.line = np.concatenate([np.zeros(0, np.int32), *[texts[i] for i in order]])
+        sizes = np.array([len(texts[i]) for i in order], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        self.start = np.zeros(len(texts), np.int64)
+        self.start[order] = starts
+        self.fresh = np.zeros(len(self.line) + 1, bool)
+        self.fresh[starts] = True
+
+    def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """token, fresh, real and place in `line`, (steps, lanes) each; lanes that have ended drop out."""
+        for t in range(0, int(self.filled[0]), size):
+            width = int(np.searchsorted(-self.filled, -t))
+            step = np.arange(t, min(t + size, int(self.filled[0])))[:, None]
+            real = step < self.filled[:width]
+            at = np.where(real, self.base[:width] + step, 0)
+            yield self.line[at], self.fresh[at] & real, real, at
 
 
 def log_likelihoods(network: Network, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each text's short list tokens, state carried from window to window."""
-    token, fresh, real, where = lanes(texts, LANES)
-    logs = np.zeros(token.shape, np.float64)
-    h = np.zeros((token.shape[1], network.hidden), np.float32)
-    for t in range(0, len(token), WINDOW):
-        part = slice(t, t + WINDOW)
-        # lanes that have ended take no part any more
-        width = np.flatnonzero(real[t])
-        before, h_new, _ = network.run(h[width], token[part][:, width], fresh[part][:, width])
-        h[width] = h_new
-        flat = network.log_chance(before.reshape(-1, network.hidden), token[part][:, width].ravel())
-        logs[part, width] = flat.reshape(-1, len(width))
-    sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs * real, 0)])
+    """Natural log probability of each text's entries, state carried from window to window."""
+    laid = Lanes(texts, LANES)
+    sums = np.zeros(len(laid.line) + 1)
+    h = np.zeros((laid.count, network.hidden), np.float32)
+    for token, fresh, real, at in laid.windows(WINDOW):
+        before, h, _ = network.run(h[: token.shape[1]], token, fresh)
+        flat = network.log_chance(before.reshape(-1, network.hidden), token.ravel())
+        sums[at[real] + 1] = flat.reshape(token.shape)[real]
+    np.cumsum(sums, out=sums)
     sizes = np.array([len(t) for t in texts], np.int64)
-    return sums[where[:, 1] + sizes, where[:, 0]] - sums[where[:, 1], where[:, 0]]
+    return sums[laid.start + sizes] - sums[laid.start]
 
 
 def train(docs: DataFrame, head: Head) -> Network:
-    """A network averaged from the copies that the tasks train; blocks of its weights are averaged apart."""
+    """A network averaged from the copies that the tasks train; blocks of its weights are averaged apart.
+
+    A null text is its end alone; repeated texts are trained on as often as they stand there. Without texts
+    the network stays at the counts.
+    """
     network = Network(head.listed, head.other_total)
-    share = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0)
-    spark = docs.sparkSession
-    for _ in range(ROUNDS):
-        now = spark.sparkContext.broadcast((head, network))
-
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            head, start = now.value
-            trainer = Trainer(Network(head.listed, head.other_total).load(start.flat()))
-            held: list[np.ndarray] = []
-            size = seen = 0
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                found, offsets = tokens(batch.column("text"))
-                place = head.look_up(found)[1]
-                held += [place[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                size += len(found)
-                seen += len(found)
-                if size >= HELD:
-                    trainer.train(held)
-                    held, size = [], 0
-            if held:
+    shared = docs.sparkSession.sparkContext.broadcast((head, network))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, start = shared.value
+        trainer = Trainer(Network(head.listed, head.other_total).load(start.flat()))
+        held: list[np.ndarray] = []
+        size = seen = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, offsets = tokens(batch.column("text"))
+            place = head.look_up(found)[1]
+            held += [place[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            size += len(found)
+            seen += len(found)
+            if size >= HELD:
                 trainer.train(held)
-            if seen:
-                flat = trainer.network.flat()
-                blocks = [flat[i : i + BLOCK].tolist() for i in range(0, len(flat), BLOCK)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(range(len(blocks)), pa.int32()),
-                        pa.array([seen] * len(blocks), pa.int64()),
-                        pa.array(blocks, pa.list_(pa.float32())),
-                    ],
-                    ["block", "seen", "weights"],
-                )
+                held, size = [], 0
+        if held:
+            trainer.train(held)
+        trainer.step()
+        if seen:
+            flat = trainer.network.flat()
+            blocks = [flat[i : i + BLOCK].tolist() for i in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(len(blocks)), pa.int32()),
+                    pa.array([seen] * len(blocks), pa.int64()),
+                    pa.array(blocks, pa.list_(pa.float32())),
+                ],
+                ["block", "seen", "weights"],
+            )
 
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, tuple[int, np.ndarray]] = {}
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    block, seen = batch.column("block")[row].as_py(), batch.column("seen")[row].as_py()
-                    weights = batch.column("weights")[row].values.to_numpy().astype(np.float64) * seen
-                    n, old = sums.get(block, (0, 0.0))
-                    sums[block] = (n + seen, old + weights)
-            if sums:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(list(sums), pa.int32()),
-                        pa.array([(w / n).tolist() for n, w in sums.values()], pa.list_(pa.float32())),
-                    ],
-                    ["block", "weights"],
-                )
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, seen = batch.column("block")[row].as_py(), batch.column("seen")[row].as_py()
+                weights = batch.column("weights")[row].values.to_numpy().astype(np.float64) * seen
+                n, old = sums.get(block, (0, 0.0))
+                sums[block] = (n + seen, old + weights)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(sums), pa.int32()),
+                    pa.array([n for n, _ in sums.values()], pa.int64()),
+                    pa.array([(w / n).tolist() for n, w in sums.values()], pa.list_(pa.float32())),
+                ],
+                ["block", "seen", "weights"],
+            )
 
-        copies = share.mapInArrow(run, "block int, seen bigint, weights array<float>")
-        averaged = copies.repartition("block").mapInArrow(mean, "block int, weights array<float>").toPandas()
-        if not len(averaged):
-            break  # nothing to learn from: the network stays at the counts
-        flat = np.concatenate([np.asarray(w) for w in averaged.sort_values("block")["weights"]])
-        network = Network(head.listed, head.other_total).load(flat)
-    return network
+    kind = "block int, seen bigint, weights array<float>"
+    copies = docs.select("text").mapInArrow(run, kind)
+    some = copies.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(GROUPS))).repartition("block", "part").drop("part")
+    averaged = some.mapInArrow(mean, kind).repartition("block").mapInArrow(mean, kind).toPandas()
+    if not len(averaged):
+        return network
+    flat = np.concatenate([np.asarray(w) for w in averaged.sort_values("block")["weights"]])
+    return Network(head.listed, head.other_total).load(flat)
 
 
 # --- scores -------------------------------------------------------------------------------------
@@ -444,10 +502,10 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             known = count >= 0
             cuts = offsets[:-1]
             log = np.where(known, np.log10(np.maximum(count, 0) + 0.5), 0.0)
-            inside = place > 0
+            share = head.share(count, place)
             sums = [
                 np.add.reduceat(x, cuts)
-                for x in (known.astype(np.int64), log, (~inside).astype(np.int64), np.where(inside, 0.0, log))
+                for x in (known.astype(np.int64), log, (place == 0).astype(np.int64), share)
             ]
             # copied: a slice would hold the whole batch's tokens
             texts = [

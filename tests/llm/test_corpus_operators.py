@@ -303,18 +303,13 @@ def test_scores_against_brute_force(spark, docs, monkeypatch, head):
 def test_network_beats_the_counts_on_held_out_texts(spark, docs):
     docs([])
     rows = table(spark, SMALL.replace("0.001", "0.01"), "documents")
-    monkey = lm.SHARE
-    lm.SHARE = 2
-    try:
-        got = lm.score(rows.filter(lm.held_out()), rows.filter(~lm.held_out())).agg(F.sum("score"), F.sum("base_score")).first()
-    finally:
-        lm.SHARE = monkey
+    got = lm.score(rows.filter(lm.held_out()), rows.filter(~lm.held_out())).agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
 
 
 def test_every_training_text_trains_the_network(docs):
     """Each text has a word of its own; a word that no task has trained on keeps its first weights."""
-    rows = docs([(i, f"own{i} " * 5, None) for i in range(96)])
+    rows = docs([(i, f"own{i} " * 150, None) for i in range(96)])
     head = lm.head_of(lm.counted(rows))
     first, after = lm.Network(head.listed, head.other_total), lm.train(rows.repartition(2), head)
     moved = np.abs(after.inputs - first.inputs).max(1) > 0
@@ -322,6 +317,41 @@ def test_every_training_text_trains_the_network(docs):
     assert len(own) == 96 and moved[own].all()
 
 
+def test_words_share_their_entries(docs, monkeypatch):
+    """10,000 words: each has an entry of its own, a band or the rest, and within one the shares add up to one."""
+    monkeypatch.setattr(lm, "HEAD", 6000)
+    rows = docs([(i, " ".join(f"w{j}" for j in range(10_000) if i % (1 + j // 50) == 0), None) for i in range(400)])
+    counts = {r["word"]: r["n"] for r in lm.counted(rows).collect()}
+    head = lm.head_of(lm.counted(rows))
+    assert len(counts) == 10_001 and 3000 < len(head.words) <= 6000
+    assert set(head.counts) == {counts[int(w)] for w in head.words.view(np.int64)} and (head.place > 0).all()
+    shares = 10 ** head.share(head.counts, head.place)
+    sums = np.bincount(head.place, shares, len(head.listed))
+    bands = np.flatnonzero(head.kinds > 1)
+    assert len(bands) and (bands < lm.IN_CLASS).all() and (head.kinds <= 1)[lm.IN_CLASS :].all()
+    assert sums[head.kinds > 0] == pytest.approx(1, rel=1e-9)
+    rest = [n for w, n in counts.items() if w not in set(head.words.view(np.int64).tolist())]
+    assert (head.other_total, head.other_distinct) == (sum(rest), len(rest))
+
+
+def test_lanes_hold_one_window_at_a_time():
+    """A text of a million words beside 300 short ones: no array of its length for every lane."""
+    draw = np.random.default_rng(2)
+    texts = [draw.integers(0, 1024, n).astype(np.int32) for n in [1_000_000, *draw.integers(1, 9, 300)]]
+    laid = lm.Lanes(texts, 256)
+    assert len(laid.line) == sum(map(len, texts))
+    seen = np.zeros(len(laid.line), int)
+    for token, fresh, real, at in laid.windows(64):
+        assert token.size <= 64 * 256
+        np.add.at(seen, at[real], 1)
+        assert (token[real] == laid.line[at[real]]).all() and not fresh[~real].any()
+    assert (seen == 1).all()
+    assert all((laid.line[s : s + len(t)] == t).all() and laid.fresh[s] for s, t in zip(laid.start, texts, strict=True))
+    net = lm.Network(np.ones(1024, np.int64), 5)
+    short = lm.log_likelihoods(net, texts[1:])
+    assert lm.log_likelihoods(net, [texts[0][:70_000], *texts[1:]])[1:] == pytest.approx(short, rel=1e-4)
+
+
 def test_scores_without_training(docs):
     table_ = docs(HARD)
     got = lm.score(table_, table_.limit(0)).collect()
