@@ -24,8 +24,8 @@ MAGIC = b"\x1f\x8b\x08"
 #: Payloads of this many bytes or more are written once; later equal ones refer to the first.
 LEAST_REVISIT = 100
 ARCHIVE_BYTES, RANGE_BYTES, PIECE = 64 << 20, 4 << 20, 256 << 10
-#: A WARC header that is longer than this is no header.
-HEAD = 64 << 10
+#: How a record begins, whatever the length of its header.
+VERSION = b"WARC/1."
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -71,8 +71,12 @@ def with_originals(pages: DataFrame) -> DataFrame:
 
     Of equal payloads of LEAST_REVISIT bytes or more the page with the smallest id is the response; rows
     that repeat that id are responses too. Pages without id refer to it; if none has an id, all are
-    responses. Only ids and digests are compared; the texts go through one shuffle, by id and digest.
+    responses. Only ids and digests are compared; the texts go through one shuffle, by id and digest. Page ids
+    are whole numbers; others are refused.
     """
+    kind = pages.schema["page_id"].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"page_id must be a whole number, not {kind}")
     body = F.coalesce("html", F.lit(""))
     known = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("digest"))
     sized = pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("bytes"))
@@ -158,40 +162,62 @@ class _Member:
 def _header(member: _Member) -> tuple[dict[str, str], bytes] | None:
     """Fields of a WARC header and the bytes read beyond it; None if the candidate is no record.
 
-    Four bytes at a time, so that the end of a short member, whose checks may fail, is not reached: a
-    damaged record must not pass for a false candidate.
+    A candidate that begins as a record does but cannot be decoded is a damaged record, and an error.
     """
     data = b""
     try:
-        while b"\r\n\r\n" not in data:
+        while len(data) < len(VERSION):
             more = member.read(4)
             data += more
-            if not more or len(data) > HEAD or not data.startswith(b"WARC/1."[: len(data)]):
+            if not more or not data.startswith(VERSION[: len(data)]):
                 return None
     except zlib.error:
         return None
-    head, _, rest = data.partition(b"\r\n\r\n")
+    held, tail = [data], data
+    while b"\r\n\r\n" not in tail:
+        more = member.read(1024)
+        if not more:
+            raise ValueError("a record ends inside its header")
+        held.append(more)
+        tail = tail[-3:] + more
+    head, _, rest = b"".join(held).partition(b"\r\n\r\n")
     fields = {}
     for line in head.split(b"\r\n")[1:]:
-        name, colon, value = line.decode("utf-8", "replace").partition(":")
-        if not colon:
-            return None
+        name, _, value = line.decode("utf-8", "replace").partition(":")
         fields[name.strip().lower()] = value.strip()
-    return (fields, rest) if "warc-type" in fields and fields.get("content-length", "").isdigit() else None
+    if "warc-type" not in fields or not fields.get("content-length", "").isdigit():
+        raise ValueError("a record's header lacks its type or length")
+    return fields, rest
 
 
-def read_range(path: str, lo: int, hi: int, payloads: bool = False) -> Iterator[dict[str, Any]]:
-    """The records of an archive that start in lo:hi."""
+def read_range(path: str, lo: int, hi: int, size: int, payloads: bool = False) -> Iterator[dict[str, Any]]:
+    """The records of an archive of `size` bytes that start in lo:hi.
+
+    Only the first one is searched for; an archive begins with a record, and each further one has to begin just
+    where the last one ends, up to the archive's end. Whoever reads a range's last record also decodes the
+    header behind it, which starts in a later range: so no damaged record is passed over as a false candidate.
+    """
     system, inner = _opened(path)
     with system.open_input_file(inner) as file:
-        at = lo
-        while (at := _next_magic(file, at, hi)) is not None:
+        at, found = lo, None
+        while found is None:
+            if (at := _next_magic(file, at, hi)) is None:
+                if lo == 0 < size:
+                    raise ValueError(f"{path} does not begin with a record")
+                return
             member = _Member(file, at)
             if (found := _header(member)) is None:
                 at += 1
-                continue
+            if lo == 0 and (at > 0):
+                raise ValueError(f"{path} does not begin with a record")
+        while at < hi:
             yield _record(*found, member, at, payloads)
             at = member.end
+            if at >= size:
+                break
+            member = _Member(file, at)
+            if (found := _header(member)) is None:
+                raise ValueError(f"no record begins at {at} of {path}, where the last one ends")
 
 
 def _next_magic(file, at: int, hi: int) -> int | None:
@@ -256,14 +282,15 @@ RECORD = (
 def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = False) -> DataFrame:
     """All records of the archives (path, bytes), read in ranges of range_bytes.
 
-    The digest of each response is checked against its payload; a damaged record ends the job. A revisit's
-    size and digest are those of the payload it stands for. Empty archives have no records.
+    The digest of each response is checked against its payload; a damaged record, head or magic ends the job. A
+    revisit's size and digest are those of the payload it stands for. Empty archives have no records.
     """
     last = F.greatest(F.floor((F.col("bytes") - 1) / range_bytes), F.lit(0))
     ranges = archives.filter("bytes > 0").select(
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("no")
     )
-    spread = ranges.repartition("path", "no")
+    total = archives.agg(F.coalesce(F.sum(last + 1), F.lit(1)).alias("n")).first()["n"]
+    spread = ranges.repartition(max(1, int(total)), "path", "no")  # a number that is named is kept by the planner
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema(
@@ -275,7 +302,7 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
             for row in batch.to_pylist():
                 lo = row["no"] * range_bytes
                 held: list[dict] = []
-                for found in read_range(row["path"], lo, min(lo + range_bytes, row["bytes"]), payloads):
+                for found in read_range(row["path"], lo, min(lo + range_bytes, row["bytes"]), row["bytes"], payloads):
                     held.append(found)
                     if len(held) >= (1 if payloads else 1000):
                         yield pa.RecordBatch.from_pylist(held, kind)

@@ -387,22 +387,69 @@ def test_archives_round_trip(spark, docs, monkeypatch):
     assert warc.read_archives(warc.write_archives(warc.with_originals(pages.limit(0)), scratch(spark, "warc"))).count() == 0
 
 
-def test_false_magic_is_no_record(tmp_path):
-    html = "x" * 90
-    row = {"page_id": 3, "url": "u", "html": html, "digest": hashlib.sha256(html.encode()).hexdigest(), "revisit": False, "refers_to": None}
-    data = b"junk" + warc.MAGIC + b"no member" + zlib.compress(b"plain", wbits=31) + warc.record(row)
+class Bytes(str):
+    """A text whose bytes are given: for payloads that are no text."""
+
+    def __new__(cls, data: bytes):
+        self = super().__new__(cls, "x")
+        self.data = data
+        return self
+
+    def encode(self, *_):
+        return self.data
+
+
+def page(i: int, html: str, url: str = "u") -> dict:
+    data = html.encode()
+    return {"page_id": i, "url": url, "html": html, "digest": hashlib.sha256(data).hexdigest(), "revisit": False, "refers_to": None}
+
+
+def all_ranges(path, size: int, step: int) -> list[int]:
+    return [r["page_id"] for lo in range(0, size, step) for r in warc.read_range(str(path), lo, min(lo + step, size), size)]
+
+
+def test_false_magic_is_no_record(tmp_path, monkeypatch):
+    """Members that do not compress hold what looks like members; ranges may start anywhere in them."""
+    monkeypatch.setattr(warc.zlib, "compressobj", lambda level, *rest, make=zlib.compressobj: make(0, *rest))
+    inner = b"junk" + warc.MAGIC + b"no member" + zlib.compress(b"plain", wbits=31) + zlib.compress(b"WARC", wbits=31)
+    data = b"".join(warc.record(page(i, Bytes(inner * 3))) for i in range(4))
+    assert data.count(warc.MAGIC) == 4 * 10
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    for step in (7, 50, 333, len(data)):
+        assert all_ranges(path, len(data), step) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("at", ["magic", "deflate", "head", "payload", "end"])
+def test_damage_is_an_error_wherever_it_is(tmp_path, at):
+    records = [warc.record(page(i, f"{i}" * 300)) for i in range(3)]
+    broken = bytearray(records[1])
+    place = {"magic": 1, "deflate": 10, "head": 14, "payload": len(broken) - 20, "end": len(broken) - 1}[at]
+    broken[place] ^= 0x55
     path = tmp_path / "a.warc.gz"
-    path.write_bytes(data * 2)
-    whole = list(warc.read_range(str(path), 0, len(data) * 2))
-    assert [r["page_id"] for r in whole] == [3, 3]
-    for step in (7, 50, 333):
-        found = [r["offset"] for lo in range(0, 2 * len(data), step) for r in warc.read_range(str(path), lo, min(lo + step, 2 * len(data)))]
-        assert found == [r["offset"] for r in whole]
-    broken = bytearray(warc.record(row))
-    broken[-1] ^= 1
-    path.write_bytes(broken)
+    for order in ([records[0], bytes(broken), records[2]], [bytes(broken), records[2]], [records[0], bytes(broken)]):
+        data = b"".join(order)
+        path.write_bytes(data)
+        for step in (40, 200, len(data)):
+            with pytest.raises((ValueError, zlib.error)):
+                all_ranges(path, len(data), step)
+    path.write_bytes(records[0] + records[1][:100])
     with pytest.raises((ValueError, zlib.error)):
-        list(warc.read_range(str(path), 0, len(broken)))
+        all_ranges(path, len(records[0]) + 100, 64)
+
+
+def test_long_urls_and_many_tasks(spark, docs):
+    docs([])
+    draw = random.Random(4)
+    rows = [(i, "http://x/" + "".join(draw.choices("abcdef0123456789", k=70_000 if i % 3 == 1 else 9)), "y" * i) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    archives = warc.write_archives(warc.with_originals(pages).repartition(1), scratch(spark, "warc"))
+    found = warc.read_archives(archives, 20_000)
+    assert sorted((r["page_id"], r["url"]) for r in found.collect()) == [r[:2] for r in rows]
+    tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert found.rdd.getNumPartitions() > 10 and tasks > 5
+    with pytest.raises(ValueError, match="whole number"):
+        warc.with_originals(pages.selectExpr("url AS page_id", "url", "html"))
 
 
 # --- the pipeline
