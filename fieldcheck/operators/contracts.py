@@ -42,24 +42,50 @@ def duplicate_selectors(selection: DataFrame, keys: Sequence[str]) -> DataFrame:
 def rule_allowed(fields: DataFrame, rules: DataFrame, absent_is_wildcard: bool = True) -> DataFrame:
     """Whether some rule of the dataset allows every selected value of a field.
 
-    fields(dataset, field, selection map<string,string>), rules(dataset, rule map<string,array>).
-    A semi join stops at the first rule that fits, so field-rule pairs are never written out. A
-    dimension absent from a rule is a wildcard for provider rules and a mismatch for compact ones;
-    a dataset without provider rules allows everything, without compact rules nothing.
+    fields(dataset, field, selection map<string,string>), rules(dataset, rule map<string,array>). A
+    dimension absent from a rule is a wildcard for provider rules and a mismatch for compact ones; a
+    dataset without provider rules allows everything, without compact rules nothing.
+
+    Rules are indexed by (dataset, their dimensions, dimension, value). A selection is looked up once for each
+    set of dimensions its dataset has, by that of its values which the fewest rules list; only these rules
+    are read and compared. Selections that repeat are looked up once, and so are repeated rules.
     """
+    entries = lambda c: F.array_sort(F.map_entries(c))
+    known = rules.select(
+        F.col("dataset").alias("_d"), F.array_sort(F.map_keys("rule")).alias("_dims"), F.xxhash64(entries("rule")).alias("_rule"), "rule"
+    ).dropDuplicates(["_d", "_dims", "_rule"])
+    listed = known.select("_d", "_dims", "_rule", F.explode("rule").alias("_dim", "_values"))
+    listed = listed.select("_d", "_dims", "_rule", "_dim", F.explode(F.array_distinct("_values")).alias("_value"))
+    sizes = listed.groupBy("_d", "_dims", "_dim", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    named = fields.select("dataset", "field", "selection", F.xxhash64(entries("selection")).alias("_sel"))
+    asked = named.select(F.col("dataset").alias("_d"), "_sel", "selection").dropDuplicates(["_d", "_sel"])
+    shapes = asked.join(known.select("_d", "_dims").distinct(), "_d").withColumn(
+        "_bound", F.array_intersect(F.map_keys("selection"), "_dims")
+    )
+    if not absent_is_wildcard:
+        shapes = shapes.filter(F.size("_bound") == F.size("selection"))
+    free = shapes.filter(F.size("_bound") == 0).select("_d", "_sel")
+    each = shapes.select("_d", "_sel", "_dims", "selection", F.explode("_bound").alias("_dim"))
+    each = each.withColumn("_value", F.try_element_at("selection", F.col("_dim")))
+    rarest = (
+        each.join(sizes, ["_d", "_dims", "_dim", "_value"], "left")
+        .groupBy("_d", "_sel", "_dims")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_dim", "_value")).alias("_m"), F.first("selection").alias("selection"))
+        .filter("_m.n > 0")
+        .select("_d", "_sel", "_dims", "selection", "_m._dim", "_m._value")
+    )
+    met = rarest.join(listed, ["_d", "_dims", "_dim", "_value"]).join(known, ["_d", "_dims", "_rule"])
     fits = F.forall(
         F.map_entries("selection"),
-        lambda e: F.when(
-            F.map_contains_key(F.col("rule"), e["key"]),
-            F.coalesce(F.array_contains(F.try_element_at(F.col("rule"), e["key"]), e["value"]), F.lit(False)),
-        ).otherwise(F.lit(absent_is_wildcard)),
+        lambda e: ~F.map_contains_key(F.col("rule"), e["key"])
+        | F.coalesce(F.array_contains(F.try_element_at(F.col("rule"), e["key"]), e["value"]), F.lit(False)),
     )
-    r = rules.select(F.col("dataset").alias("_d"), "rule")
-    ok = fields.join(r, (F.col("dataset") == F.col("_d")) & fits, "left_semi").select("dataset", "field")
+    ok = met.filter(fits).select("_d", "_sel").unionByName(free).distinct()
+    ok = ok.select(F.col("_d").alias("dataset"), "_sel", F.lit(True).alias("_ok"))
     ruled = rules.select("dataset").distinct().withColumn("_ruled", F.lit(True))
     return (
-        fields.select("dataset", "field")
-        .join(ok.distinct().withColumn("_ok", F.lit(True)), ["dataset", "field"], "left")
+        named.select("dataset", "field", "_sel")
+        .join(ok, ["dataset", "_sel"], "left")
         .join(ruled, "dataset", "left")
         .select(
             "dataset",

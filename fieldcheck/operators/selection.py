@@ -40,30 +40,48 @@ def select_area(df: DataFrame, north: Column, west: Column, south: Column, east:
     return df.filter(in_area(F.col("latitude"), F.col("longitude"), north, west, south, east))
 
 
+#: Cells a unit of the stretched scale: a tolerance reaches over less than half a cell.
+LEVEL_CELLS = 1 / (4 * LEVEL_RTOL)
+
+
+def _cell(value: Column) -> Column:
+    """Place of a number on a scale that is even near zero and logarithmic beyond, as the tolerance is."""
+    return F.signum(value) * F.asinh(F.abs(value) * (LEVEL_RTOL / LEVEL_ATOL)) * LEVEL_CELLS
+
+
 def select_level(coordinates: DataFrame, selectors: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Matches of each selector (id, keys, value) on its coordinate (keys, idx, value).
+    """Matches of each selector (selector_id, keys, value) on its coordinate (keys, idx, value, text).
+
+    A coordinate has numbers in `value` or, if the column is there, texts in `text`; one without idx is a
+    scalar, which has to equal its selector. Selectors are numbers or texts: on a coordinate of numbers one
+    matches within tolerance, and a text that is no number matches nothing; on a coordinate of texts one
+    matches its own text. Where there is no coordinate the channel has no such axis, and nothing to select.
 
-    Numbers match within tolerance. The tolerance join is an equi-join on the whole-number
-    interval a coordinate lies in; a selector visits each interval its tolerance reaches, so no
-    channel is compared with all of its coordinates.
+    The tolerance join is an equi-join on cells; a selector reaches two of them at most, whatever its size.
     """
-    tol = F.lit(LEVEL_ATOL) + F.lit(LEVEL_RTOL) * F.abs("value")
-    reach = F.sequence(F.floor(F.col("value") - tol), F.floor(F.col("value") + tol))
-    wanted = selectors.select("selector_id", *keys, F.col("value").alias("_want"), F.explode(reach).alias("_cell"))
+    if "text" not in coordinates.columns:
+        coordinates = coordinates.withColumn("text", F.lit(None).cast("string"))
+    number, text = F.col("value").try_cast("double"), F.col("value").cast("string")
+    tol = F.lit(LEVEL_ATOL) + F.lit(LEVEL_RTOL) * F.abs(number)
+    reach = [F.concat(F.lit("n"), F.floor(_cell(number + d * tol) + d * 1e-6).cast("string")) for d in (-1, 1)]
+    places = F.array_compact(F.array_distinct(F.array(*reach, F.concat(F.lit("t"), text))))
+    wanted = selectors.select("selector_id", *keys, number.alias("_want"), F.explode(places).alias("_place"))
     known = coordinates.select(
-        *keys, "idx", F.col("value").alias("_have"), F.floor("value").alias("_cell")
-    )
-    near = isclose(F.col("_have"), F.col("_want"), F.lit(LEVEL_ATOL), F.lit(LEVEL_RTOL))
+        *keys, "idx", F.col("value").alias("_have"),
+        F.coalesce(F.concat(F.lit("n"), F.floor(_cell(F.col("value"))).cast("string")), F.concat(F.lit("t"), "text")).alias("_place"),
+    )
+    near = F.col("_have").isNull() | isclose(F.col("_have"), F.col("_want"), F.lit(LEVEL_ATOL), F.lit(LEVEL_RTOL))
     hits = (
-        wanted.join(known, [*keys, "_cell"])
+        wanted.join(known, [*keys, "_place"])
         .filter(near)
         .groupBy("selector_id")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("idx").alias("_idx"))
     )
-    axes = coordinates.select(*keys).distinct().withColumn("_axis", F.lit(True))
+    axes = coordinates.groupBy(*keys).agg(F.max(F.col("idx").isNull()).alias("_scalar"))
     n = F.coalesce("_n", F.lit(0))
     status = (
-        F.when(F.col("_axis").isNull(), "no_axis")
+        F.when(F.col("_scalar").isNull(), "no_axis")
+        .when(F.col("_scalar"), F.when(n == 1, "scalar").otherwise("scalar_mismatch"))
         .when(n == 1, "selected")
         .when(n == 0, "no_match")
         .otherwise("ambiguous")
@@ -76,7 +94,7 @@ def select_level(coordinates: DataFrame, selectors: DataFrame, keys: Sequence[st
             *keys,
             "value",
             n.alias("matches"),
-            F.when(n == 1, F.col("_idx")).otherwise(F.lit(-1)).alias("idx"),
+            F.when(n == 1, F.coalesce("_idx", F.lit(-1))).otherwise(F.lit(-1)).alias("idx"),
             status.alias("status"),
         )
     )

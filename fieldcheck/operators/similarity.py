@@ -3,24 +3,27 @@
 Two sets with Jaccard >= t share a token among their rarest |x| - ceil(t |x|) + 1 tokens, so only
 sets that meet in such a token are compared, and of these only pairs whose token places leave room for
 the overlap. Copies of one token set are one row from the start.
-Only the earliest match is wanted: each bucket first offers its earliest few members, which answers
-every member of a cluster of near copies; a set goes on to the rest of its buckets only while an
-earlier answer could still hide there.
+Only the earliest match is wanted: each bucket first offers a few early members, the earliest of each hash
+class, which answers every member of a cluster of near copies; a set goes on to the rest of its buckets only
+while an earlier answer could still hide there. What is left of a bucket is cut into hash blocks, and these
+meet pair by pair, so no bucket is one group, however many sets share it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcheck.session import pinned
 
 LEADERS = 4
+#: Keys that the members of a bucket are dealt over to meet its leaders; members of a block.
+SALTS, BLOCK = 8, 512
 GROUP = ["targets", "path", "set_id"]
 BUCKET = ["targets", "path", "token"]
 
 
-def earliest_similar(proposals: DataFrame, threshold: float, leaders: int = LEADERS) -> DataFrame:
+def earliest_similar(proposals: DataFrame, threshold: float, leaders: int = LEADERS, block: int = BLOCK) -> DataFrame:
     """(seq, earlier) for proposals(seq, targets, paths array, tokens array) that have a match.
 
     A match shares an edit path and the target set, has a smaller seq, and a similarity of at
@@ -39,7 +42,7 @@ def earliest_similar(proposals: DataFrame, threshold: float, leaders: int = LEAD
     sets = sets.select("set_id", "tokens")
     first = by_path.groupBy(*GROUP).agg(F.min("seq").alias("gid"))
     postings = pinned(first.join(prefixes(sets, threshold), "set_id"))
-    best = first.join(earliest_group(postings, sets, threshold, leaders), GROUP, "left").withColumn(
+    best = first.join(earliest_group(postings, sets, threshold, leaders, block), GROUP, "left").withColumn(
         "_low", F.least("gid", F.coalesce("other", F.col("gid")))
     )
     answers = by_path.join(best, GROUP).select(
@@ -64,47 +67,57 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     return rare.select("set_id", "size", F.posexplode(F.slice("_t", F.lit(1), keep)["token"]).alias("place", "token"))
 
 
-def earliest_group(postings: DataFrame, sets: DataFrame, threshold: float, leaders: int) -> DataFrame:
+def earliest_group(postings: DataFrame, sets: DataFrame, threshold: float, leaders: int, block: int = BLOCK) -> DataFrame:
     """Per (targets, path, set): the smallest gid of another similar set that is smaller than its own."""
-    place = F.row_number().over(Window.partitionBy(*BUCKET).orderBy("gid"))
-    front = pinned(postings.withColumn("_place", place).filter(F.col("_place") <= leaders + 1))
-    ahead = front.filter(F.col("_place") <= leaders)
-    edge = front.filter(F.col("_place") == leaders + 1).select(*BUCKET, F.col("gid").alias("_edge"))
-    near = pinned(verified(candidates(postings, ahead, threshold), sets, threshold))
+    member = F.struct("gid", "set_id", "size", "place")
+    spread = postings.withColumn("_s", F.pmod(F.xxhash64("set_id"), F.lit(max(leaders, SALTS))).cast("int"))
+    classes = spread.groupBy(*BUCKET, (F.col("_s") % leaders).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min(member).alias("_m"))
+    heads = (
+        classes.groupBy(*BUCKET).agg(F.sum("_n").alias("_n"), F.collect_list("_m").alias("_heads")).filter("_n > 1")
+        .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(max(leaders, SALTS) - 1))))
+    )
+    # one row a member of a bucket with company, with the bucket's size and leaders
+    dealt = spread.join(heads, [*BUCKET, "_s"])
+    fits = F.filter("_heads", lambda m: (m["gid"] < F.col("gid")) & _room(F.col("size"), F.col("place"), m["size"], m["place"], threshold))
+    dealt = pinned(
+        dealt.select(
+            *GROUP, "token", "gid", "size", "place", "_n", fits.alias("_near"),
+            F.exists("_heads", lambda m: m["gid"] == F.col("gid")).alias("_leads"),
+        )
+    )
+    ahead = dealt.select(*GROUP, F.explode("_near").alias("_m")).select(*GROUP, F.col("_m.set_id").alias("set2"), F.col("_m.gid").alias("other"))
+    near = pinned(verified(ahead.distinct(), sets, threshold))
     found = near.groupBy(*GROUP).agg(F.min("other").alias("other"))
-    # A bucket is exhausted for a set once its next member comes after the set's best answer.
-    deep = postings.join(edge, BUCKET)
-    open_ = (
-        deep.join(found, GROUP, "left")
-        .withColumn("_bound", F.least("gid", F.coalesce("other", F.col("gid"))))
-        .filter(F.col("_edge") < F.col("_bound"))
+    # A bucket is exhausted for a set once its first member that does not lead comes after the set's best answer.
+    edges = dealt.filter("NOT _leads").groupBy(*BUCKET).agg(F.min("gid").alias("_edge"))
+    deep = dealt.join(found, GROUP, "left").withColumn("_bound", F.least("gid", F.coalesce("other", F.col("gid"))))
+    reach = deep.groupBy(*BUCKET).agg(F.max("_bound").alias("_reach")).join(edges, BUCKET).filter(F.col("_edge") < F.col("_reach"))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
+    each = F.explode(F.sequence(F.lit(0), blocks - 1))
+    open_ = deep.join(reach, BUCKET).filter(F.col("_edge") < F.col("_bound")).select(
+        *GROUP, "token", "size", "place", F.col("_bound").alias("gid"), own.alias("_i"), each.alias("_j")
     )
-    later = deep.filter(F.col("gid") >= F.col("_edge")).select(*postings.columns)
-    more = verified(candidates(open_, later, threshold, "_bound"), sets, threshold)
+    later = dealt.filter("NOT _leads").join(reach, BUCKET).filter(F.col("gid") < F.col("_reach")).select(
+        *BUCKET, F.col("set_id").alias("set2"), F.col("gid").alias("other"), F.col("size").alias("size2"),
+        F.col("place").alias("place2"), own.alias("_j"), each.alias("_i"),
+    )
+    room = _room(F.col("size"), F.col("place"), F.col("size2"), F.col("place2"), threshold)
+    met = open_.join(later, [*BUCKET, "_i", "_j"]).filter((F.col("other") < F.col("gid")) & room)
+    more = verified(met.select(*GROUP, "set2", "other").distinct(), sets, threshold)
     return near.unionByName(more).groupBy(*GROUP).agg(F.min("other").alias("other"))
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: float, bound: str = "gid") -> DataFrame:
-    """Distinct pairs of sets that share a rare token in a bucket, fit in size and have room for the overlap.
+def _room(a: Column, i: Column, b: Column, j: Column, threshold: float) -> Column:
+    """Can sets of a and b tokens that share their tokens at places i and j be similar?
 
     `need` tokens must be shared. All sets are in one order, so two such sets share a token among the first
     size - need + 1 of either, and what they share is at most what stands before and after any common token.
     """
-    r = right.select(
-        *BUCKET, F.col("set_id").alias("set2"), F.col("gid").alias("other"), F.col("size").alias("size2"), F.col("place").alias("place2")
-    )
-    a, b, i, j = (F.col(c) for c in ("size", "size2", "place", "place2"))
     need = F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
     room = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1) >= need
     sized = (b >= a * threshold - 1e-9) & (a >= b * threshold - 1e-9)
-    fits = sized & (i <= a - need) & (j <= b - need) & room
-    return (
-        left.select(*BUCKET, "set_id", "size", "place", F.col(bound).alias("_b"))
-        .join(r, BUCKET)
-        .filter((F.col("other") < F.col("_b")) & fits)
-        .select(*GROUP, "set2", "other")
-        .distinct()
-    )
+    return sized & (i <= a - need) & (j <= b - need) & room
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

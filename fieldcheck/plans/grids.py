@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,30 +182,57 @@ def grid_block_ids(t: Tables) -> DataFrame:
 
 @query(
     "select_level",
-    """WITH c AS (SELECT DISTINCT p_brand AS channel, CAST(p_size AS DOUBLE) AS v FROM part),
+    """WITH c AS (SELECT DISTINCT p_brand AS channel, CAST(p_size AS BIGINT) AS idx, CAST(p_size AS DOUBLE) AS v, NULL AS t FROM part
+         UNION ALL SELECT 'high', p_partkey, p_partkey * 1e9::DOUBLE, NULL FROM part
+         UNION ALL SELECT 'text#' || p_size % 5, min(p_partkey), NULL, p_type FROM part GROUP BY p_size % 5, p_type
+         UNION ALL SELECT 'scalar#' || n_nationkey, NULL, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 1e8::DOUBLE END, CASE WHEN n_nationkey % 2 = 1 THEN n_name END FROM nation),
        s AS (SELECT s_suppkey AS selector_id, 'Brand#' || (s_nationkey + 1) AS channel,
-               CASE WHEN s_acctbal > 6000 THEN s_suppkey % 60 + 1e-9 WHEN s_acctbal > 4000 THEN s_suppkey % 60 + 0.5 ELSE s_suppkey % 50 END::DOUBLE AS value FROM supplier)
-       SELECT selector_id, s.channel, value, count(c.v) AS matches,
-              CASE WHEN count(c.v) = 1 THEN CAST(min(c.v) AS BIGINT) ELSE -1 END AS idx,
-              CASE WHEN s.channel NOT IN (SELECT channel FROM c) THEN 'no_axis' WHEN count(c.v) = 1 THEN 'selected' WHEN count(c.v) = 0 THEN 'no_match' ELSE 'ambiguous' END AS status
-       FROM s LEFT JOIN c ON s.channel = c.channel AND abs(c.v - s.value) <= 1e-8 + 1e-5 * abs(s.value) GROUP BY 1, 2, 3""",
+               CASE WHEN s_acctbal > 6000 THEN s_suppkey % 60 + 1e-9 WHEN s_acctbal > 4000 THEN s_suppkey % 60 + 0.5 ELSE s_suppkey % 50 END::DOUBLE AS v, NULL AS t FROM supplier
+         UNION ALL SELECT 1000000 + s_suppkey, 'high', s_suppkey * 1e9::DOUBLE + CASE WHEN s_suppkey % 2 = 0 THEN 1000 ELSE 1e8 END, NULL FROM supplier
+         UNION ALL SELECT 2000000 + p_partkey, 'text#' || p_partkey % 5, NULL, CASE WHEN p_partkey % 7 = 0 THEN '12' ELSE p_type END FROM part
+         UNION ALL SELECT 3000000 + n_nationkey, 'scalar#' || n_nationkey, CASE WHEN n_nationkey % 3 > 0 AND n_nationkey % 2 = 0 THEN n_nationkey * 1e8::DOUBLE + 1 END,
+           CASE WHEN n_nationkey % 3 = 0 THEN 'other' WHEN n_nationkey % 2 = 1 THEN n_name END FROM nation)
+       SELECT selector_id, s.channel, count(c.channel) AS matches, CASE WHEN count(c.channel) = 1 THEN coalesce(min(c.idx), -1) ELSE -1 END AS idx,
+              CASE WHEN s.channel NOT IN (SELECT channel FROM c) THEN 'no_axis' WHEN s.channel LIKE 'scalar%' THEN CASE WHEN count(c.channel) = 1 THEN 'scalar' ELSE 'scalar_mismatch' END
+                WHEN count(c.channel) = 1 THEN 'selected' WHEN count(c.channel) = 0 THEN 'no_match' ELSE 'ambiguous' END AS status
+       FROM s LEFT JOIN c ON s.channel = c.channel AND (abs(c.v - s.v) <= 1e-8 + 1e-5 * abs(s.v) OR c.t = s.t) GROUP BY 1, 2""",
 )
 def select_level(t: Tables) -> DataFrame:
-    coords = t.read("part").select(
-        F.col("p_brand").alias("channel"), F.col("p_size").cast("long").alias("idx"), F.col("p_size").cast("double").alias("value")
-    ).distinct()
+    """Levels of a brand, of very high values, by text and of scalar coordinates."""
+    part, nation, supplier = t.read("part"), t.read("nation"), t.read("supplier")
+    none, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    nth, size = F.col("n_nationkey"), F.col("p_size")
+    even = nth % 2 == 0
+    coords = (
+        part.select(F.col("p_brand").alias("channel"), size.cast("long").alias("idx"), size.cast("double").alias("value"), no_text.alias("text")).distinct()
+        .unionByName(part.select(F.lit("high").alias("channel"), F.col("p_partkey").alias("idx"), (F.col("p_partkey") * 1e9).alias("value"), no_text.alias("text")))
+        .unionByName(
+            part.groupBy(F.concat(F.lit("text#"), size % 5).alias("channel"), F.col("p_type").alias("text"))
+            .agg(F.min("p_partkey").alias("idx"), F.first(none).alias("value"))
+        )
+        .unionByName(
+            nation.select(
+                F.concat(F.lit("scalar#"), nth).alias("channel"), F.lit(None).cast("long").alias("idx"),
+                F.when(even, nth * 1e8).alias("value"), F.when(~even, F.col("n_name")).alias("text"),
+            )
+        )
+    )
     key = F.col("s_suppkey")
-    value = (
-        F.when(F.col("s_acctbal") > 6000, key % 60 + F.lit(1e-9))
-        .when(F.col("s_acctbal") > 4000, key % 60 + F.lit(0.5))
-        .otherwise(key % 50)
+    low = F.when(F.col("s_acctbal") > 6000, key % 60 + F.lit(1e-9)).when(F.col("s_acctbal") > 4000, key % 60 + F.lit(0.5)).otherwise(key % 50)
+    row = lambda df, i, channel, value: df.select(
+        i.cast("long").alias("selector_id"), channel.alias("channel"), value.cast("string").alias("value")
     )
-    selectors = t.read("supplier").select(
-        key.alias("selector_id"),
-        F.concat(F.lit("Brand#"), F.col("s_nationkey") + 1).alias("channel"),
-        value.cast("double").alias("value"),
+    exact = F.when(nth % 3 == 0, "other").when(even, (nth * 1e8 + 1).cast("string")).otherwise(F.col("n_name"))
+    selectors = reduce(
+        DataFrame.unionByName,
+        [
+            row(supplier, key, F.concat(F.lit("Brand#"), F.col("s_nationkey") + 1), low.cast("double")),
+            row(supplier, 1000000 + key, F.lit("high"), key * 1e9 + F.when(key % 2 == 0, 1000.0).otherwise(1e8)),
+            row(part, 2000000 + F.col("p_partkey"), F.concat(F.lit("text#"), F.col("p_partkey") % 5), F.when(F.col("p_partkey") % 7 == 0, "12").otherwise(F.col("p_type"))),
+            row(nation, 3000000 + nth, F.concat(F.lit("scalar#"), nth), exact),
+        ],
     )
-    return selection.select_level(coords, selectors, ["channel"])
+    return selection.select_level(coords, selectors, ["channel"]).drop("value")
 
 
 POLICY = "(VALUES ('ch0', 0.0::DOUBLE, 0.0::DOUBLE, true), ('ch1', 1.0::DOUBLE, 0.0::DOUBLE, true)) p(field_id, atol, rtol, same)"

@@ -168,6 +168,29 @@ def test_level_matches(spark):
     assert got == {1: (1, "selected"), 2: (2, "ambiguous"), 3: (0, "no_match"), 4: (0, "no_axis"), 5: (1, "selected")}
 
 
+def test_selectors_of_all_sizes_and_kinds(spark):
+    """Against comparing each selector with each coordinate; a selector has two cells at most."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([10.0 ** rng.uniform(-12, 12, 150) * rng.choice([-1, 1], 150), [0.0, 1e-9, 1e9, -1e15]])
+    near = values * (1 + rng.choice([0, 0.9e-5, -0.9e-5, 1.1e-5, 3e-5], len(values))) + rng.choice([0, 0.9e-8, -1.1e-8], len(values))
+    coords = spark.createDataFrame([("c", i, float(v)) for i, v in enumerate(values)], "channel string, idx long, value double")
+    wanted = spark.createDataFrame([(i, "c", float(v)) for i, v in enumerate(near)], "selector_id int, channel string, value double")
+    got = {r["selector_id"]: r["matches"] for r in selection.select_level(coords, wanted, ["channel"]).collect()}
+    assert got == {i: int((np.abs(values - v) <= 1e-8 + 1e-5 * abs(v)).sum()) for i, v in enumerate(near)}
+    assert (np.abs(values - near) <= 1e-8 + 1e-5 * np.abs(near)).sum() > 60
+    typed = spark.createDataFrame(
+        [("t", 0, None, "surface"), ("t", 1, None, "850"), ("n", 0, 850.0, None), ("s", None, 2.0, None), ("u", None, None, "x")],
+        "channel string, idx long, value double, text string",
+    )
+    asked = [("t", "850"), ("t", "850.0"), ("n", "850.0"), ("n", "surface"), ("s", "2"), ("s", "3"), ("u", "x"), ("u", "2"), ("v", "1")]
+    wanted = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "selector_id int, channel string, value string")
+    got = {r["selector_id"]: (r["status"], r["idx"]) for r in selection.select_level(typed, wanted, ["channel"]).collect()}
+    no = lambda s: (s, -1)
+    assert [got[i] for i in range(9)] == [
+        ("selected", 1), no("no_match"), ("selected", 0), no("no_match"), no("scalar"), no("scalar_mismatch"), no("scalar"), no("scalar_mismatch"), no("no_axis")
+    ]
+
+
 def test_coordinate_modes(spark):
     axis = lambda mode: spark.createDataFrame([("t", i, v, mode) for i, v in enumerate([3.0, 1.0, 2.0])], "axis string, idx long, value double, mode string")
     order = lambda mode: [r["source_idx"] for r in grid.normalise_coordinates(axis(mode)).orderBy("idx").collect()]

@@ -171,3 +171,27 @@ def test_trial_costs_split(spark):
     df = rows(spark, data, "trial_id string, call_no int, kind string, has_usage boolean, started_at string, cost_usd decimal(20,10)").withColumn("started_at", F.col("started_at").cast("timestamp"))
     r = experiments.trial_costs(df).first()
     assert (r["generation_usd"], r["repair_usd"], r["judge_usd"], r["total_usd"], r["calls_without_usage"], r["wall_seconds"]) == (1, 3, 5, 9, 1, 60)
+
+
+def test_rules_against_all_pairs(spark):
+    """A dataset of 10,000 rules of four shapes, small ones beside it; every field against every rule by hand."""
+    import random
+
+    draw = random.Random(9)
+    dims, fields, rules = ["a", "b", "c"], [], []
+    for dataset, n in (("hot", 10_000), ("d1", 3), ("d2", 1), ("wild", 1)):
+        for _ in range(n):
+            chosen = [] if dataset == "wild" else draw.sample(dims, draw.randint(1, 3))
+            rules.append((dataset, {d: [str(draw.randint(0, 60)) for _ in range(draw.randint(0, 4))] + [None] for d in chosen}))
+        for i in range(40):
+            chosen = draw.sample(dims, draw.randint(0, 3))
+            fields.append((dataset, f"{dataset}{i}", {d: draw.choice([None, *map(str, range(61))]) for d in chosen}))
+    frames = (
+        rows(spark, fields, "dataset string, field string, selection map<string,string>"),
+        rows(spark, rules + rules[:50], "dataset string, rule map<string,array<string>>"),
+    )
+    for wildcard in (True, False):
+        fits = lambda sel, rule: all((v is not None and v in rule[d]) if d in rule else wildcard for d, v in sel.items())
+        want = {f: any(fits(sel, r) for d2, r in rules if d2 == d) for d, f, sel in fields}
+        got = {r["field"]: r["allowed"] for r in contracts.rule_allowed(*frames, wildcard).collect()}
+        assert got == want and len(set(want.values())) == 2

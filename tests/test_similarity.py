@@ -16,9 +16,9 @@ def brute(rows, t):
     return out
 
 
-@pytest.mark.parametrize("leaders", [1, 4])
+@pytest.mark.parametrize("leaders, block", [(1, 512), (4, 7), (1, 5)])
 @pytest.mark.parametrize("threshold", [0.5, 0.72, 1.0])
-def test_matches_brute_force_with_a_hot_cluster(spark, threshold, leaders):
+def test_matches_brute_force_with_a_hot_cluster(spark, threshold, leaders, block):
     rng = np.random.default_rng(11)
     words = np.array([f"w{i}" for i in range(60)])
     base = list(rng.choice(words, 18, replace=False))
@@ -31,5 +31,5 @@ def test_matches_brute_force_with_a_hot_cluster(spark, threshold, leaders):
         paths = list(rng.choice(["p1", "p2", "p3"], 2, replace=False))
         rows.append((seq, str(rng.choice(["x", "y"])), [str(p) for p in paths], [str(w) for w in dict.fromkeys(tokens)]))
     df = spark.createDataFrame(rows, "seq long, targets string, paths array<string>, tokens array<string>")
-    got = {r["seq"]: r["earlier"] for r in earliest_similar(df, threshold, leaders).collect()}
+    got = {r["seq"]: r["earlier"] for r in earliest_similar(df, threshold, leaders, block).collect()}
     assert got == brute(rows, threshold)
