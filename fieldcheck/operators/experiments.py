@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcheck.functions.columns import flags
-from fieldcheck.operators.ordered import exact_quantiles
+from fieldcheck.operators.ordered import CHUNK, chunked, exact_quantiles
+from fieldcheck.session import pinned
 
 MAX_REPAIRS = 3
 
@@ -70,21 +71,26 @@ def success_at_k(trials: DataFrame) -> DataFrame:
 def matrix_gaps(trials: DataFrame, repetitions: DataFrame, experiment_id: str | None = None) -> DataFrame:
     """Missing, extra and repeated (condition, repetition) cells and foreign trials.
 
-    `repetitions` has one row per condition with its planned count; the expected cells are
-    generated from it, one range per condition.
+    `repetitions` has one row per condition with its planned count, which is cut into ranges of CHUNK cells. A
+    range whose cells have all been seen has no gap, so only the others are written out and compared.
     """
-    key = ["condition", "repetition"]
-    expected = repetitions.select(
-        "condition", F.explode(F.sequence(F.lit(1).cast("long"), F.col("planned").cast("long"))).alias("repetition")
-    )
+    key, part = ["condition", "repetition"], ["condition", "_chunk"]
     seen = trials.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    both = expected.withColumn("_e", F.lit(True)).join(seen, key, "full_outer")
-    problem = (
-        F.when(F.col("_n").isNull(), "missing")
-        .when(F.col("_e").isNull(), "extra")
-        .when(F.col("_n") > 1, "repeated")
+    seen = pinned(seen.withColumn("_chunk", F.floor((F.col("repetition") - 1) / CHUNK)))
+    plan = repetitions.select("condition", F.col("planned").cast("long").alias("_planned"))
+    ranges = pinned(chunked(plan, F.col("_planned"), "_chunk"))
+    first = F.col("_chunk") * CHUNK
+    size = F.least(F.lit(CHUNK).cast("long"), F.col("_planned") - first)
+    held = seen.groupBy(*part).agg(F.count(F.lit(1)).alias("_held"), F.max("repetition").alias("_top"))
+    open_ = ranges.join(held, part, "left").filter(
+        ~F.coalesce((F.col("_held") == size) & (F.col("_top") <= F.col("_planned")), F.lit(False))
     )
-    out = both.select(*key, problem.alias("problem")).filter(F.col("problem").isNotNull())
+    cells = open_.select("condition", F.explode(F.sequence(first + 1, first + size)).alias("repetition"))
+    missing = cells.join(seen.select(*key), key, "left_anti").withColumn("problem", F.lit("missing"))
+    known = seen.join(ranges, part, "left")
+    beyond = F.col("_planned").isNull() | (F.col("repetition") > F.col("_planned"))
+    problem = F.when(beyond, "extra").when(F.col("_n") > 1, "repeated")
+    out = missing.unionByName(known.select(*key, problem.alias("problem")).filter(F.col("problem").isNotNull()))
     if experiment_id is None:
         return out
     foreign = trials.filter(F.col("experiment_id") != experiment_id).select(*key).distinct()

@@ -19,6 +19,26 @@ from fieldcheck.session import pinned
 SLICE = "_slice"
 
 
+#: Numbers that one row is expanded to at a time.
+CHUNK = 4096
+
+
+def chunked(df: DataFrame, size: Column, name: str) -> DataFrame:
+    """A row for each CHUNK numbers of 0 .. size - 1, numbered in `name`; no array is longer than CHUNK below CHUNK ** 3."""
+    last = F.floor((size.cast("long") - 1) / CHUNK)
+    up = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / CHUNK)))
+    rows = df.filter(size > 0).withColumn("_last", last).withColumn("_up", up)
+    inner = F.sequence(F.lit(0).cast("long"), F.least(F.lit(CHUNK - 1).cast("long"), F.col("_last") - F.col("_up") * CHUNK))
+    return rows.withColumn(name, F.explode(inner)).withColumn(name, F.col("_up") * CHUNK + F.col(name)).drop("_last", "_up")
+
+
+def numbered(df: DataFrame, size: Column, name: str) -> DataFrame:
+    """A row for each number 0 .. size - 1, without an array of that length."""
+    rows = chunked(df.withColumn("_size", size.cast("long")), F.col("_size"), "_chunk")
+    first = F.col("_chunk") * CHUNK
+    return rows.withColumn(name, F.explode(F.sequence(first, F.least(first + CHUNK, F.col("_size")) - 1))).drop("_size", "_chunk")
+
+
 def _name(order: Column | str) -> Column:
     return F.col(order) if isinstance(order, str) else order
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fieldcheck.operators.ordered import SLICE, exact_quantiles, ranked, running
+from fieldcheck.operators.ordered import SLICE, exact_quantiles, numbered, ranked, running
 from fieldcheck.session import pinned
 
 #: Nodes of a slice: bounds what a task compares.
@@ -467,8 +467,9 @@ def focus_schedule(allocation: DataFrame) -> DataFrame:
     slots = (
         allocation.select("run_id", *FOCUS_TARGETS, F.explode(quotas).alias("_q"))
         .filter(F.col("_q.quota") > 0)
-        .select("run_id", *FOCUS_TARGETS, "_q.focus", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q.quota") - 1)).alias("k"))
+        .select("run_id", *FOCUS_TARGETS, "_q.focus", "_q.quota")
     )
+    slots = numbered(slots, F.col("quota"), "k").drop("quota")
     turns = {n: [i for i, f in enumerate(FOCUS_TURNS) if f == n] for n in FOCUS_TARGETS}
     cycle = F.lit(None).cast("long")
     turn = F.lit(None).cast("int")

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fieldcheck.operators import ordered
 from fieldcheck.operators.ordered import exact_quantiles, ranked, running
 
 
@@ -54,3 +55,25 @@ def test_null_keys_are_kept(spark):
     assert got == {(None, 1): 1, (None, 2): 2, ("a", 3): 1}
     q = {r["key"]: r["m"] for r in exact_quantiles(df, ["key"], "value", {"m": 0.5}).collect()}
     assert q == {None: 6.0, "a": 1.0}
+
+
+def test_numbered_has_no_long_array(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", ordered.CHUNK), ("d", ordered.CHUNK + 1), ("e", 3 * ordered.CHUNK**2 // 2), ("f", -3)], "k string, n long")
+    got = {r["k"]: (r["n"], r["lo"], r["hi"], r["c"]) for r in ordered.numbered(df, F.col("n"), "i").groupBy("k", "n").agg(
+        F.min("i").alias("lo"), F.max("i").alias("hi"), F.count_distinct("i").alias("c")).collect()}
+    assert set(got) == {"b", "c", "d", "e"} and all(v[1:] == (0, v[0] - 1, v[0]) for v in got.values())
+
+
+def test_gaps_of_ten_million_repetitions(spark):
+    from fieldcheck.operators import experiments
+
+    n = 10_000_000
+    plan = spark.createDataFrame([("big", n), ("small", 5), ("none", 0), ("unseen", 2)], "condition string, planned long")
+    lost = F.col("repetition").isin(1, 4097, 5_000_000, n)
+    big = spark.range(1, n + 1, numPartitions=8).select(F.lit("big").alias("condition"), F.col("id").alias("repetition")).filter(~lost)
+    few = spark.createDataFrame([("small", 1), ("small", 2), ("small", 2), ("small", 3), ("small", 4), ("small", 6), ("small", 6), ("small", 0), ("none", 1), ("odd", 3), ("big", n + 1)], "condition string, repetition long")
+    got = experiments.matrix_gaps(big.unionByName(few), plan).collect()
+    assert sorted(tuple(r) for r in got) == sorted(
+        [("big", r, "missing") for r in (1, 4097, 5_000_000, n)] + [("big", n + 1, "extra"), ("small", 5, "missing"), ("small", 2, "repeated")]
+        + [("small", 6, "extra"), ("small", 0, "extra"), ("none", 1, "extra"), ("odd", 3, "extra"), ("unseen", 1, "missing"), ("unseen", 2, "missing")]
+    )
