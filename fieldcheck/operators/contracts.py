@@ -96,17 +96,28 @@ def rule_allowed(fields: DataFrame, rules: DataFrame, absent_is_wildcard: bool =
 
 
 def resolve_defaults(scope: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Missing scope entries filled from inventory defaults.
+    """Missing scope entries and advanced options filled from inventory defaults.
 
-    scope(contract, dataset, product_type, area array), defaults(dataset, product_default array,
-    area_default array). A default list of one product unwraps to its element.
+    scope(contract, dataset, product_type, area array, advanced map), defaults(dataset, product_default array,
+    area_default array, values map, options array, dataset_id). A default list of one product unwraps to
+    its element. Of the other defaults those that name an option of the dataset fill the advanced options; the
+    inventory's dataset_id is added unless an option of that name is there. What the contract says stays.
     """
     one = F.when(F.size("product_default") == 1, F.element_at("product_default", 1)).otherwise(
         F.concat_ws(",", "product_default")
     )
     whole = F.array(*[F.lit(float(v)) for v in (90, -180, -90, 180)])
     area = F.coalesce("area", "area_default")
-    return scope.join(defaults, "dataset", "left").select(
+    none = F.create_map().cast("map<string,string>")
+    filled = scope.join(defaults, "dataset", "left").withColumn("_given", F.coalesce("advanced", none))
+    open_ = F.map_filter(
+        F.coalesce("values", none),
+        lambda k, _: F.coalesce(F.array_contains("options", k), F.lit(False)) & ~F.map_contains_key("_given", k),
+    )
+    filled = filled.withColumn("_options", F.map_concat("_given", open_))
+    named = (F.length("dataset_id") > 0) & ~F.map_contains_key("_options", "dataset_id")
+    identity = F.when(named, F.create_map(F.lit("dataset_id"), "dataset_id")).otherwise(none)
+    return filled.select(
         "contract",
         "dataset",
         F.coalesce("product_type", one).alias("product_type"),
@@ -116,6 +127,7 @@ def resolve_defaults(scope: DataFrame, defaults: DataFrame) -> DataFrame:
         .when(F.col("area_default").isNotNull(), "default")
         .otherwise("none")
         .alias("area_source"),
+        F.map_concat("_options", identity).alias("advanced"),
     )
 
 

@@ -98,25 +98,37 @@ def rule_allowed(t: Tables) -> DataFrame:
 @query(
     "resolve_defaults",
     """WITH s AS (SELECT c_custkey AS contract, c_nationkey AS dataset, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS pt, CASE WHEN c_acctbal > 5000 THEN '50,-10,40,20' WHEN c_acctbal > 4000 THEN '90,-180,-90,180' END AS area FROM customer),
-       d AS (SELECT n_nationkey AS dataset, CASE WHEN n_regionkey = 0 THEN 'a,b' ELSE n_name END AS pd, CASE n_regionkey WHEN 1 THEN '90,-180,-90,180' WHEN 2 THEN '60,0,30,40' END AS ad FROM nation)
+       d AS (SELECT n_nationkey AS dataset, CASE WHEN n_regionkey = 0 THEN 'a,b' ELSE n_name END AS pd, CASE n_regionkey WHEN 1 THEN '90,-180,-90,180' WHEN 2 THEN '60,0,30,40' END AS ad,
+              CASE WHEN n_regionkey < 3 THEN 'n' || n_nationkey END AS grid, CASE WHEN n_regionkey <> 4 THEN n_name END AS name FROM nation)
        SELECT contract, s.dataset, coalesce(pt, pd) AS product_type, coalesce(area, ad, '') AS area, CASE WHEN coalesce(area, ad) IS NULL THEN 'none' WHEN coalesce(area, ad) = '90,-180,-90,180' THEN 'global' ELSE 'custom' END AS coverage,
-         CASE WHEN area IS NOT NULL THEN 'contract' WHEN ad IS NOT NULL THEN 'default' ELSE 'none' END AS area_source FROM s LEFT JOIN d ON s.dataset = d.dataset""",
+         CASE WHEN area IS NOT NULL THEN 'contract' WHEN ad IS NOT NULL THEN 'default' ELSE 'none' END AS area_source,
+         concat_ws(',', 'dataset_id=' || CASE WHEN contract % 5 = 0 THEN 'own' ELSE name END, 'format=' || CASE WHEN contract % 3 = 0 THEN 'grib' ELSE 'netcdf' END, 'grid=' || grid) AS advanced
+       FROM s LEFT JOIN d ON s.dataset = d.dataset""",
 )
 def resolve_defaults(t: Tables) -> DataFrame:
     box = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    pair = lambda k, v: F.create_map(F.lit(k), v)
+    key, region = F.col("c_custkey"), F.col("n_regionkey")
+    own = F.when(key % 5 == 0, pair("dataset_id", F.lit("own")))
     scope = t.read("customer").select(
-        F.col("c_custkey").alias("contract"),
+        key.alias("contract"),
         F.col("c_nationkey").alias("dataset"),
         F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("product_type"),
         F.when(F.col("c_acctbal") > 5000, box(50, -10, 40, 20)).when(F.col("c_acctbal") > 4000, box(90, -180, -90, 180)).alias("area"),
-    )
-    region = F.col("n_regionkey")
+        F.when(key % 3 == 0, F.map_concat(pair("format", F.lit("grib")), F.coalesce(own, F.create_map().cast("map<string,string>"))))
+        .otherwise(own).alias("advanced"),
+    )
+    values = F.map_concat(pair("format", F.lit("netcdf")), pair("grid", F.concat(F.lit("n"), "n_nationkey")), pair("area", F.lit("x")))
     defaults = t.read("nation").select(
         F.col("n_nationkey").alias("dataset"),
         F.when(region == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("n_name")).alias("product_default"),
         F.when(region == 1, box(90, -180, -90, 180)).when(region == 2, box(60, 0, 30, 40)).alias("area_default"),
+        values.alias("values"),
+        F.when(region < 3, F.array(F.lit("format"), F.lit("grid"))).otherwise(F.array(F.lit("format"))).alias("options"),
+        F.when(region != 4, F.col("n_name")).alias("dataset_id"),
     )
-    return contracts.resolve_defaults(scope, defaults)
+    entries = F.array_sort(F.transform(F.map_entries("advanced"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return contracts.resolve_defaults(scope, defaults).withColumn("advanced", F.concat_ws(",", entries))
 
 
 @query(
