@@ -16,7 +16,7 @@ def cache_only(receipts: DataFrame) -> DataFrame:
 
 
 def cache_evidence(partitions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hits, misses and acquisitions per run, with the count and a fingerprint of the keys of each kind.
+    """Hits, misses and acquisitions per run, with a fingerprint of the keys reused and of those acquired.
 
     The keys themselves stay rows of `partitions`; a run may touch any number of them.
     """
@@ -28,9 +28,11 @@ def cache_evidence(partitions: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if(F.col("state") == "miss").alias("misses"),
         F.count_if(F.col("state") == "acquired").alias("acquired"),
     )
-    digest = F.when(hit, F.sha2("partition_key", 256))
-    reused = combine_digests(partitions.filter(hit).withColumn("_d", digest), keys, "_d")
-    return counted.join(reused.select(*keys, F.col("fingerprint").alias("reused_keys")), list(keys), "left")
+    named = partitions.filter(F.col("state").isin("hit", "acquired")).withColumn("_d", F.sha2("partition_key", 256))
+    prints = combine_digests(named, [*keys, "state"], "_d")
+    pick = lambda state: F.max(F.when(F.col("state") == state, F.col("fingerprint")))
+    both = prints.groupBy(*keys).agg(pick("hit").alias("reused_keys"), pick("acquired").alias("acquired_keys"))
+    return counted.join(both, list(keys), "left")
 
 
 def identity_mismatches(receipts: DataFrame, expected: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:

@@ -226,8 +226,8 @@ def missing_identities(t: Tables) -> DataFrame:
     "cache_evidence",
     f"""WITH p AS (SELECT l_orderkey AS run_id, 'k' || l_partkey || '/' || l_linenumber AS partition_key, l_returnflag AS f FROM lineitem),
         c AS (SELECT run_id, count(*) FILTER (f = 'A') AS hits, count(*) FILTER (f = 'N') AS misses, count(*) FILTER (f = 'R') AS acquired FROM p GROUP BY 1),
-        k AS (SELECT run_id, sha256(concat_ws(':', count(*), {LANES})) AS reused_keys FROM (SELECT run_id, sha256(partition_key) AS h FROM p WHERE f = 'A') GROUP BY 1)
-        SELECT c.*, reused_keys FROM c LEFT JOIN k ON c.run_id = k.run_id""",
+        k AS (SELECT run_id, f, sha256(concat_ws(':', count(*), {LANES})) AS mark FROM (SELECT run_id, f, sha256(partition_key) AS h FROM p WHERE f IN ('A', 'R')) GROUP BY 1, 2)
+        SELECT c.*, r.mark AS reused_keys, a.mark AS acquired_keys FROM c LEFT JOIN k r ON c.run_id = r.run_id AND r.f = 'A' LEFT JOIN k a ON c.run_id = a.run_id AND a.f = 'R'""",
 )
 def cache_evidence(t: Tables) -> DataFrame:
     flag = F.col("l_returnflag")
