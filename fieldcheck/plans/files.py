@@ -36,6 +36,87 @@ def manifest_verify(t: Tables) -> DataFrame:
     return files.verify_manifest(seen, manifest)
 
 
+def text_files(t: Tables) -> DataFrame:
+    """The texts as (relative_path, size_bytes, sha256), as hash_files gives them; null is an empty file."""
+    body = F.coalesce("text", F.lit(""))
+    return t.texts().select(F.col("path").alias("relative_path"), F.octet_length(body).cast("long").alias("size_bytes"), F.sha2(body, 256).alias("sha256"))
+
+
+TEXT_FILES = "SELECT path AS relative_path, octet_length(encode(coalesce(text, ''))) AS size_bytes, sha256(coalesce(text, '')) AS sha256 FROM texts"
+
+
+def text_manifest(t: Tables) -> DataFrame:
+    """Every file once, those of labelled documents twice, as a source that lists them again would."""
+    seen = text_files(t)
+    return files.build_manifest(seen.unionByName(manifest_again(t, seen)))
+
+
+def manifest_again(t: Tables, seen: DataFrame) -> DataFrame:
+    labelled = t.read("labels").select(F.concat(F.lit("doc/"), "doc_id", F.lit(".txt")).alias("relative_path")).distinct()
+    return seen.join(labelled, "relative_path", "left_semi")
+
+
+TEXT_MANIFEST = f"""SELECT *, CASE WHEN count(*) OVER (PARTITION BY relative_path) > 1 THEN 'duplicate' WHEN size_bytes = 0 THEN 'empty' ELSE 'accepted' END AS status
+    FROM (SELECT * FROM ({TEXT_FILES}) UNION ALL SELECT * FROM ({TEXT_FILES}) WHERE relative_path IN (SELECT 'doc/' || doc_id || '.txt' FROM labels))"""
+
+
+@query("manifest_entries", f"SELECT relative_path AS entry_id, relative_path, size_bytes, sha256, status FROM ({TEXT_MANIFEST})")
+def manifest_entries(t: Tables) -> DataFrame:
+    return text_manifest(t)
+
+
+@query(
+    "manifest_total",
+    f"""SELECT count(*) AS entries, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status <> 'accepted') AS refused,
+        CAST(sum(size_bytes) FILTER (status = 'accepted') AS BIGINT) AS total_bytes FROM ({TEXT_MANIFEST})""",
+)
+def manifest_total(t: Tables) -> DataFrame:
+    return files.manifest_total(text_manifest(t))
+
+
+@query(
+    "manifest_check",
+    f"""WITH o AS MATERIALIZED (SELECT *, CAST(regexp_extract(relative_path, '[0-9]+') AS BIGINT) AS n FROM ({TEXT_FILES})),
+        m AS (SELECT CASE WHEN n % 50 = 3 THEN relative_path || '.old' ELSE relative_path END AS relative_path, CASE WHEN n % 50 = 1 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes,
+              CASE WHEN n % 50 = 2 THEN sha256(sha256) ELSE sha256 END AS sha256 FROM o WHERE n % 50 <> 0)
+        SELECT coalesce(o.relative_path, m.relative_path) AS relative_path, m.size_bytes AS declared_bytes, o.size_bytes AS observed_bytes, CASE WHEN o.relative_path IS NULL THEN 'missing'
+          WHEN m.relative_path IS NULL THEN 'undeclared' WHEN o.size_bytes <> m.size_bytes THEN 'size' WHEN o.sha256 <> m.sha256 THEN 'sha256' ELSE 'ok' END AS status
+        FROM o FULL JOIN m ON o.relative_path = m.relative_path
+        UNION ALL SELECT '.', d, s, CASE WHEN d = s THEN 'ok' ELSE 'total' END FROM (SELECT CAST((SELECT sum(size_bytes) FROM m) AS BIGINT) AS d, CAST((SELECT sum(size_bytes) FROM o) AS BIGINT) AS s)""",
+)
+def manifest_check(t: Tables) -> DataFrame:
+    """A manifest of the texts with changed sizes and hashes, lost and invented entries."""
+    seen = text_files(t)
+    n, path = F.regexp_extract("relative_path", "[0-9]+", 0).cast("long") % 50, F.col("relative_path")
+    manifest = seen.filter(n != 0).select(
+        F.when(n == 3, F.concat(path, F.lit(".old"))).otherwise(path).alias("relative_path"),
+        F.when(n == 1, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"),
+        F.when(n == 2, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"),
+    )
+    return files.verify_manifest(seen, manifest)
+
+
+@query(
+    "tree_hash_text",
+    f"""WITH f AS (SELECT *, left(relative_path, 5) AS tree FROM ({TEXT_FILES})), d AS (SELECT tree, size_bytes, sha256(length(relative_path) || ':' || relative_path || '64:' || sha256) AS h FROM f)
+        SELECT tree, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, sha256(concat_ws(':', count(*), {LANES})) AS tree_sha256 FROM d GROUP BY 1""",
+)
+def tree_hash_text(t: Tables) -> DataFrame:
+    return files.tree_hash(text_files(t).withColumn("tree", F.left("relative_path", F.lit(5))), ["tree"])
+
+
+@query(
+    "footprint_text",
+    f"""WITH f AS (SELECT relative_path || CASE WHEN size_bytes % 7 = 0 THEN '/zarr.json' WHEN size_bytes % 7 = 1 THEN '.crc' ELSE '' END AS path, size_bytes FROM ({TEXT_FILES}))
+        SELECT CASE WHEN path LIKE '%/zarr.json' OR path LIKE '%.crc' THEN 'metadata' ELSE 'data' END AS kind, count(*) AS objects, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM f GROUP BY 1""",
+)
+def footprint_text(t: Tables) -> DataFrame:
+    """Every file listed twice, by two stores that share it."""
+    end = F.when(F.col("size_bytes") % 7 == 0, "/zarr.json").when(F.col("size_bytes") % 7 == 1, ".crc").otherwise("")
+    listed = text_files(t).select(F.concat("relative_path", end).alias("path"), "size_bytes")
+    return files.storage_footprint(listed.unionByName(listed))
+
+
 @query(
     "manifest_semi",
     "SELECT path AS relative_path, text IS NOT NULL AS has_text FROM texts WHERE path IN (SELECT 'doc/' || doc_id || '.txt' FROM labels)",

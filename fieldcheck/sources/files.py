@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,40 +14,74 @@ from pyspark.sql import functions as F
 from fieldcheck.session import pinned
 
 CHUNK_BYTES = 8 << 20
+PAGE_ENTRIES = 10_000
+
+
+ENTRY = "path string, size_bytes long, is_folder boolean"
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Direct entries of each folder, with the folder's own scheme and host in front."""
+    """Direct entries of each folder, page by page, with the folder's own scheme and host in front.
+
+    Local names come without sizes, since a size costs a call a file; stores that list sizes give them.
+    """
     from pyarrow import fs
 
     for batch in batches:
-        rows = []
         for folder in batch["path"]:
             uri = _uri(folder)
             store, name = fs.FileSystem.from_uri(uri)
             head = uri.rstrip("/").removesuffix(name.rstrip("/"))
-            for e in store.get_file_info(fs.FileSelector(name)):
-                if isinstance(store, fs.LocalFileSystem) and os.path.islink(e.path):
-                    raise ValueError(f"{e.path} is a symbolic link")
-                rows.append((head + e.path, e.size or 0, e.type == fs.FileType.Directory))
-        yield pd.DataFrame(rows, columns=["path", "size_bytes", "is_folder"])
+            listed = _local_names(name) if isinstance(store, fs.LocalFileSystem) else _store_names(store, name)
+            while page := list(islice(listed, PAGE_ENTRIES)):
+                rows = [(head + path, size, is_folder) for path, size, is_folder in page]
+                yield pd.DataFrame(rows, columns=["path", "size_bytes", "is_folder"]).astype({"size_bytes": "Int64"})
+
+
+def _local_names(folder: str) -> Iterator[tuple[str, int | None, bool]]:
+    with os.scandir(folder) as entries:
+        for e in entries:
+            if e.is_symlink():
+                raise ValueError(f"{e.path} is a symbolic link")
+            yield e.path, None, e.is_dir()
+
+
+def _store_names(store, folder: str) -> Iterator[tuple[str, int | None, bool]]:
+    from pyarrow import fs
+
+    for e in store.get_file_info(fs.FileSelector(folder)):
+        yield e.path, e.size, e.type == fs.FileType.Directory
+
+
+def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fills in the sizes that the listing left open."""
+    from pyarrow import fs
+
+    for batch in batches:
+        open_ = batch["size_bytes"].isna()
+        found = []
+        for path in batch.loc[open_, "path"]:
+            store, name = fs.FileSystem.from_uri(_uri(path))
+            found.append(store.get_file_info(name).size)
+        yield batch.assign(size_bytes=batch["size_bytes"].mask(open_, pd.Series(found, batch.index[open_], "float64"))).astype({"size_bytes": "Int64"})
 
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """(path, relative_path, size_bytes) of every file below root, without reading contents.
 
-    Folders are listed in tasks, one round per level of depth. Unlike a file source this also sees
-    empty files and files whose name starts with an underscore or a dot. `pattern` is a glob on the
-    file name.
+    Folders are listed in tasks, one round per level of depth. One task reads a folder's names, in pages
+    of PAGE_ENTRIES; the files are then dealt by path over all tasks, which look up their sizes, so that
+    a flat folder keeps none of them alone for long. Unlike a file source this also sees empty files and
+    files whose name starts with an underscore or a dot. `pattern` is a glob on the file name.
     """
     spread = spark.sparkContext.defaultParallelism
     folders = spark.sql("SELECT :root AS path", args={"root": root.rstrip("/")})
     out = None
     while True:
         level = pinned(
-            folders.repartition(spread, "path").mapInPandas(_entries, "path string, size_bytes long, is_folder boolean")
+            folders.repartition(spread, "path").mapInPandas(_entries, ENTRY)
         )
-        files = level.filter(~F.col("is_folder")).select("path", "size_bytes")
+        files = level.filter(~F.col("is_folder")).repartition(spread, "path").mapInPandas(_sizes, ENTRY).select("path", "size_bytes")
         out = files if out is None else out.unionByName(files)
         folders = level.filter("is_folder").select("path")
         if folders.isEmpty():
@@ -105,22 +140,50 @@ def build_manifest(hashed: DataFrame) -> DataFrame:
     )
 
 
-def verify_manifest(observed: DataFrame, manifest: DataFrame) -> DataFrame:
-    """One status per path: ok, missing, undeclared, size or sha256."""
+def manifest_total(manifest: DataFrame) -> DataFrame:
+    """One row: entries, those accepted, those refused, and the bytes of the accepted ones.
+
+    An empty manifest has a row of zeros.
+    """
+    fit = F.col("status") == "accepted"
+    return manifest.agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.count_if(fit).alias("accepted"),
+        F.count_if(~fit).alias("refused"),
+        F.coalesce(F.sum(F.when(fit, F.col("size_bytes"))), F.lit(0)).alias("total_bytes"),
+    )
+
+
+#: Stands for the whole tree among the paths of a verified manifest.
+TREE = "."
+
+
+def verify_manifest(observed: DataFrame, manifest: DataFrame, total_bytes: int | None = None) -> DataFrame:
+    """One status per path: ok, missing, undeclared, size or sha256; and one for the path '.', the tree.
+
+    The tree is ok if the observed files hold `total_bytes`, or what the manifest's entries add up to
+    where no total is given; else its status is total. A path named twice on a side keeps its rows.
+    """
     o = observed.select("relative_path", F.col("size_bytes").alias("_os"), F.col("sha256").alias("_oh"))
     m = manifest.select("relative_path", F.col("size_bytes").alias("_ms"), F.col("sha256").alias("_mh"))
     status = (
         F.when(F.col("_os").isNull(), "missing")
         .when(F.col("_ms").isNull(), "undeclared")
         .when(F.col("_os") != F.col("_ms"), "size")
-        .when(F.col("_oh") != F.col("_mh"), "sha256")
+        .when(~F.col("_oh").eqNullSafe(F.col("_mh")), "sha256")
         .otherwise("ok")
     )
-    return o.join(m, "relative_path", "full_outer").select(
-        "relative_path",
-        F.col("_ms").alias("declared_bytes"),
-        F.col("_os").alias("observed_bytes"),
-        status.alias("status"),
+    each = o.join(m, "relative_path", "full_outer").select(
+        "relative_path", F.col("_ms").alias("declared_bytes"), F.col("_os").alias("observed_bytes"), status.alias("status")
+    )
+    sides = m.select(F.col("_ms").alias("_m"), F.lit(0).cast("long").alias("_o")).unionByName(
+        o.select(F.lit(0).cast("long").alias("_m"), F.col("_os").alias("_o"))
+    )
+    declared = F.coalesce(F.sum("_m"), F.lit(0)) if total_bytes is None else F.lit(total_bytes).cast("long")
+    whole = sides.agg(declared.alias("declared_bytes"), F.coalesce(F.sum("_o"), F.lit(0)).alias("observed_bytes"))
+    agrees = F.col("declared_bytes") == F.col("observed_bytes")
+    return each.unionByName(
+        whole.select(F.lit(TREE).alias("relative_path"), "declared_bytes", "observed_bytes", F.when(agrees, "ok").otherwise("total").alias("status"))
     )
 
 
@@ -134,9 +197,9 @@ def tree_hash(hashed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Each file contributes the digest of its path and content; digests are added lane by lane, so
     the total needs no sorted list and combines on the map side.
     """
-    from fieldcheck.operators.fingerprint import combine_digests
+    from fieldcheck.operators.fingerprint import combine_digests, framed
 
-    rows = hashed.withColumn("_d", F.sha2(F.concat_ws("\x1f", "relative_path", "sha256"), 256))
+    rows = hashed.withColumn("_d", F.sha2(framed([F.col("relative_path"), F.col("sha256")]), 256))
     return combine_digests(rows, list(keys), "_d", {"size_bytes": F.sum("size_bytes")}).withColumnsRenamed(
         {"rows": "files", "fingerprint": "tree_sha256"}
     )

@@ -43,7 +43,36 @@ def test_verify_names_each_defect(spark, tree):
     (tree / "c.txt").unlink()
     (tree / "new.txt").write_bytes(b"n")
     got = {r["relative_path"]: r["status"] for r in files.verify_manifest(hashed(spark, tree), manifest).collect()}
-    assert got == {"a.txt": "sha256", "sub/b.bin": "size", "c.txt": "missing", "new.txt": "undeclared"}
+    assert got == {"a.txt": "sha256", "sub/b.bin": "size", "c.txt": "missing", "new.txt": "undeclared", ".": "ok"}
+
+
+def test_totals_of_a_manifest(spark, tree):
+    seen = hashed(spark, tree)
+    manifest = files.build_manifest(seen)
+    assert files.manifest_total(manifest).first().asDict() == {"entries": 3, "accepted": 2, "refused": 1, "total_bytes": 105}
+    tree_row = lambda total: files.verify_manifest(seen, manifest, total).filter("relative_path = '.'").first()
+    assert tree_row(105)["status"] == "ok" and tree_row(104)["status"] == "total"
+    none = files.verify_manifest(seen.limit(0), manifest.limit(0)).collect()
+    assert [r.asDict() for r in none] == [{"relative_path": ".", "declared_bytes": 0, "observed_bytes": 0, "status": "ok"}]
+    assert files.manifest_total(manifest.limit(0)).first()["total_bytes"] == 0
+
+
+def test_a_flat_folder_is_measured_in_many_tasks(spark, tmp_path, monkeypatch):
+    for i in range(3000):
+        (tmp_path / f"f{i}").write_bytes(b"x" * (i % 5))
+    listed = files.list_files(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    row = listed.agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.count_distinct("task").alias("tasks")).first()
+    assert (row["n"], row["bytes"]) == (3000, 6000) and row["tasks"] == spark.sparkContext.defaultParallelism
+
+
+def test_names_come_in_pages(tmp_path, monkeypatch):
+    import pandas as pd
+
+    for i in range(25):
+        (tmp_path / f"f{i}").touch()
+    monkeypatch.setattr(files, "PAGE_ENTRIES", 10)
+    pages = list(files._entries(iter([pd.DataFrame({"path": [str(tmp_path)]})])))
+    assert [len(p) for p in pages] == [10, 10, 5]
 
 
 def test_tree_hash_follows_paths_and_content(spark, tree):
