@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from fieldcheck.operators import diff, provenance
 from fieldcheck.plans.observations import LANES
 from fieldcheck.plans.registry import Tables, query
-from fieldcheck.sinks.writers import canonical_columns, emit_receipts, publish, scratch, write_observations
+from fieldcheck.sinks.writers import NotFit, canonical_columns, emit_receipts, materialise, publish, scan_published, scratch, write_observations
 from fieldcheck.sources import files, readers
 
 
@@ -192,6 +192,37 @@ def publish_receipt(t: Tables) -> DataFrame:
     return publish(canonical_columns(t.obs()), scratch(t.spark, "published"))
 
 
+IDS = """SELECT DISTINCT 'station' AS kind, station_id AS id FROM {0} UNION SELECT DISTINCT 'field', field_id FROM {0}"""
+
+
+@query(
+    "publish_gated",
+    f"""WITH other AS (SELECT station_id, CASE WHEN field_id = (SELECT min(field_id) FROM obs) THEN 'other' ELSE field_id END AS field_id FROM obs)
+        SELECT 'exact' AS candidate, field_id AS item, count(*) AS row_count FROM obs GROUP BY 2
+        UNION ALL SELECT 'copies', 'duplicate_keys', count(*) FROM (SELECT 1 FROM obs_cand GROUP BY station_id, "timestamp", field_id HAVING count(*) > 1)
+        UNION ALL SELECT 'renamed', 'undeclared_ids', count(*) FROM ({IDS.format("other")} EXCEPT ({IDS.format("obs")}))
+        UNION ALL SELECT 'renamed', 'absent_ids', count(*) FROM ({IDS.format("obs")} EXCEPT ({IDS.format("other")}))""",
+)
+def publish_gated(t: Tables) -> DataFrame:
+    """Three candidates: one is published and read back, two are refused with what their gates counted."""
+    obs = t.obs()
+    expected = obs.select(F.lit("station").alias("kind"), F.col("station_id").alias("id")).union(obs.select(F.lit("field"), "field_id")).distinct()
+    first = F.lit(obs.agg(F.min("field_id")).first()[0])
+    renamed = lambda df: df.withColumn("field_id", F.when(F.col("field_id") == first, "other").otherwise(F.col("field_id")))
+    candidates = {"exact": (obs, [], expected), "copies": (t.obs_cand(), [], None), "renamed": (obs, [renamed], expected)}
+    out = None
+    for name, (source, steps, ids) in candidates.items():
+        path = scratch(t.spark, f"published-{name}")
+        try:
+            materialise(source, steps, path, ids)
+            rows = scan_published(t.spark, path).groupBy(F.col("field_id").alias("item")).agg(F.count(F.lit(1)).alias("row_count"))
+        except NotFit as refused:
+            rows = t.spark.createDataFrame(list(refused.faults.items()), "item string, row_count long")
+        rows = rows.select(F.lit(name).alias("candidate"), "item", "row_count")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("storage_footprint")
 def storage_footprint(t: Tables) -> DataFrame:
     listed = files.list_files(t.spark, t.dir)

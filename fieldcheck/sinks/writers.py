@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcheck.operators.station import KEY, key_quality
+from fieldcheck.operators.grid import shape_report, validate_coordinates
+from fieldcheck.operators.station import key_quality, profile
 from fieldcheck.session import shared_folder
 from fieldcheck.sources.files import hash_files, list_files, tree_hash
 
@@ -65,7 +68,8 @@ def emit_receipts(receipts: DataFrame, path: str) -> None:
 def publish(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """Writes a new table and returns its receipt: bytes, files and content hash.
 
-    Spark's job committer is the staging step; the target must not exist.
+    Spark's job committer is the staging step; the target must not exist. For readers outside that take a plain
+    folder; publish_version judges the rows before anyone sees them.
     """
     utc_timestamps(df.sparkSession)
     df.write.option("compression", compression).mode("errorifexists").parquet(path)
@@ -73,32 +77,130 @@ def publish(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
 
 
 Step = Callable[[DataFrame], DataFrame]
+Gate = Callable[[DataFrame], DataFrame]
 
+#: Start of a version's folder; a plain reader of the path takes it as a partition.
+VERSION = "version="
+#: The file that makes a folder a published table: its version's folder, rows, bytes and hash.
+MANIFEST = "_published.json"
 
-def materialise(source: DataFrame, steps: Sequence[Step], path: str) -> DataFrame:
-    """Applies the steps in order, checks the canonical keys and publishes the result.
 
-    The table is written once, beside its target; its gate reads the written rows. A table that passes
-    is renamed to the target and gets a receipt, one that fails is removed.
+class NotFit(ValueError):
+    """A table that a gate refused; faults holds the count of each gate that found some."""
+
+    def __init__(self, faults: dict[str, int]) -> None:
+        super().__init__("not fit to publish: " + ", ".join(f"{n} {k}" for k, n in sorted(faults.items())))
+        self.faults = faults
+
+
+def station_gates(expected: DataFrame | None = None) -> list[Gate]:
+    """Gates of a station table: its keys and, with `expected` (kind, id), its fields and stations.
+
+    A gate turns the staged table into one row of named fault counts.
     """
-    for step in steps:
-        source = source.transform(step)
-    spark = source.sparkSession
-    staged = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    store, at, target = _store(spark, staged), _path(spark, staged), _path(spark, path)
-    if store.exists(target):
-        raise FileExistsError(path)
+
+    def keys(df: DataFrame) -> DataFrame:
+        return key_quality(df).select(F.col("empty").cast("long").alias("empty"), "null_key_rows", "duplicate_keys")
+
+    def ids(df: DataFrame) -> DataFrame:
+        states = profile(df, expected)
+        return states.agg(*[F.count_if(F.col("state") == s).alias(f"{s}_ids") for s in ("undeclared", "absent")])
+
+    return [keys] if expected is None else [keys, ids]
+
+
+def grid_gates(coords: DataFrame, spec: DataFrame, expected: DataFrame) -> list[Gate]:
+    """Gates of a table of cells: its coordinates hold `spec`, its channels have the `expected` shapes."""
+
+    def axes(df: DataFrame) -> DataFrame:
+        checked = validate_coordinates(coords, spec)
+        bad = ~(F.col("monotonic_ok") & F.col("step_ok")) | (F.col("not_finite") > 0) | (F.col("duplicates") > 0)
+        return checked.agg(F.count_if(bad).alias("bad_axes"))
+
+    def shapes(df: DataFrame) -> DataFrame:
+        return shape_report(df, expected).agg(F.count_if(~(F.col("complete") & F.col("as_expected"))).alias("bad_channels"))
+
+    return [axes, shapes]
+
+
+def publish_version(df: DataFrame, path: str, gates: Sequence[Gate] = (), compression: str = "zstd") -> DataFrame:
+    """Writes a version of a table below `path`, lets the gates judge the written rows, commits it, returns its receipt.
+
+    The commit is one file, MANIFEST, created only where there is none: it needs no rename, which object
+    stores do not have, and of two writers at once the later one is told that the target exists. Readers go by
+    the manifest (scan_published), so they never see a version that is refused or unfinished. A refused
+    version is removed; one left by a lost driver does not keep others from publishing. Anything else at
+    `path` is an existing target. A store has to support creation without overwriting.
+    """
+    spark, root = df.sparkSession, path.rstrip("/")
+    utc_timestamps(spark)
+    store, top = _store(spark, path), _path(spark, path)
+    if store.exists(top) and any(not n.startswith(VERSION) for n in _names(store, top)):
+        raise FileExistsError(f"{path} already exists")
+    version = f"{VERSION}{uuid.uuid4().hex}"
+    staged = f"{root}/{version}"
     try:
-        write_observations(source, staged)
-        quality = key_quality(spark.read.parquet(staged)).first()
-        if quality["empty"] or quality["null_key_rows"] or quality["duplicate_keys"]:
-            raise ValueError(f"not fit to publish: {quality.asDict()}")
-        if not store.rename(at, target):
-            raise OSError(f"cannot rename {staged} to {path}")
+        df.write.option("compression", compression).mode("errorifexists").parquet(staged)
+        written = spark.read.schema(df.schema).parquet(staged)
+        faults = {k: n for gate in gates for k, n in gate(written).first().asDict().items() if n}
+        if faults:
+            raise NotFit(faults)
+        told = receipt(spark, staged)
+        row = told.first()
+        _create(store, _path(spark, f"{root}/{MANIFEST}"), json.dumps({"version": version, **row.asDict()}, sort_keys=True))
     except BaseException:
-        store.delete(at, True)
+        store.delete(_path(spark, staged), True)
+        if store.exists(top) and not _names(store, top):
+            store.delete(top, False)
         raise
-    return receipt(spark, path)
+    return spark.createDataFrame([row], told.schema)
+
+
+def _names(store, folder) -> list[str]:
+    return [s.getPath().getName() for s in store.listStatus(folder)]
+
+
+def _create(store, at, text: str) -> None:
+    """Creates a file with this text if there is none."""
+    try:
+        out = store.create(at, False)
+    except Py4JJavaError as e:
+        if store.exists(at):
+            raise FileExistsError(f"{at.toString()} already exists") from e
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def published_manifest(spark: SparkSession, path: str) -> dict:
+    """Version and receipt of a published table; a path without a whole manifest is refused."""
+    store, at = _store(spark, path), _path(spark, f"{path.rstrip('/')}/{MANIFEST}")
+    text = ""
+    if store.exists(at):
+        stream = store.open(at)
+        try:
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    if not text:
+        raise FileNotFoundError(f"{path} holds no published table")
+    return json.loads(text)
+
+
+def scan_published(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a published table."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{published_manifest(spark, path)['version']}")
+
+
+def materialise(
+    source: DataFrame, steps: Sequence[Step], path: str, expected: DataFrame | None = None
+) -> DataFrame:
+    """Applies the steps in order and publishes the canonical result behind the gates of a station table."""
+    for step in steps:
+        source = source.transform(step)
+    return publish_version(canonical_columns(source), path, station_gates(expected))
 
 
 def _path(spark: SparkSession, path: str):

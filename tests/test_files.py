@@ -151,6 +151,46 @@ def test_materialise_publishes_only_fit_tables(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["good"]
 
 
+def test_published_versions_are_seen_through_the_manifest(spark, tmp_path):
+    path = tmp_path / "table"
+    (path / "version=lost").mkdir(parents=True)  # what a lost driver left
+    told = writers.publish_version(station(spark), str(path), writers.station_gates()).first()
+    assert writers.published_manifest(spark, str(path))["sha256"] == told["sha256"]
+    assert writers.scan_published(spark, str(path)).columns == ["station_id", "timestamp", "field_id", "value"]
+    with pytest.raises(FileExistsError):
+        writers.publish_version(station(spark), str(path))
+    assert writers.scan_published(spark, str(path)).count() == 1
+    with pytest.raises(FileNotFoundError):
+        writers.scan_published(spark, str(tmp_path / "none"))
+
+
+def test_the_later_of_two_writers_is_told(spark, tmp_path):
+    path = tmp_path / "table"
+    late = lambda df: writers.publish_version(df, str(path)).selectExpr("0L AS nothing")  # another writer commits meanwhile
+    with pytest.raises(FileExistsError):
+        writers.publish_version(station(spark), str(path), [late])
+    kept = sorted(p.name for p in path.iterdir() if not p.name.startswith("."))
+    assert kept == ["_published.json", writers.published_manifest(spark, str(path))["version"]]
+
+
+def test_undeclared_ids_are_not_published(spark, tmp_path):
+    expected = spark.createDataFrame([("station", "s"), ("field", "u")], "kind string, id string")
+    with pytest.raises(writers.NotFit) as refused:
+        writers.materialise(station(spark), [], str(tmp_path / "bad"), expected)
+    assert refused.value.faults == {"undeclared_ids": 1, "absent_ids": 1} and not (tmp_path / "bad").exists()
+
+
+def test_grids_are_published_behind_their_gates(spark, tmp_path):
+    cells = spark.range(6).selectExpr("'c' AS field_id", "id DIV 2 AS sample", "0L AS y", "id % 2 AS x", "1D AS value")
+    coords = spark.createDataFrame([("x", 0, 1.0), ("x", 1, 2.0)], "axis string, idx long, value double")
+    spec = spark.createDataFrame([("x", "increasing", 1.0)], "axis string, monotonic string, expected_step double")
+    shape = lambda width: spark.createDataFrame([("c", 3, 1, width)], "field_id string, samples long, height long, width long")
+    writers.publish_version(cells, str(tmp_path / "good"), writers.grid_gates(coords, spec, shape(2)))
+    assert writers.scan_published(spark, str(tmp_path / "good")).count() == 6
+    with pytest.raises(writers.NotFit, match="bad_channels"):
+        writers.publish_version(cells, str(tmp_path / "bad"), writers.grid_gates(coords, spec, shape(3)))
+
+
 def test_damaged_files_and_links(spark, tmp_path):
     (tmp_path / "bad.parquet").write_bytes(b"PAR1 this is no footer PAR1")
     found = files.list_files(spark, str(tmp_path), "*.parquet")
