@@ -191,6 +191,23 @@ def property_mismatches(
     )
 
 
+def check_metadata(
+    observed: DataFrame, expected: DataFrame, keys: Sequence[str], columns: Sequence[str], policy: Sequence[str] = ()
+) -> DataFrame:
+    """property_mismatches with the class of each: output_policy for properties that the public policy demands, else metadata."""
+    demanded = F.col("property").isin(*policy) if policy else F.lit(False)
+    found = property_mismatches(observed, expected, keys, columns)
+    return found.withColumn("class", F.when(demanded, "output_policy").otherwise("metadata"))
+
+
+def policy_conflicts(declared: DataFrame, policy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Declarations (keys, property, expected) that contradict policy(property, expected); null declares nothing."""
+    wanted = policy.select("property", F.col("expected").alias("demanded"))
+    return declared.filter(F.col("expected").isNotNull()).join(wanted, "property").filter(
+        ~F.col("expected").eqNullSafe(F.col("demanded"))
+    ).select(*keys, "property", "expected", "demanded")
+
+
 def mismatch_names(mismatches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mismatching property names per row key; a key has at most one row per declared property."""
     return mismatches.groupBy(*keys).agg(

@@ -43,33 +43,47 @@ def normalise_coordinates(coords: DataFrame) -> DataFrame:
     )
 
 
-def validate_coordinates(coords: DataFrame, spec: DataFrame) -> DataFrame:
-    """Checks per axis: finite, unique, strictly monotonic as declared, constant step.
-
-    coords(axis, idx, value) with contiguous idx; spec(axis, monotonic, expected_step). Each value
-    meets its successor in an equi-join on the next index, which spreads a long axis evenly.
+def validate_coordinates(coords: DataFrame, spec: DataFrame, policy: Sequence[str] = ()) -> DataFrame:
+    """Checks per axis: finite, unique, strictly monotonic, constant step, declared type, fill value and metadata.
+
+    coords(axis, idx, value[, epoch_micros]) with contiguous idx: an axis has numbers or, decoded (decode_cf),
+    instants. spec(axis, monotonic, expected_step[, expected_step_seconds][, expected_dtype, expected_fill,
+    metadata][, dtype, fill, attrs]): metadata and attrs map names to texts; what is declared null is not checked, fill
+    values NaN are equal. Steps are exact, those in seconds are for instants alone and the others for numbers alone, else
+    step_ok is false. Attributes named by `policy` count as policy_ok, not as metadata_ok. Each value meets its
+    successor in an equi-join on the next index, which spreads a long axis evenly.
     """
-    here = coords.select("axis", "idx", "value")
-    after = coords.select("axis", (F.col("idx") - 1).alias("idx"), F.col("value").alias("_next"))
-    steps = here.join(after, ["axis", "idx"], "left").withColumn("_d", F.col("_next") - F.col("value"))
+    instant = F.col("epoch_micros") if "epoch_micros" in coords.columns else F.lit(None).cast("long")
+    here = coords.select("axis", "idx", "value", instant.alias("_t"))
+    after = here.select("axis", (F.col("idx") - 1).alias("idx"), F.col("value").alias("_next"), F.col("_t").alias("_tnext"))
+    # either difference is null on the other kind of axis
+    steps = here.join(after, ["axis", "idx"], "left").withColumns({"_d": F.col("_next") - F.col("value"), "_s": F.col("_tnext") - F.col("_t")})
     repeats = (
-        coords.groupBy("axis", "value")
+        here.groupBy("axis", "value", "_t")
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("axis")
         .agg(F.count(F.lit(1)).alias("_distinct"))
     )
     measured = steps.groupBy("axis").agg(
         F.count(F.lit(1)).alias("length"),
-        F.count_if(~finite(F.col("value"))).alias("not_finite"),
-        F.min("_d").alias("_dmin"),
-        F.max("_d").alias("_dmax"),
-        F.min(F.abs("_d")).alias("_amin"),
-        F.max(F.abs("_d")).alias("_amax"),
+        F.count_if(~finite(F.col("value")) & F.col("_t").isNull()).alias("not_finite"),
+        F.bool_or(F.col("_t").isNotNull()).alias("_instants"),
+        F.bool_and(F.coalesce(F.col("_d") > 0, F.col("_s") > 0)).alias("_rising"),
+        F.bool_and(F.coalesce(F.col("_d") < 0, F.col("_s") < 0)).alias("_falling"),
+        *[f(F.abs(c)).alias(f"{n}{c}") for c in ("_d", "_s") for f, n in ((F.min, "_min"), (F.max, "_max"))],
     )
-    rising = F.coalesce(F.col("_dmin") > 0, F.lit(True))
-    falling = F.coalesce(F.col("_dmax") < 0, F.lit(True))
-    monotonic = F.when(F.col("monotonic") == "increasing", rising).when(F.col("monotonic") == "decreasing", falling)
-    even = (F.col("_amin") == F.col("expected_step")) & (F.col("_amax") == F.col("expected_step"))
+    declared = lambda c, kind="string": F.col(c) if c in spec.columns else F.lit(None).cast(kind)
+    step, seconds = F.col("expected_step"), declared("expected_step_seconds", "double")
+    monotonic = F.when(F.col("monotonic") == "increasing", F.col("_rising")).when(F.col("monotonic") == "decreasing", F.col("_falling"))
+    even = (F.col("_min_d") == step) & (F.col("_max_d") == step)
+    timed = (F.col("_min_s") == seconds * F.lit(1e6)) & (F.col("_max_s") == seconds * F.lit(1e6))
+    wrong_kind = (F.col("_instants") & step.isNotNull()) | (~F.col("_instants") & seconds.isNotNull())
+    yes = lambda c: F.coalesce(c, F.lit(True))
+
+    fill, wanted_fill = F.lower(declared("fill")), F.lower(declared("expected_fill"))
+    attrs, metadata = declared("attrs", "map<string,string>"), declared("metadata", "map<string,string>")
+    off = F.filter(F.map_entries(metadata), lambda e: ~F.coalesce(F.element_at(attrs, e["key"]) == e["value"], F.lit(False)))
+    ours = lambda e: e["key"].isin(*policy) if policy else F.lit(False)
     return (
         measured.join(repeats, "axis")
         .join(spec, "axis", "left")
@@ -78,16 +92,43 @@ def validate_coordinates(coords: DataFrame, spec: DataFrame) -> DataFrame:
             "length",
             "not_finite",
             (F.col("length") - F.col("_distinct")).alias("duplicates"),
-            F.coalesce(monotonic, F.lit(True)).alias("monotonic_ok"),
-            F.coalesce(even, F.lit(True)).alias("step_ok"),
+            yes(monotonic).alias("monotonic_ok"),
+            (yes(even) & yes(timed) & ~wrong_kind).alias("step_ok"),
+            yes(declared("expected_dtype").isNull() | declared("dtype").eqNullSafe(declared("expected_dtype"))).alias("dtype_ok"),
+            yes(wanted_fill.isNull() | fill.eqNullSafe(wanted_fill)).alias("fill_ok"),
+            yes(F.size(F.filter(off, lambda e: ~ours(e))) <= 0).alias("metadata_ok"),
+            yes(F.size(F.filter(off, ours)) <= 0).alias("policy_ok"),
         )
     )
 
 
+#: A date, or a date and a time, as ISO 8601 writes them.
+ISO_TIME = r"^\s*\d{4}-\d{2}(-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?)?)?\s*$"
+
+
+def iso_micros(text: Column) -> Column:
+    """Microseconds since 1970 of an ISO text, UTC where it names no zone; null where it is none."""
+    plain = F.regexp_replace(F.trim(text), r"([T ]\d{2})$", "$1:00")
+    return F.when(text.rlike(ISO_TIME), F.unix_micros(F.try_to_timestamp(F.replace(plain, F.lit("T"), F.lit(" ")))))
+
+
 def decode_cf(times: DataFrame) -> DataFrame:
-    """times(value, units, calendar, ...) plus status and the decoded timestamp text."""
-    status = cf_status(F.col("units"), F.col("calendar"))
-    micros = F.when(F.col("status") == "decoded", cf_micros(F.col("value"), F.col("units")))
+    """times(value, units, calendar[, iso][, native], ...) plus status and epoch_micros.
+
+    One of three holds a time: `native`, a timestamp; `iso`, a text; or a number with its units. A text that is
+    no ISO time is text_unsupported. Units and calendar matter to numbers alone.
+    """
+    native = F.col("native") if "native" in times.columns else F.lit(None).cast("timestamp")
+    iso = F.col("iso") if "iso" in times.columns else F.lit(None).cast("string")
+    text = iso_micros(iso)
+    status = (
+        F.when(native.isNotNull(), "decoded")
+        .when(text.isNotNull(), "decoded")
+        .when(iso.isNotNull(), "text_unsupported")
+        .otherwise(cf_status(F.col("units"), F.col("calendar")))
+    )
+    numeric = F.when(native.isNull() & iso.isNull(), cf_micros(F.col("value"), F.col("units")))
+    micros = F.when(F.col("status") == "decoded", F.coalesce(F.unix_micros(native), text, numeric))
     return times.withColumn("status", status).withColumn("epoch_micros", micros)
 
 
@@ -95,7 +136,8 @@ def pick_cf_coordinate(arrays: DataFrame) -> DataFrame:
     """The CF time coordinate on the sample dimension of every store.
 
     arrays(store, path, dims, dtype, units, standard_name, declared). The declared coordinate
-    stays when it is a CF time itself or no other is; several others are an error.
+    stays when it is a CF time itself or no other is; several others are an error, and so is a declared
+    one that does not lie on the sample dimension.
     """
     units = F.coalesce("units", F.lit("")).rlike(r"(?i)^\s*(seconds|minutes|hours|days)\s+since\s+.+")
     named = (F.col("dtype") == "string") & (F.lower(F.coalesce("standard_name", F.lit(""))) == "time")
@@ -104,6 +146,7 @@ def pick_cf_coordinate(arrays: DataFrame) -> DataFrame:
     found = arrays.groupBy("store").agg(
         F.max(F.when(F.col("declared"), F.col("path"))).alias("_own"),
         F.count_if(F.col("declared") & cf).alias("_own_cf"),
+        F.count_if(F.col("declared") & ~F.col("dims").eqNullSafe("sample")).alias("_astray"),
         F.count_if(other).alias("candidates"),
         F.min(F.when(other, F.col("path"))).alias("_other"),
     )
@@ -112,7 +155,7 @@ def pick_cf_coordinate(arrays: DataFrame) -> DataFrame:
     return found.select(
         "store",
         "candidates",
-        F.when(many, "ambiguous").when(auxiliary, F.col("_other")).otherwise(F.col("_own")).alias("coordinate"),
+        F.when(F.col("_astray") > 0, "not_on_sample").when(many, "ambiguous").when(auxiliary, F.col("_other")).otherwise(F.col("_own")).alias("coordinate"),
     )
 
 

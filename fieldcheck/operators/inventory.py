@@ -18,38 +18,88 @@ CONSTRAINT_KEYS = (
 CATALOGUE_HOSTS = ("ads.atmosphere.copernicus.eu", "cds.climate.copernicus.eu")
 CATALOGUE_PATH = "/datasets/([^/?#]+)"
 
-PROCESS_SCHEMA = (
-    "inputs map<string, struct<title: string, schema: struct<"
-    "default: string, enum: array<string>, items: struct<type: string, enum: array<string>>, type: string,"
-    "minItems: string, maxItems: string, minimum: string, maximum: string, minLength: string, maxLength: string,"
-    "format: string, pattern: string>>>"
-)
+def _part(node: Column, path: str) -> Column:
+    """What lies at a path of a variant, as a variant; null only where the key is absent."""
+    return F.try_variant_get(node, path, "variant")
+
+
+def _typed(node: Column, path: str, kind: str) -> Column:
+    """The value at a path if it has this type by itself; a number is no text and "yes" is no flag."""
+    return F.when(F.schema_of_variant(_part(node, path)) == kind.upper(), F.try_variant_get(node, path, kind))
+
+
+def _bare(node: Column) -> Column:
+    """Text of a variant: texts without quotes, everything else as JSON."""
+    return F.when(F.schema_of_variant(node) == "STRING", F.try_variant_get(node, "$", "string")).otherwise(F.to_json(node))
+
+
+def _listed(node: Column, path: str) -> Column:
+    return F.transform(F.try_variant_get(node, path, "array<variant>"), _bare)
+
+
+def _members(node: Column, path: str, leave_out: str) -> Column:
+    """A JSON object without one key, its keys in order; null where there is no object or nothing is left."""
+    found = F.try_variant_get(node, path, "map<string,variant>")
+    names = F.sort_array(F.filter(F.map_keys(found), lambda k: k != leave_out))
+    pairs = F.transform(names, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(F.element_at(found, k))))
+    return F.when(F.size(names) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+
+
+def _last(fields: Column, take) -> Column:
+    """What the last of the form's fields says that says anything."""
+    return F.try_element_at(F.array_compact(F.transform(fields, take)), F.lit(-1))
+
+
+def _first(fields: Column, take) -> Column:
+    return F.get(F.array_compact(F.transform(fields, take)), 0)
 
 
 def extract_options(docs: DataFrame) -> DataFrame:
-    """One row per input of docs(dataset, process): options, default and constraint keys.
+    """One row per input of docs(dataset, process[, form]), JSON texts, with all that is declared of it.
 
-    Options are the item enum, else the enum. An enum of items alone is no constraint.
+    Options are the item enum, else the enum, else the values of the form; the default is the schema's, else the
+    form's. constraints names the rules, constraint_values holds them as JSON in the order of their names;
+    item_constraints is the rule of the items without its enum, which alone is no constraint. A form's field belongs to the
+    input of its name (or id); of several the last one tells label, help, widget and required. Null
+    documents, and those without an object of inputs, have no rows.
     """
-    parsed = docs.select("dataset", F.from_json("process", PROCESS_SCHEMA).alias("_p"))
-    inputs = parsed.select("dataset", F.explode("_p.inputs").alias("input", "_s"))
-    schema = F.col("_s.schema")
-    options = F.coalesce(schema["items"]["enum"], schema["enum"], F.array().cast("array<string>"))
-    plain = [k for k in CONSTRAINT_KEYS if k != "items"]
-    kept = F.array_compact(
-        F.array(
-            *[F.when(schema[k].isNotNull(), F.lit(k)) for k in plain],
-            F.when(schema["items"]["type"].isNotNull(), F.lit("items")),
-        )
+    form = F.col("form") if "form" in docs.columns else F.lit(None).cast("string")
+    parsed = docs.select("dataset", F.try_parse_json("process").alias("_p"), F.try_parse_json(form).alias("_f"))
+    inputs = parsed.select(
+        "dataset",
+        F.try_variant_get("_f", "$", "array<variant>").alias("_f"),
+        F.explode(F.try_variant_get("_p", "$.inputs", "map<string,variant>")).alias("input", "_s"),
     )
-    return inputs.select(
+    named = lambda f: F.coalesce(F.nullif(_typed(f, "$.name", "string"), F.lit("")), _typed(f, "$.id", "string"))
+    own = inputs.withColumn("_f", F.filter("_f", lambda f: named(f) == F.col("input")))
+    s, fields = F.col("_s"), F.col("_f")
+    options = F.coalesce(_listed(s, "$.schema.items.enum"), _listed(s, "$.schema.enum"))
+    offered = _first(fields, lambda f: F.when(F.size(_listed(f, "$.details.values")) > 0, _listed(f, "$.details.values")))
+    none = F.array().cast("array<string>")
+    options = F.when(F.size(options) > 0, options).otherwise(F.coalesce(offered, none))
+
+    items = _members(s, "$.schema.items", "enum")
+    plain = F.try_variant_get(s, "$.schema.items", "map<string,variant>").isNull()
+    rule = {k: F.to_json(_part(s, f"$.schema.{k}")) for k in sorted(CONSTRAINT_KEYS)}
+    rule["items"] = F.when(plain, rule["items"]).otherwise(items)
+    kept = lambda piece: F.array_join(F.array_compact(F.array(*[F.when(v.isNotNull(), piece(k, v)) for k, v in rule.items()])), ",")
+    said = lambda path: _last(fields, lambda f: F.nullif(_typed(f, path, "string"), F.lit("")))
+    default = F.coalesce(_part(s, "$.schema.default"), _first(fields, lambda f: _part(f, "$.details.default")))
+    return own.select(
         "dataset",
         "input",
-        F.coalesce("_s.title", F.lit("")).alias("title"),
+        F.coalesce(_typed(s, "$.title", "string"), F.lit("")).alias("title"),
+        _typed(s, "$.description", "string").alias("description"),
+        said("$.label").alias("label"),
+        said("$.help").alias("help"),
+        said("$.type").alias("widget"),
+        _last(fields, lambda f: _typed(f, "$.required", "boolean")).alias("required"),
         options.alias("options"),
         F.size(options).alias("option_count"),
-        schema["default"].alias("default_value"),
-        F.array_join(F.sort_array(kept), ",").alias("constraints"),
+        _bare(default).alias("default_value"),
+        kept(lambda k, v: F.lit(k)).alias("constraints"),
+        F.concat(F.lit("{"), kept(lambda k, v: F.concat(F.lit(f'"{k}":'), v)), F.lit("}")).alias("constraint_values"),
+        items.alias("item_constraints"),
     )
 
 

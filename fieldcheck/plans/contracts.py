@@ -225,16 +225,22 @@ def content_hash(t: Tables) -> DataFrame:
     return c.select("c_custkey", contracts.content_hash(c, ["c_name", "c_custkey", "c_mktsegment", "c_nationkey"]).alias("content_hash"))
 
 
-PROCESS = """'{"inputs":{"variable":{"title":"' || p_name || '","schema":{"type":"array","items":{"type":"string","enum":["' || p_brand || '","' || p_type || '"]}}},"size":{"schema":{"type":"integer","default":' || p_size || ',"maximum":50}},"mode":{"schema":{"enum":["fast","' || p_size || '","safe"],"items":{"enum":["only"]}}}}}'"""
+PROCESS = """'{"inputs":{"variable":{"title":"' || p_name || '","description":"All of ' || p_brand || '","schema":{"type":"array","minItems":1,"items":{"type":"string","maxLength":' || p_size || ',"enum":["' || p_brand || '","' || p_type || '"]}}},"size":{"description":7,"schema":{"type":"integer","default":' || p_size || ',"maximum":50}},"mode":{"schema":{"enum":["fast","' || p_size || '","safe"],"items":{"enum":["only"]}}},"free":{"title":"Free","schema":{"pattern":"^[a-z]+$","default":null}}}}'"""
+FORM = """'[{"name":"variable","label":"Pick ' || p_size || '","help":"","type":"StringListWidget","required":true,"details":{"values":["other"]}},{"id":"size","required":false,"details":{"default":99}},{"name":"mode","required":"yes","details":{"default":"fast"}},{"name":"free","required":true,"details":{"values":["a",' || p_size || ']}},{"name":"free","help":"Any","required":' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END || '},{"name":"ghost","required":true},5]'"""
 
 
 @query(
     "extract_options",
-    """SELECT p_partkey AS dataset, u.input, u.title, u.options, CAST(len(string_split(u.options, '|')) * CAST(u.options <> '' AS INTEGER) AS INTEGER) AS option_count, u.default_value, u.constraints
-       FROM part, LATERAL (VALUES ('variable', p_name, p_brand || '|' || p_type, NULL, 'items,type'), ('size', '', '', CAST(p_size AS VARCHAR), 'maximum,type'), ('mode', '', 'only', NULL, '')) u(input, title, options, default_value, constraints)""",
+    """SELECT p_partkey AS dataset, u.*, CAST(len(string_split(u.options, '|')) AS INTEGER) * CAST(u.options <> '' AS INTEGER) AS option_count FROM part, LATERAL (VALUES
+         ('variable', p_name, 'All of ' || p_brand, 'Pick ' || p_size, NULL, 'StringListWidget', true, p_brand || '|' || p_type, NULL, 'items,minItems,type',
+          '{"items":{"maxLength":' || p_size || ',"type":"string"},"minItems":1,"type":"array"}', '{"maxLength":' || p_size || ',"type":"string"}'),
+         ('size', '', NULL, NULL, NULL, NULL, false, '', CAST(p_size AS VARCHAR), 'maximum,type', '{"maximum":50,"type":"integer"}', NULL),
+         ('mode', '', NULL, NULL, NULL, NULL, NULL, 'only', 'fast', '', '{}', NULL),
+         ('free', 'Free', NULL, NULL, 'Any', NULL, p_size > 25, 'a|' || p_size, 'null', 'pattern', '{"pattern":"^[a-z]+$"}', NULL)
+       ) u(input, title, description, label, help, widget, required, options, default_value, constraints, constraint_values, item_constraints)""",
 )
 def extract_options(t: Tables) -> DataFrame:
-    docs = t.read("part").select(F.col("p_partkey").alias("dataset"), F.expr(PROCESS).alias("process"))
+    docs = t.read("part").select(F.col("p_partkey").alias("dataset"), F.expr(PROCESS).alias("process"), F.expr(FORM).alias("form"))
     return inventory.extract_options(docs).withColumn("options", F.array_join("options", "|"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldcheck.functions.columns import missing
 from fieldcheck.operators import diff, grid, selection
+from fieldcheck.operators.ordered import ranked
 from fieldcheck.plans.registry import Tables, query
 from fieldcheck.sinks.writers import scratch, write_grid_blocks
 
@@ -56,31 +57,69 @@ def coord_normalise(t: Tables) -> DataFrame:
     return grid.normalise_coordinates(t.axes())
 
 
+#: The days with orders of each month, as the axis of that month; some times cannot be read.
+DAYS = """
+days AS (SELECT axis, row_number() OVER (PARTITION BY axis ORDER BY day) - 1 AS idx, CASE WHEN day = DATE '1995-05-05' THEN NULL ELSE epoch_us(CAST(day AS TIMESTAMP)) END AS us
+         FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS axis, CAST(o_orderdate AS DATE) AS day FROM orders))"""
+
+
+def month_days(t: Tables) -> DataFrame:
+    day = t.read("orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    placed = ranked(day.withColumn("axis", F.date_format("day", "yyyy-MM")), ["axis"], ["day"], "rank")
+    kind = F.dayofmonth("day") % 3
+    times = placed.select(
+        "axis",
+        (F.col("rank") - 1).alias("idx"),
+        F.when(kind == 0, F.datediff("day", F.lit("1990-01-01").cast("date"))).cast("double").alias("value"),
+        F.lit("days since 1990-01-01").alias("units"),
+        F.lit("standard").alias("calendar"),
+        F.when(kind == 1, F.date_format("day", "yyyy-MM-dd")).alias("iso"),
+        F.when((kind == 2) & (F.col("day") != "1995-05-05"), F.col("day").cast("timestamp")).alias("native"),
+    )
+    return grid.decode_cf(times).select("axis", "idx", F.lit(None).cast("double").alias("value"), "epoch_micros")
+
+
 @query(
     "coord_validate",
-    f"""WITH {NORMAL}, d AS (SELECT *, lead(value) OVER (PARTITION BY axis ORDER BY idx) - value AS step FROM normal)
+    f"""WITH {NORMAL}, {DAYS}, d AS (SELECT *, lead(value) OVER (PARTITION BY axis ORDER BY idx) - value AS step FROM normal)
         SELECT axis, count(*) AS length, count(*) FILTER (value IS NULL) AS not_finite, count(*) - count(DISTINCT value) AS duplicates,
                coalesce(min(step) > 0, true) AS monotonic_ok,
-               coalesce(min(abs(step)) = s.e AND max(abs(step)) = s.e, true) AS step_ok
-        FROM d, LATERAL (SELECT CASE WHEN axis = 'time' THEN 86400.0 ELSE 0.25 END AS e) s GROUP BY axis, s.e""",
+               coalesce(min(abs(step)) = s.e AND max(abs(step)) = s.e, true) AS step_ok,
+               axis NOT LIKE 'lon_M%' AS dtype_ok, axis <> 'lon_BUILDING' AS fill_ok, axis NOT LIKE 'lon_H%' AS metadata_ok, axis <> 'time' AS policy_ok
+        FROM d, LATERAL (SELECT CASE WHEN axis = 'time' THEN 86400.0 ELSE 0.25 END AS e) s GROUP BY axis, s.e
+        UNION ALL SELECT axis, count(*), count(*) FILTER (us IS NULL), count(*) - count(DISTINCT coalesce(us, -1)), coalesce(bool_and(nxt > us), true), coalesce(min(abs(nxt - us)) = 86400000000 AND max(abs(nxt - us)) = 86400000000, true), true, true, true, true
+        FROM (SELECT *, lead(us) OVER (PARTITION BY axis ORDER BY idx) AS nxt FROM days) GROUP BY axis""",
 )
 def coord_validate(t: Tables) -> DataFrame:
-    axes = t.axes()
+    """Numeric axes with their declarations, and one time axis a month whose times are of three kinds."""
+    axes = grid.normalise_coordinates(t.axes()).select("axis", "idx", "value", F.lit(None).cast("long").alias("epoch_micros"))
+    axis = F.col("axis")
+    time = axis == "time"
     spec = axes.select("axis").distinct().select(
         "axis",
         F.lit("increasing").alias("monotonic"),
-        F.when(F.col("axis") == "time", 86400.0).otherwise(0.25).alias("expected_step"),
+        F.when(time, 86400.0).otherwise(0.25).alias("expected_step"),
+        F.lit(None).cast("double").alias("expected_step_seconds"),
+        F.when(axis.startswith("lon_M"), "float32").otherwise("float64").alias("expected_dtype"),
+        F.when(axis == "lon_BUILDING", "0").otherwise("nan").alias("expected_fill"),
+        F.create_map(F.lit("units"), F.when(axis.startswith("lon_H"), "metre").otherwise("degree"), F.lit("calendar"), F.lit("standard")).alias("metadata"),
+        F.lit("float64").alias("dtype"),
+        F.lit("NaN").alias("fill"),
+        F.create_map(F.lit("units"), F.lit("degree"), F.lit("calendar"), F.when(time, "noleap").otherwise("standard")).alias("attrs"),
     )
-    return grid.validate_coordinates(grid.normalise_coordinates(axes), spec)
+    days = month_days(t)
+    steps = days.select("axis").distinct().select("axis", F.lit("increasing").alias("monotonic"), F.lit(86400.0).alias("expected_step_seconds"))
+    return grid.validate_coordinates(axes.unionByName(days), spec.unionByName(steps, allowMissingColumns=True), ["calendar"])
 
 
 @query(
     "cf_decode",
     """WITH x AS (SELECT o_orderkey, o_totalprice / 7 AS value, o_orderpriority AS p FROM orders),
        u AS (SELECT *, CASE p WHEN '1-URGENT' THEN 'seconds since 1970-01-01 00:00:00' WHEN '2-HIGH' THEN 'hours since 1900-01-01'
-               WHEN '3-MEDIUM' THEN 'Minutes since 2000-01-01T06:00:00' WHEN '4-NOT SPECIFIED' THEN 'days since 1990-03-01' ELSE 'furlongs' END AS units FROM x)
-       SELECT o_orderkey, units, CASE WHEN o_orderkey % 1000 >= 990 THEN 'calendar_unsupported' WHEN units = 'furlongs' THEN 'units_unsupported' ELSE 'decoded' END AS status,
-         CASE WHEN o_orderkey % 1000 < 990 THEN CASE p
+               WHEN '3-MEDIUM' THEN 'Minutes since 2000-01-01T06:00:00' WHEN '4-NOT SPECIFIED' THEN 'days since 1990-03-01' ELSE 'furlongs' END AS units,
+               o_orderkey % 10 = 4 AS is_text, o_orderkey % 10 = 7 AS is_native, o_orderkey % 100 = 34 AS is_bad, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS ts FROM x JOIN orders USING (o_orderkey))
+       SELECT o_orderkey, units, CASE WHEN is_native THEN 'decoded' WHEN is_bad THEN 'text_unsupported' WHEN is_text THEN 'decoded' WHEN o_orderkey % 1000 >= 990 THEN 'calendar_unsupported' WHEN units = 'furlongs' THEN 'units_unsupported' ELSE 'decoded' END AS status,
+         CASE WHEN is_bad THEN NULL WHEN is_text OR is_native THEN epoch_us(ts) WHEN o_orderkey % 1000 < 990 THEN CASE p
            WHEN '1-URGENT' THEN CAST(round_even(value * 1e6, 0) AS BIGINT)
            WHEN '2-HIGH' THEN epoch_us(TIMESTAMP '1900-01-01') + CAST(round_even(value * 3600.0::DOUBLE * 1e6, 0) AS BIGINT)
            WHEN '3-MEDIUM' THEN epoch_us(TIMESTAMP '2000-01-01 06:00:00') + CAST(round_even(value * 60.0::DOUBLE * 1e6, 0) AS BIGINT)
@@ -97,11 +136,16 @@ def cf_decode(t: Tables) -> DataFrame:
         .otherwise("furlongs")
     )
     odd = F.col("o_orderkey") % 1000 >= 990
+    key = F.col("o_orderkey")
+    instant = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + key % 86400 * 1000000)
+    iso = F.when(key % 100 == 34, "in spring").otherwise(F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss"))
     times = t.read("orders").select(
         "o_orderkey",
         (F.col("o_totalprice") / 7).alias("value"),
         units.alias("units"),
         F.when(odd, "360_day").otherwise("standard").alias("calendar"),
+        F.when(key % 10 == 4, iso).alias("iso"),
+        F.when(key % 10 == 7, instant).alias("native"),
     )
     return grid.decode_cf(times).select("o_orderkey", "units", "status", "epoch_micros")
 
@@ -109,17 +153,17 @@ def cf_decode(t: Tables) -> DataFrame:
 @query(
     "cf_pick",
     """WITH a AS (SELECT o_custkey AS store, 'coords/' || o_orderkey AS path, o_orderpriority = '1-URGENT' AS declared,
-                    o_orderstatus = 'F' AND o_totalprice > 250000 AS cf FROM orders),
-       g AS (SELECT store, max(path) FILTER (declared) AS own, count(*) FILTER (declared AND cf) AS own_cf,
-               count(*) FILTER (NOT declared AND cf) AS candidates, min(path) FILTER (NOT declared AND cf) AS other FROM a GROUP BY 1)
-       SELECT store, candidates, CASE WHEN own_cf = 0 AND candidates > 1 THEN 'ambiguous' WHEN own_cf = 0 AND candidates = 1 THEN other ELSE own END AS coordinate FROM g""",
+                    o_orderstatus = 'F' AND o_totalprice > 250000 AS cf, o_orderkey % 9 = 0 AS off FROM orders),
+       g AS (SELECT store, bool_or(declared AND off) AS astray, max(path) FILTER (declared) AS own, count(*) FILTER (declared AND cf) AS own_cf,
+               count(*) FILTER (NOT declared AND cf AND NOT off) AS candidates, min(path) FILTER (NOT declared AND cf AND NOT off) AS other FROM a GROUP BY 1)
+       SELECT store, candidates, CASE WHEN astray THEN 'not_on_sample' WHEN own_cf = 0 AND candidates > 1 THEN 'ambiguous' WHEN own_cf = 0 AND candidates = 1 THEN other ELSE own END AS coordinate FROM g""",
 )
 def cf_pick(t: Tables) -> DataFrame:
     cf = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 250000)
     arrays = t.read("orders").select(
         F.col("o_custkey").alias("store"),
         F.concat(F.lit("coords/"), "o_orderkey").alias("path"),
-        F.lit("sample").alias("dims"),
+        F.when(F.col("o_orderkey") % 9 == 0, "y,x").otherwise("sample").alias("dims"),
         F.lit("double").alias("dtype"),
         F.when(cf, "hours since 1900-01-01").otherwise("m").alias("units"),
         F.lit(None).cast("string").alias("standard_name"),
@@ -312,7 +356,7 @@ def coord_diff(t: Tables) -> DataFrame:
                     CASE WHEN p_size > 45 THEN 'nan' ELSE CAST(p_size AS VARCHAR) END AS fill_value FROM part),
        x AS (SELECT e.channel, u.property, u.expected, u.observed FROM e JOIN o ON e.channel = o.channel,
                LATERAL (VALUES ('dtype', e.dtype, o.dtype), ('units', e.units, o.units), ('fill_value', e.fill_value, o.fill_value)) u(property, expected, observed))
-       SELECT channel, property, expected, observed FROM x WHERE expected IS NOT NULL AND expected <> observed AND NOT (lower(expected) = 'nan' AND lower(observed) = 'nan')""",
+       SELECT channel, property, expected, observed, CASE WHEN property IN ('units', 'fill_value') THEN 'output_policy' ELSE 'metadata' END AS class FROM x WHERE expected IS NOT NULL AND expected <> observed AND NOT (lower(expected) = 'nan' AND lower(observed) = 'nan')""",
 )
 def metadata_mismatch(t: Tables) -> DataFrame:
     p = t.read("part")
@@ -329,7 +373,7 @@ def metadata_mismatch(t: Tables) -> DataFrame:
         F.when(size < 45, F.col("p_type")).alias("units"),
         F.when(size > 45, "nan").otherwise(size.cast("string")).alias("fill_value"),
     )
-    return diff.property_mismatches(observed, expected, ["channel"], ["dtype", "units", "fill_value"])
+    return diff.check_metadata(observed, expected, ["channel"], ["dtype", "units", "fill_value"], ["units", "fill_value"])
 
 
 @query(

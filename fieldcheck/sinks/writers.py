@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcheck.operators.grid import shape_report, validate_coordinates
@@ -114,7 +115,8 @@ def grid_gates(coords: DataFrame, spec: DataFrame, expected: DataFrame) -> list[
 
     def axes(df: DataFrame) -> DataFrame:
         checked = validate_coordinates(coords, spec)
-        bad = ~(F.col("monotonic_ok") & F.col("step_ok")) | (F.col("not_finite") > 0) | (F.col("duplicates") > 0)
+        fine = reduce(Column.__and__, [F.col(c) for c in checked.columns if c.endswith("_ok")])
+        bad = ~fine | (F.col("not_finite") > 0) | (F.col("duplicates") > 0)
         return checked.agg(F.count_if(bad).alias("bad_axes"))
 
     def shapes(df: DataFrame) -> DataFrame:

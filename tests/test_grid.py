@@ -159,6 +159,43 @@ def test_coordinate_checks(spark):
     assert got == {"good": (0, 0, True, True), "twice": (0, 1, False, False), "down": (0, 0, True, True), "gap": (1, 0, True, True), "one": (0, 0, True, True)}
 
 
+def test_time_steps_are_exact_seconds(spark):
+    hour = 3_600_000_000
+    rows = [("even", i, None, i * hour) for i in range(4)] + [("odd", i, None, i * hour + (i == 2)) for i in range(4)]
+    rows += [("number", i, float(i), None) for i in range(3)] + [("unread", 0, None, 0), ("unread", 1, None, None)]
+    coords = spark.createDataFrame(rows, "axis string, idx long, value double, epoch_micros long")
+    spec = spark.createDataFrame(
+        [(a, "increasing", None, 3600.0) for a in ("even", "odd", "number", "unread")], "axis string, monotonic string, expected_step double, expected_step_seconds double"
+    )
+    got = {r["axis"]: (r["not_finite"], r["monotonic_ok"], r["step_ok"]) for r in grid.validate_coordinates(coords, spec).collect()}
+    assert got == {"even": (0, True, True), "odd": (0, True, False), "number": (0, True, False), "unread": (1, True, True)}
+
+
+def test_declarations_of_an_axis(spark):
+    coords = spark.createDataFrame([("x", 0, 1.0)], "axis string, idx long, value double")
+    kind = "axis string, monotonic string, expected_step double, expected_dtype string, dtype string, expected_fill string, fill string, metadata map<string,string>, attrs map<string,string>"
+    flags = ["dtype_ok", "fill_ok", "metadata_ok", "policy_ok"]
+    cases = [
+        (("f8", "f8", "nan", "NaN", {"units": "m"}, {"units": "m", "more": "x"}), [True] * 4),
+        (("f8", None, "0", None, {"units": "m"}, None), [False, False, False, True]),
+        (("f4", "f8", None, "0", {"policy": "a"}, {"policy": "b"}), [False, True, True, False]),
+        ((None, "f8", None, None, None, {"units": "m"}), [True] * 4),
+    ]
+    for given, want in cases:
+        spec = spark.createDataFrame([("x", None, None, *given)], kind)
+        row = grid.validate_coordinates(coords, spec, ["policy"]).first()
+        assert [row[f] for f in flags] == want, given
+
+
+@pytest.mark.parametrize("text, want", [("2000-01-01", 0), ("2000-01-01T06", 6), ("2000-01-01 06:30", 6.5), ("2000-01", 0), ("2000", None), ("yesterday", None), ("", None)])
+def test_iso_times(spark, text, want):
+    df = spark.createDataFrame([(None, None, None, text)], "value double, units string, calendar string, iso string")
+    row = grid.decode_cf(df).first()
+    start = dt.datetime(2000, 1, 1).replace(tzinfo=dt.timezone.utc).timestamp()
+    assert row["epoch_micros"] == (None if want is None else (start + want * 3600) * 1e6)
+    assert row["status"] == ("text_unsupported" if want is None else "decoded")
+
+
 def test_level_matches(spark):
     coords = spark.createDataFrame([("c", 0, 500.0), ("c", 1, 850.0), ("c", 2, 850.0001), ("d", 0, -0.5)], "channel string, idx int, value double")
     wanted = spark.createDataFrame(

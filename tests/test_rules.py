@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldcheck.functions import columns, text
-from fieldcheck.operators import bundles, checks, contracts, experiments, inventory, provenance
+from fieldcheck.operators import bundles, checks, contracts, diff, experiments, inventory, provenance
 
 
 def rows(spark, data, schema):
@@ -195,3 +195,23 @@ def test_rules_against_all_pairs(spark):
         want = {f: any(fits(sel, r) for d2, r in rules if d2 == d) for d, f, sel in fields}
         got = {r["field"]: r["allowed"] for r in contracts.rule_allowed(*frames, wildcard).collect()}
         assert got == want and len(set(want.values())) == 2
+
+
+def test_options_of_odd_documents(spark):
+    rows = [
+        ("null", None), ("list", "[]"), ("broken", "{"), ("bare", '{"inputs":{"x":5}}'),
+        ("flat", '{"inputs":{"x":{"title":3,"schema":{"items":"any","enum":[1,true,"a"],"default":[1]}}}}'),
+    ]
+    docs = spark.createDataFrame(rows, "dataset string, process string")
+    got = {r["dataset"]: r for r in inventory.extract_options(docs).collect()}
+    assert set(got) == {"bare", "flat"} and got["bare"]["option_count"] == 0 and got["bare"]["constraint_values"] == "{}"
+    flat = got["flat"]
+    assert (flat["title"], flat["options"], flat["default_value"], flat["required"]) == ("", ["1", "true", "a"], "[1]", None)
+    assert flat["constraint_values"] == '{"items":"any"}' and flat["item_constraints"] is None
+
+
+def test_declarations_against_the_policy(spark):
+    declared = spark.createDataFrame([("a", "units", "m"), ("b", "units", "K"), ("c", "units", None), ("d", "title", "x")], "channel string, property string, expected string")
+    policy = spark.createDataFrame([("units", "K")], "property string, expected string")
+    got = [tuple(r) for r in diff.policy_conflicts(declared, policy, ["channel"]).collect()]
+    assert got == [("a", "units", "m", "K")]
