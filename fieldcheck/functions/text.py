@@ -51,6 +51,17 @@ def any_of(text: Column, needles: Sequence[str]) -> Column:
     return out
 
 
+# Suffixes of files that are scanned as text, and names of store metadata, scanned as well.
+TEXT_SUFFIXES = (".cfg", ".env", ".ini", ".json", ".log", ".md", ".py", ".sh", ".toml", ".txt", ".yaml", ".yml")
+STORE_METADATA = (".zattrs", ".zgroup", ".zmetadata", "zarr.json")
+
+
+def is_scanned(path: Column) -> Column:
+    """Whether a path is one of a text, by its suffix, or of a store's metadata, by its name."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.lower(F.regexp_extract(name, r"[^.](\.[A-Za-z0-9]+)$", 1)).isin(*TEXT_SUFFIXES) | name.isin(*STORE_METADATA)
+
+
 def secret_reason(text: Column, known: Sequence[str]) -> Column:
     """First rule that holds; the text itself is never returned."""
     return (

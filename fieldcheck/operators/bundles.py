@@ -13,20 +13,46 @@ from fieldcheck.operators.ordered import ranked, running
 LOG_STOP_WORDS = ("error", "failed", "failure", "file", "line", "pipeline", "raise", "runtime", "valueerror")
 
 
-def budget_pack(files: DataFrame, keys: Sequence[str], order: Sequence[str], file_max: int, total_max: int) -> DataFrame:
-    """Characters of each file that fit its own limit and what the earlier files left of the budget."""
-    sized = files.select(*keys, *order, F.col("n_chars").cast("long").alias("n_chars")).withColumn(
+def budget_pack(
+    files: DataFrame, keys: Sequence[str], order: Sequence[str], file_max: int, total_max: int, text: str | None = None
+) -> DataFrame:
+    """Characters of each file that fit its own limit and what the earlier files left of the budget.
+
+    With `text`, a column of the texts, the file that the budget runs out in ends before its last line end that fits;
+    what is left of its line is not given to later files. Only that file's text, one a bundle, is looked at.
+    """
+    sized = files.select(*keys, *order, F.coalesce(F.col("n_chars").cast("long"), F.lit(0)).alias("n_chars")).withColumn(
         "_cut", F.least(F.col("n_chars"), F.lit(file_max).cast("long"))
     )
     upto = running(sized, keys, order, {"_upto": F.col("_cut")})
     left = F.lit(total_max).cast("long") - (F.col("_upto") - F.col("_cut"))
     included = F.greatest(F.least(F.col("_cut"), left), F.lit(0).cast("long"))
-    return upto.select(
-        *keys,
-        *order,
-        "n_chars",
-        included.alias("included"),
-        F.when(included == 0, "excluded").when(included < F.col("n_chars"), "truncated").otherwise("whole").alias("state"),
+    fitted = upto.select(*keys, *order, "n_chars", "_cut", included.alias("included"))
+    if text is not None:
+        place = [*keys, *order]
+        torn = fitted.filter((F.col("included") > 0) & (F.col("included") < F.col("_cut"))).select(*place, F.col("included").alias("_room"))
+        fits = F.substring(F.col(text), F.lit(1), F.col("_room").cast("int"))
+        whole_lines = F.length(fits) - F.length(F.substring_index(fits, "\n", -1)) - 1
+        ends = files.select(*place, text).join(torn, place).select(*place, F.greatest(whole_lines, F.lit(0)).cast("long").alias("_end"))
+        fitted = fitted.join(ends, place, "left").withColumn("included", F.coalesce("_end", "included"))
+    state = (
+        F.when(F.col("included") == 0, "excluded")
+        .when(F.col("included") < F.col("n_chars"), "truncated")
+        .otherwise("whole")
+    )
+    return fitted.select(*keys, *order, "n_chars", "included", state.alias("state"))
+
+
+def pack_coverage(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per bundle: files found, included, truncated and excluded, and characters there are and are included."""
+    state = F.col("state")
+    return packed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_if(state != "excluded").alias("included_files"),
+        F.count_if(state == "truncated").alias("truncated_files"),
+        F.count_if(state == "excluded").alias("excluded_files"),
+        F.sum("n_chars").alias("total_chars"),
+        F.sum("included").alias("included_chars"),
     )
 
 

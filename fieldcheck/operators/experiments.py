@@ -16,16 +16,34 @@ MAX_REPAIRS = 3
 
 
 def trial_violations(trials: DataFrame) -> DataFrame:
-    """Broken lifecycle rules per trial; text is empty for a consistent one."""
+    """Broken lifecycle rules per trial; text is empty for a consistent one.
+
+    The evidence manifest_path, prompt_sources_verified, initial_report and final_report, and the declared flags
+    declared_at_1 and declared_after_repairs, are judged if trials have these columns; a null flag declares nothing.
+    """
     made, first, final = F.col("generation_succeeded"), F.col("initial_passed"), F.col("final_passed")
     repairs, status = F.col("repairs_attempted"), F.col("repair_status")
     has_id = F.col("pipeline_id").isNotNull()
     has_error = F.coalesce(F.col("generation_error"), F.lit("")) != ""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    has_manifest = told("manifest_path") if "manifest_path" in trials.columns else F.lit(False)
+    derived = _derived_flags()
+    evidence = {
+        "manifest_path": ("success_without_manifest", lambda c: made & ~told(c)),
+        "prompt_sources_verified": ("success_with_unverified_prompts", lambda c: made & ~F.coalesce(F.col(c), F.lit(False))),
+        "initial_report": ("first_success_without_report", lambda c: first & ~told(c)),
+        "final_report": ("final_success_without_report", lambda c: final & ~told(c)),
+        "declared_at_1": ("declared_at_1_differs", lambda c: F.coalesce(F.col(c) != derived["success_at_1"], F.lit(False))),
+        "declared_after_repairs": (
+            "declared_after_repairs_differs",
+            lambda c: F.coalesce(F.col(c) != derived["success_after_repairs"], F.lit(False)),
+        ),
+    }
     return trials.select(
         "trial_id",
         flags(
             ("error_on_success", made & has_error),
-            ("failure_exposes_success", ~made & (has_id | first | final | (repairs > 0))),
+            ("failure_exposes_success", ~made & (has_id | has_manifest | first | final | (repairs > 0))),
             ("failure_without_error", ~made & ~has_error),
             ("final_without_cause", final & ~(first | F.coalesce(status == "repaired", F.lit(False)))),
             ("first_success_not_final", first & ((repairs != 0) | ~final)),
@@ -36,19 +54,24 @@ def trial_violations(trials: DataFrame) -> DataFrame:
             ("repair_without_status", (repairs > 0) & status.isNull()),
             ("status_without_repair", (repairs == 0) & F.coalesce(status != "already_succeeded", F.lit(False))),
             ("success_without_id", made & ~has_id),
+            *[(name, broken(c)) for c, (name, broken) in evidence.items() if c in trials.columns],
         ).alias("violations"),
     )
 
 
-def success_flags(trials: DataFrame) -> DataFrame:
-    """Adds success_at_1 and success_after_repairs, both derived from the lifecycle."""
+def _derived_flags() -> dict[str, Column]:
     made, first = F.col("generation_succeeded"), F.col("initial_passed")
     repaired = (
         F.col("repairs_attempted").between(1, MAX_REPAIRS)
         & F.coalesce(F.col("repair_status") == "repaired", F.lit(False))
         & F.col("final_passed")
     )
-    return trials.withColumns({"success_at_1": made & first, "success_after_repairs": made & (first | repaired)})
+    return {"success_at_1": made & first, "success_after_repairs": made & (first | repaired)}
+
+
+def success_flags(trials: DataFrame) -> DataFrame:
+    """Adds success_at_1 and success_after_repairs, both derived from the lifecycle."""
+    return trials.withColumns(_derived_flags())
 
 
 def success_at_k(trials: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def sql_flags(*named: tuple[str, str]) -> str:
     "SELECT trial_id, "
     + sql_flags(
         ("error_on_success", "generation_succeeded AND generation_error IS NOT NULL"),
-        ("failure_exposes_success", "NOT generation_succeeded AND (pipeline_id IS NOT NULL OR initial_passed OR final_passed OR repairs_attempted > 0)"),
+        ("failure_exposes_success", "NOT generation_succeeded AND (pipeline_id IS NOT NULL OR manifest_path IS NOT NULL OR initial_passed OR final_passed OR repairs_attempted > 0)"),
         ("failure_without_error", "NOT generation_succeeded AND generation_error IS NULL"),
         ("final_without_cause", "final_passed AND NOT (initial_passed OR coalesce(repair_status, '') = 'repaired')"),
         ("first_success_not_final", "initial_passed AND (repairs_attempted <> 0 OR NOT final_passed)"),
@@ -32,11 +32,31 @@ def sql_flags(*named: tuple[str, str]) -> str:
         ("repair_without_status", "repairs_attempted > 0 AND repair_status IS NULL"),
         ("status_without_repair", "repairs_attempted = 0 AND coalesce(repair_status, 'already_succeeded') <> 'already_succeeded'"),
         ("success_without_id", "generation_succeeded AND pipeline_id IS NULL"),
+        ("success_without_manifest", "generation_succeeded AND manifest_path IS NULL"),
+        ("success_with_unverified_prompts", "generation_succeeded AND NOT coalesce(verified, false)"),
+        ("first_success_without_report", "initial_passed AND initial_report = ''"),
+        ("final_success_without_report", "final_passed AND final_report IS NULL"),
+        ("declared_at_1_differs", "declared_at_1 <> (generation_succeeded AND initial_passed)"),
+        ("declared_after_repairs_differs", """declared_after_repairs <> (generation_succeeded AND (initial_passed OR (repairs_attempted BETWEEN 1 AND 3 AND coalesce(repair_status, '') = 'repaired' AND final_passed)))"""),
     )
-    + " AS violations FROM trials",
+    + """ AS violations FROM (SELECT *, CASE WHEN trial_id % 11 <> 0 AND (generation_succeeded OR trial_id % 19 = 0) THEN 'm' || trial_id END AS manifest_path,
+           CASE WHEN trial_id % 13 = 0 THEN NULL ELSE trial_id % 23 <> 0 END AS verified, CASE WHEN trial_id % 7 = 0 THEN '' ELSE 'r' END AS initial_report, CASE WHEN trial_id % 5 <> 0 THEN 'r' END AS final_report,
+           CASE WHEN trial_id % 3 <> 0 THEN trial_id % 2 = 0 END AS declared_at_1, CASE WHEN trial_id % 4 <> 0 THEN final_passed END AS declared_after_repairs FROM trials)""",
 )
 def trial_violations(t: Tables) -> DataFrame:
-    return experiments.trial_violations(t.trials())
+    """The trials with evidence that is lost, and flags that are wrong, for some of them."""
+    n = F.col("trial_id")
+    trials = t.trials().withColumns(
+        {
+            "manifest_path": F.when((n % 11 != 0) & (F.col("generation_succeeded") | (n % 19 == 0)), F.concat(F.lit("m"), n)),
+            "prompt_sources_verified": F.when(n % 13 != 0, n % 23 != 0),
+            "initial_report": F.when(n % 7 == 0, "").otherwise("r"),
+            "final_report": F.when(n % 5 != 0, "r"),
+            "declared_at_1": F.when(n % 3 != 0, n % 2 == 0),
+            "declared_after_repairs": F.when(n % 4 != 0, F.col("final_passed")),
+        }
+    )
+    return experiments.trial_violations(trials)
 
 
 @query(

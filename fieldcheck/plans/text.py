@@ -10,21 +10,22 @@ from fieldcheck.operators import bundles, provenance, similarity
 from fieldcheck.plans.registry import Tables, query
 
 KNOWN = ("hunter2value", "second-secret")
-# Suffixes of files that are scanned as text.
-TEXT_SUFFIXES = (".cfg", ".env", ".ini", ".json", ".log", ".md", ".py", ".sh", ".toml", ".txt", ".yaml", ".yml")
-SUFFIX = r"(\.[A-Za-z0-9]+)$"
 SECRET_SQL = text.ASSIGNED_SECRET.replace("'", "''")
 
 
 @query(
     "secret_scan",
-    f"""SELECT path, CASE WHEN NOT regexp_matches(path, '\\.(txt|json|toml)$') THEN 'not_scanned' WHEN contains(text, 'hunter2value') OR contains(text, 'second-secret') THEN 'known_environment_secret'
-          WHEN contains(text, '-----BEGIN PRIVATE KEY-----') THEN 'private_key_material' WHEN regexp_matches(text, '{SECRET_SQL}') THEN 'assigned_secret_like_value' ELSE 'clean' END AS reason FROM texts""",
+    f"""WITH s AS (SELECT path, text FROM texts UNION ALL SELECT replace(path, '.bin', CASE WHEN length(path) % 2 = 0 THEN '/.zattrs' ELSE '/.zindex' END), text FROM texts WHERE suffix(path, '.bin'))
+        SELECT path, CASE WHEN NOT regexp_matches(path, '(\\.(txt|json|toml)|/\\.zattrs)$') THEN 'not_scanned' WHEN contains(text, 'hunter2value') OR contains(text, 'second-secret') THEN 'known_environment_secret'
+          WHEN contains(text, '-----BEGIN PRIVATE KEY-----') THEN 'private_key_material' WHEN regexp_matches(text, '{SECRET_SQL}') THEN 'assigned_secret_like_value' ELSE 'clean' END AS reason FROM s""",
 )
 def secret_scan(t: Tables) -> DataFrame:
-    scanned = F.lower(F.regexp_extract("path", SUFFIX, 1)).isin(*TEXT_SUFFIXES)
-    reason = F.when(~scanned, "not_scanned").otherwise(text.secret_reason(F.col("text"), KNOWN))
-    return t.texts().select("path", reason.alias("reason"))
+    """All texts; those of binary names also as store metadata, some under a name that is not scanned."""
+    texts, path = t.texts(), F.col("path")
+    name = F.when(F.length(path) % 2 == 0, "/.zattrs").otherwise("/.zindex")
+    stores = texts.filter(path.endswith(".bin")).withColumn("path", F.replace(path, F.lit(".bin"), name))
+    reason = F.when(~text.is_scanned(path), "not_scanned").otherwise(text.secret_reason(F.col("text"), KNOWN))
+    return texts.unionByName(stores).select("path", reason.alias("reason"))
 
 
 WORDS = ("hunter2value", "hunter2", "password", "the", " que ")
@@ -138,6 +139,22 @@ def budget_pack(t: Tables) -> DataFrame:
     return bundles.budget_pack(t.read("documents"), ["source"], ["doc_id"], FILE_MAX, TOTAL_MAX)
 
 
+@query(
+    "budget_lines",
+    f"""WITH s AS (SELECT source, doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
+        c AS (SELECT *, least(n_chars, {FILE_MAX}) AS cut, sum(least(n_chars, {FILE_MAX})) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM s),
+        r AS (SELECT *, CAST(greatest(least(cut, {TOTAL_MAX} - (upto - cut)), 0) AS BIGINT) AS room FROM c),
+        i AS (SELECT source, n_chars, CASE WHEN room > 0 AND room < cut THEN greatest(room - length(string_split(left(text, room), chr(10))[-1]) - 1, 0) ELSE room END AS included FROM r)
+        SELECT source, count(*) AS files, count(*) FILTER (included > 0) AS included_files, count(*) FILTER (included > 0 AND included < n_chars) AS truncated_files, count(*) FILTER (included = 0) AS excluded_files,
+          CAST(sum(n_chars) AS BIGINT) AS total_chars, CAST(sum(included) AS BIGINT) AS included_chars FROM i GROUP BY 1""",
+)
+def budget_lines(t: Tables) -> DataFrame:
+    """What of each source's texts a reviewer gets, ending at a line's end."""
+    docs = t.read("documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sized = docs.withColumn("n_chars", F.length("text"))
+    return bundles.pack_coverage(bundles.budget_pack(sized, ["source"], ["doc_id"], FILE_MAX, TOTAL_MAX, "text"), ["source"])
+
+
 LOG_STOPS = ", ".join(f"'{w}'" for w in bundles.LOG_STOP_WORDS)
 
 

@@ -215,3 +215,20 @@ def test_declarations_against_the_policy(spark):
     policy = spark.createDataFrame([("units", "K")], "property string, expected string")
     got = [tuple(r) for r in diff.policy_conflicts(declared, policy, ["channel"]).collect()]
     assert got == [("a", "units", "m", "K")]
+
+
+def test_bundles_end_at_a_line(spark):
+    body = {1: "aaaa\nbbbb", 2: "cc\ndd\nee", 3: "x"}
+    files = spark.createDataFrame([("r", i, t, len(t)) for i, t in body.items()], "bundle string, pos int, text string, n_chars int")
+    packed = bundles.budget_pack(files, ["bundle"], ["pos"], 100, 16, "text")
+    assert {r["pos"]: (r["included"], r["state"]) for r in packed.collect()} == {1: (9, "whole"), 2: (5, "truncated"), 3: (0, "excluded")}
+    one = bundles.pack_coverage(packed, ["bundle"]).first().asDict()
+    assert one == {"bundle": "r", "files": 3, "included_files": 2, "truncated_files": 1, "excluded_files": 1, "total_chars": 18, "included_chars": 14}
+    no_line = bundles.budget_pack(files.filter("pos <> 2"), ["bundle"], ["pos"], 100, 3, "text")
+    assert {r["pos"]: r["included"] for r in no_line.collect()} == {1: 0, 3: 0}
+
+
+def test_store_metadata_is_scanned(spark):
+    paths = spark.createDataFrame([("s/.zattrs",), ("s/zarr.json",), ("s/.zindex",), ("a.TXT",), ("x/.env",), ("c.bin",), ("a.txt/c",)], "path string")
+    got = {r[0]: r[1] for r in paths.select("path", text.is_scanned(F.col("path"))).collect()}
+    assert [p for p, scanned in got.items() if scanned] == ["s/.zattrs", "s/zarr.json", "a.TXT"]
