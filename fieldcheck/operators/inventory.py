@@ -117,42 +117,44 @@ def _children(path: Column, node: Column) -> Column:
     return F.coalesce(named, listed)
 
 
-def json_nodes(docs: DataFrame, doc: str, json: str) -> DataFrame:
-    """Every node of JSON documents, the root included, as (doc, path, key, node variant).
+def json_nodes(docs: DataFrame, doc: str, json: str, wanted: Column | None = None) -> DataFrame:
+    """Nodes of JSON documents, the root included, as (doc, path, key, node variant): all, or those that are `wanted`.
 
     Round by round the open containers, and only they, give their children, until none is open: there
-    is no limit of depth, and a round costs what that level holds. Each level is checkpointed once.
+    is no limit of depth, and a round costs what that level holds. Each level is checkpointed once, without
+    the scalars that nobody wants.
     """
     level = docs.select(
         F.col(doc).alias("doc"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.parse_json(json).alias("node")
     )
+    wanted = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    kind = F.schema_of_variant("node")
+    is_open = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     out = None
     while True:
-        level = pinned(level)
-        out = level if out is None else out.unionByName(level)
-        kind = F.schema_of_variant("node")
-        open_ = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        below = open_.select("doc", F.explode(_children(F.col("path"), F.col("node"))).alias("n"))
+        level = pinned(level.filter(is_open | wanted))
+        found = level.filter(wanted)
+        out = found if out is None else out.unionByName(found)
+        open_ = level.filter(is_open)
         if open_.isEmpty():
             return out
+        below = open_.select("doc", F.explode(_children(F.col("path"), F.col("node"))).alias("n"))
         level = below.select("doc", "n.path", "n.key", "n.node")
 
 
 def sensitive_keys(docs: DataFrame, doc: str, json: str) -> DataFrame:
     """Paths whose key looks like a credential and whose value is not empty, at any depth."""
-    text = F.to_json("node")
-    empty = text.isin("null", '""', "[]", "{}")
-    named = json_nodes(docs, doc, json).filter(F.coalesce(F.col("key"), F.lit("")).rlike(SENSITIVE_KEY) & ~empty)
+    empty = F.to_json("node").isin("null", '""', "[]", "{}")
+    named = json_nodes(docs, doc, json, F.coalesce(F.col("key"), F.lit("")).rlike(SENSITIVE_KEY) & ~empty)
     return named.select("doc", "path", F.lit("sensitive").alias("finding"))
 
 
 def layout_tables(docs: DataFrame, doc: str, json: str) -> DataFrame:
     """Nodes of type 'table' with a text id at any depth, and how many rows of content they carry."""
-    nodes = json_nodes(docs, doc, json)
     kind = F.try_variant_get("node", "$.type", "string")
     ident = F.try_variant_get("node", "$.id", "string")
     rows = F.coalesce(F.size(F.try_variant_get("node", "$.content", "array<variant>")), F.lit(0))
-    return nodes.filter((kind == "table") & ident.isNotNull()).select(
+    return json_nodes(docs, doc, json, (kind == "table") & ident.isNotNull()).select(
         "doc", ident.alias("table_id"), "path", F.when(rows < 0, 0).otherwise(rows).alias("content_rows")
     )
 
