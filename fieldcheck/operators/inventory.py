@@ -37,9 +37,8 @@ def _listed(node: Column, path: str) -> Column:
     return F.transform(F.try_variant_get(node, path, "array<variant>"), _bare)
 
 
-def _members(node: Column, path: str, leave_out: str) -> Column:
-    """A JSON object without one key, its keys in order; null where there is no object or nothing is left."""
-    found = F.try_variant_get(node, path, "map<string,variant>")
+def _members(found: Column, leave_out: str) -> Column:
+    """JSON text of a map of variants without one key, its keys in order; null where there is no map or nothing is left."""
     names = F.sort_array(F.filter(F.map_keys(found), lambda k: k != leave_out))
     pairs = F.transform(names, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(F.element_at(found, k))))
     return F.when(F.size(names) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
@@ -71,15 +70,20 @@ def extract_options(docs: DataFrame) -> DataFrame:
         F.explode(F.try_variant_get("_p", "$.inputs", "map<string,variant>")).alias("input", "_s"),
     )
     named = lambda f: F.coalesce(F.nullif(_typed(f, "$.name", "string"), F.lit("")), _typed(f, "$.id", "string"))
-    own = inputs.withColumn("_f", F.filter("_f", lambda f: named(f) == F.col("input")))
-    s, fields = F.col("_s"), F.col("_f")
-    options = F.coalesce(_listed(s, "$.schema.items.enum"), _listed(s, "$.schema.enum"))
-    offered = _first(fields, lambda f: F.when(F.size(_listed(f, "$.details.values")) > 0, _listed(f, "$.details.values")))
+    own = inputs.withColumns(
+        {
+            "_f": F.filter("_f", lambda f: named(f) == F.col("input")),
+            "_items": F.try_variant_get("_s", "$.schema.items", "map<string,variant>"),
+            "_enum": F.coalesce(_listed(F.col("_s"), "$.schema.items.enum"), _listed(F.col("_s"), "$.schema.enum")),
+        }
+    )
+    s, fields, options = F.col("_s"), F.col("_f"), F.col("_enum")
+    offered = F.get(F.filter(F.transform(fields, lambda f: _listed(f, "$.details.values")), lambda v: F.size(v) > 0), 0)
     none = F.array().cast("array<string>")
     options = F.when(F.size(options) > 0, options).otherwise(F.coalesce(offered, none))
 
-    items = _members(s, "$.schema.items", "enum")
-    plain = F.try_variant_get(s, "$.schema.items", "map<string,variant>").isNull()
+    items = _members(F.col("_items"), "enum")
+    plain = F.col("_items").isNull()
     rule = {k: F.to_json(_part(s, f"$.schema.{k}")) for k in sorted(CONSTRAINT_KEYS)}
     rule["items"] = F.when(plain, rule["items"]).otherwise(items)
     kept = lambda piece: F.array_join(F.array_compact(F.array(*[F.when(v.isNotNull(), piece(k, v)) for k, v in rule.items()])), ",")
