@@ -57,6 +57,7 @@ def select_level(coordinates: DataFrame, selectors: DataFrame, keys: Sequence[st
     matches within tolerance, and a text that is no number matches nothing; on a coordinate of texts one
     matches its own text. Where there is no coordinate the channel has no such axis, and nothing to select.
 
+    A selector is known by its id and its keys, so ids may come again on other coordinates.
     The tolerance join is an equi-join on cells; a selector reaches two of them at most, whatever its size.
     """
     if "text" not in coordinates.columns:
@@ -74,7 +75,7 @@ def select_level(coordinates: DataFrame, selectors: DataFrame, keys: Sequence[st
     hits = (
         wanted.join(known, [*keys, "_place"])
         .filter(near)
-        .groupBy("selector_id")
+        .groupBy("selector_id", *keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min("idx").alias("_idx"))
     )
     axes = coordinates.groupBy(*keys).agg(F.max(F.col("idx").isNull()).alias("_scalar"))
@@ -87,7 +88,7 @@ def select_level(coordinates: DataFrame, selectors: DataFrame, keys: Sequence[st
         .otherwise("ambiguous")
     )
     return (
-        selectors.join(hits, "selector_id", "left")
+        selectors.join(hits, ["selector_id", *keys], "left")
         .join(axes, list(keys), "left")
         .select(
             "selector_id",

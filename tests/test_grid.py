@@ -205,6 +205,13 @@ def test_level_matches(spark):
     assert got == {1: (1, "selected"), 2: (2, "ambiguous"), 3: (0, "no_match"), 4: (0, "no_axis"), 5: (1, "selected")}
 
 
+def test_selector_ids_may_come_again_on_other_coordinates(spark):
+    coords = spark.createDataFrame([("c", 0, 500.0), ("d", 3, 7.0), ("d", 4, 8.0)], "channel string, idx int, value double")
+    wanted = spark.createDataFrame([(1, "c", 500.0), (1, "d", 7.0), (2, "c", 1.0), (2, "d", 8.0)], "selector_id int, channel string, value double")
+    got = {(r["selector_id"], r["channel"]): (r["matches"], r["idx"], r["status"]) for r in selection.select_level(coords, wanted, ["channel"]).collect()}
+    assert got == {(1, "c"): (1, 0, "selected"), (1, "d"): (1, 3, "selected"), (2, "c"): (0, -1, "no_match"), (2, "d"): (1, 4, "selected")}
+
+
 def test_selectors_of_all_sizes_and_kinds(spark):
     """Against comparing each selector with each coordinate; a selector has two cells at most."""
     rng = np.random.default_rng(5)
