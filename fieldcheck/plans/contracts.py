@@ -241,7 +241,7 @@ FORM = """'[{"name":"variable","label":"Pick ' || p_size || '","help":"","type":
        ) u(input, title, description, label, help, widget, required, options, default_value, constraints, constraint_values, item_constraints)""",
 )
 def extract_options(t: Tables) -> DataFrame:
-    docs = t.read("part").select(F.col("p_partkey").alias("dataset"), F.expr(PROCESS).alias("process"), F.expr(FORM).alias("form"))
+    docs = t.spread("part", "p_partkey").select(F.col("p_partkey").alias("dataset"), F.expr(PROCESS).alias("process"), F.expr(FORM).alias("form"))
     return inventory.extract_options(docs).withColumn("options", F.array_join("options", "|"))
 
 
