@@ -264,7 +264,7 @@ def layout_tables(t: Tables) -> DataFrame:
         WHERE regexp_matches(coalesce(n.key, ''), '(?i)(^|_)(api_?key|key|token|secret|password|authorization)($|_)') AND v NOT IN ('null', '""', '', '[]', '{{}}')""",
 )
 def sensitive_keys(t: Tables) -> DataFrame:
-    docs = t.read("part").select("p_partkey", F.expr(LAYOUT).alias("layout"))
+    docs = t.spread("part", "p_partkey").select("p_partkey", F.expr(LAYOUT).alias("layout"))
     return inventory.sensitive_keys(docs, "p_partkey", "layout")
 
 
