@@ -16,7 +16,7 @@ def tasks(df):
 
 @pytest.mark.parametrize(
     "name, rows",
-    [("extract_options", "input = 'size'"), ("sensitive_keys", "path = '$.body.secret_token'")],
+    [("extract_options", "input = 'size'"), ("layout_tables", "table_id = 'main_variables'"), ("sensitive_keys", "path = '$.body.secret_token'")],
 )
 def test_one_split_of_documents_is_read_by_many_tasks(spark, name, rows):
     assert tasks(entry.queries()[name](spark, SF).filter(rows)) > 1
