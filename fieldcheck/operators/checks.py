@@ -109,20 +109,18 @@ def profile_tags(
     return F.sort_array(F.array_distinct(F.array_compact(F.concat(base, dataset_tags))))
 
 
-def check_plan(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Checks whose required tags are all among the profile's tags.
+def check_plan(profiles: DataFrame, catalog: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Checks whose required tags are all among the profile's tags, with the columns `also` of the profile.
 
-    Containment as an equi-join on single tags and a count, instead of testing every profile
-    against every check.
+    A check is found by an equi-join on one of its tags; the others are looked up in the profile's row, so
+    nothing is grouped and a task holds one row at a time.
     """
-    need = catalog.select("check_id", "layer", "role", F.size("tags").alias("_n"), F.explode("tags").alias("tag"))
-    have = profiles.select("profile_id", F.explode(F.array_distinct("tags")).alias("tag"))
+    need = catalog.select("check_id", "layer", "role", F.col("tags").alias("_need"), F.element_at("tags", -1).alias("_tag"))
+    have = profiles.select("profile_id", *also, F.col("tags").alias("_tags"), F.explode(F.array_distinct("tags")).alias("_tag"))
     return (
-        have.join(need, "tag")
-        .groupBy("profile_id", "check_id", "layer", "role", "_n")
-        .agg(F.count(F.lit(1)).alias("_hit"))
-        .filter(F.col("_hit") == F.col("_n"))
-        .select("profile_id", "check_id", "layer", "role")
+        have.join(need.filter(F.size("_need") > 0), "_tag")
+        .filter(F.size(F.array_except("_need", "_tags")) == 0)
+        .select("profile_id", *also, "check_id", "layer", "role")
     )
 
 

@@ -26,7 +26,7 @@ plan AS (SELECT profile_id, check_id, layer, role FROM tags JOIN catalog USING (
 def profiles(t: Tables) -> DataFrame:
     grid = F.col("c_nationkey") % 2 == 0
     data_class = F.when(grid, "regular_rectilinear_grid").otherwise("station_time_series")
-    return t.read("customer").select(
+    return t.spread("customer", "c_custkey").select(
         F.col("c_custkey").alias("profile_id"),
         data_class.alias("data_class"),
         "c_acctbal",
@@ -65,7 +65,7 @@ MANDATORY = checks.values_sql([(c,) for c in checks.MANDATORY_CORE])
 def mandatory_gates(t: Tables) -> DataFrame:
     """Plans that lost a gate by hand, and emitted checks a plan does not cover."""
     p = profiles(t)
-    plan = checks.check_plan(p, checks.catalog_table(t.spark)).join(p.select("profile_id", "c_acctbal"), "profile_id")
+    plan = checks.check_plan(p, checks.catalog_table(t.spark), also=["c_acctbal"])
     lost = ((F.col("check_id") == "security.secret_scan") & (F.col("c_acctbal") < 0)) | (
         (F.col("layer") == "data_class") & (F.col("c_acctbal") > 9000)
     )

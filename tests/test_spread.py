@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from fieldcheck.operators import checks
+from fieldcheck.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +22,13 @@ def tasks(df):
 )
 def test_one_split_of_documents_is_read_by_many_tasks(spark, name, rows):
     assert tasks(entry.queries()[name](spark, SF).filter(rows)) > 1
+
+
+def test_a_plan_is_found_without_grouping_its_rows(spark):
+    """Grouped rows of all profiles stood in one task's memory; tags may be repeated and in any order."""
+    plan = entry.queries()["check_plan"](spark, SF)
+    assert "Aggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    p = spark.createDataFrame([(1, 7, ["b", "a", "b"]), (2, 8, ["b"]), (3, 9, [])], "profile_id int, seen int, tags array<string>")
+    c = spark.createDataFrame([("ab", "l", "r", ["a", "b"]), ("b", "l", "r", ["b"]), ("none", "l", "r", [])], "check_id string, layer string, role string, tags array<string>")
+    got = checks.check_plan(p, c, also=["seen"]).collect()
+    assert sorted((r["profile_id"], r["seen"], r["check_id"]) for r in got) == [(1, 7, "ab"), (1, 7, "b"), (2, 8, "b")]
