@@ -125,17 +125,23 @@ def check_plan(profiles: DataFrame, catalog: DataFrame, also: Sequence[str] = ()
 
 
 def gate_problems(profiles: DataFrame, plan: DataFrame, emitted: DataFrame) -> DataFrame:
-    """Mandatory gates missing from a plan and emitted checks no hard gate of the plan covers."""
-    gates = plan.filter(F.col("role") == "hard_gate").select("profile_id", "check_id").distinct()
+    """Mandatory gates missing from a plan and emitted checks no hard gate of the plan covers.
+
+    The gates of a plan are folded to one row a profile, which the catalog bounds; both sides look them up there.
+    """
+    gates = plan.filter(F.col("role") == "hard_gate").groupBy("profile_id").agg(F.collect_set("check_id").alias("_gates"))
+    held = F.coalesce("_gates", F.array().cast("array<string>"))
     semantic = F.lit(None).cast("string")
     for kind, gate in SEMANTIC_GATES.items():
         semantic = F.when(F.col("data_class") == kind, gate).otherwise(semantic)
     required = F.array_compact(F.concat(F.array(*[F.lit(c) for c in MANDATORY_CORE]), F.array(semantic)))
-    must = profiles.select("profile_id", F.explode(required).alias("check_id"))
     key = ["profile_id", "check_id"]
-    lacking = must.join(gates, key, "left_anti").withColumn("problem", F.lit("mandatory_missing"))
-    foreign = emitted.select(*key).distinct().join(gates, key, "left_anti").withColumn("problem", F.lit("outside_plan"))
-    return lacking.unionByName(foreign)
+    must = profiles.select("profile_id", required.alias("_must")).join(gates, "profile_id", "left")
+    lacking = must.select("profile_id", F.explode(F.array_except("_must", held)).alias("check_id"))
+    sent = emitted.select(*key).distinct().join(gates, "profile_id", "left")
+    foreign = sent.filter(~F.coalesce(F.array_contains("_gates", F.col("check_id")), F.lit(False))).select(*key)
+    problem = lambda df, name: df.withColumn("problem", F.lit(name))
+    return problem(lacking, "mandatory_missing").unionByName(problem(foreign, "outside_plan"))
 
 
 def instance_problems(instances: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -32,3 +32,16 @@ def test_a_plan_is_found_without_grouping_its_rows(spark):
     c = spark.createDataFrame([("ab", "l", "r", ["a", "b"]), ("b", "l", "r", ["b"]), ("none", "l", "r", [])], "check_id string, layer string, role string, tags array<string>")
     got = checks.check_plan(p, c, also=["seen"]).collect()
     assert sorted((r["profile_id"], r["seen"], r["check_id"]) for r in got) == [(1, 7, "ab"), (1, 7, "b"), (2, 8, "b")]
+
+
+def test_gates_are_one_row_a_profile(spark):
+    """Neither the mandatory gates nor those of the plans are joined as rows of a check each."""
+    problems = entry.queries()["mandatory_gates"](spark, SF)
+    assert "LeftAnti" not in problems._jdf.queryExecution().executedPlan().toString()
+    p = spark.createDataFrame([(1, "station_time_series"), (2, "other")], "profile_id int, data_class string")
+    every = [(1, c, "hard_gate") for c in (*checks.MANDATORY_CORE, "x")] + [(1, "y", "objective")]
+    plan = spark.createDataFrame(every * 2, "profile_id int, check_id string, role string")
+    sent = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (9, "x")], "profile_id int, check_id string")
+    got = [(r["profile_id"], r["check_id"], r["problem"]) for r in checks.gate_problems(p, plan, sent).collect()]
+    lacking = [(1, checks.SEMANTIC_GATES["station_time_series"]), *[(2, c) for c in checks.MANDATORY_CORE]]
+    assert sorted(got) == sorted([(*k, "mandatory_missing") for k in lacking] + [(1, "y", "outside_plan"), (9, "x", "outside_plan")])
