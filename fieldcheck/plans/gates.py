@@ -216,7 +216,7 @@ def mandatory_recall(t: Tables) -> DataFrame:
     o = t.read("orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("dataset"))
     ids = F.array(*[F.lit(i) for i in ALL_IDS])
     planned = (
-        t.read("lineitem")
+        t.spread("lineitem", "l_orderkey")
         .select(F.col("l_orderkey").alias("run_id"), F.element_at(ids, (F.col("l_partkey") % 34 + 1).cast("int")).alias("check_id"))
         .join(o, "run_id")
         .select("run_id", "dataset", "check_id")

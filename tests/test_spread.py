@@ -45,3 +45,8 @@ def test_gates_are_one_row_a_profile(spark):
     got = [(r["profile_id"], r["check_id"], r["problem"]) for r in checks.gate_problems(p, plan, sent).collect()]
     lacking = [(1, checks.SEMANTIC_GATES["station_time_series"]), *[(2, c) for c in checks.MANDATORY_CORE]]
     assert sorted(got) == sorted([(*k, "mandatory_missing") for k in lacking] + [(1, "y", "outside_plan"), (9, "x", "outside_plan")])
+
+
+def test_parts_grow_with_the_lines_of_all_runs(spark, monkeypatch):
+    monkeypatch.setattr(registry, "SPREAD_ROWS", 500, raising=False)
+    assert entry.queries()["mandatory_recall"](spark, SF).rdd.getNumPartitions() >= 6000 // 500
