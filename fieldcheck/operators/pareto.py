@@ -177,24 +177,36 @@ def _bounds(values: np.ndarray, senders: np.ndarray, front: np.ndarray, objectiv
 
 
 def _solved(objectives: Sequence[Objective]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Fronts of a slice, given the largest front that dominates each of its rows from outside."""
+    """Fronts of a slice, given the largest front that dominates each of its rows from outside.
+
+    Rows whose dominators are all done push their front to what they dominate, each of them once.
+    """
 
     def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v, bound = _values(pdf, objectives), pdf["_bound"].to_numpy(np.int64)
-        gain = v[:, None, :] - v[None]
+        v, was = _values(pdf, objectives), pdf["front"].to_numpy(np.int64)
+        front = np.maximum(was, pdf["_bound"].to_numpy(np.int64) + 1)
+        pdf = pdf.drop(columns="_bound")
+        if (front == was).all():
+            return pdf
         floors = _floors(v, objectives)
-        beats = (gain > floors).any(2) & ~(gain < -floors).any(2)
-        front = np.maximum(pdf["front"].to_numpy(np.int64), bound + 1)
-        moved = np.arange(len(v))
-        for _ in range(len(v) + 1):
-            new = np.maximum(front, (beats[moved] * (front[moved, None] + 1)).max(0))
-            moved = np.flatnonzero(new != front)
-            front = new
-            if not len(moved):
-                break
-        else:
+        beats = np.zeros((len(v), len(v)), bool)
+        for i in range(0, len(v), CHUNK):
+            gain = v[i : i + CHUNK, None, :] - v[None]
+            beats[i : i + CHUNK] = (gain > floors).any(2) & ~(gain < -floors).any(2)
+        waits = beats.sum(0)
+        ready = np.flatnonzero(waits == 0)
+        done = len(ready)
+        while len(ready):
+            before = waits.copy()
+            for i in range(0, len(ready), CHUNK):
+                some = ready[i : i + CHUNK]
+                front = np.maximum(front, (beats[some] * (front[some, None] + 1)).max(0))
+                waits = waits - beats[some].sum(0)
+            ready = np.flatnonzero((waits == 0) & (before > 0))
+            done += len(ready)
+        if done < len(v):
             raise RuntimeError("no node of the rest is free of dominators: the floors do not order them")
-        return pdf.assign(_moved=front != pdf["front"].to_numpy(np.int64), front=front).drop(columns="_bound")
+        return pdf.assign(_moved=pdf["_moved"] | bool((front != was).any()), front=front)
 
     return run
 
@@ -209,42 +221,63 @@ def _received(objectives: Sequence[Objective]) -> Callable[[tuple, pd.DataFrame,
     return run
 
 
+def _height(objectives: Sequence[Objective]) -> Column:
+    """Sum of the objectives, each on a scale on which its noise floor is about one: dominators stand higher, nearly always."""
+    scaled = []
+    for o in objectives:
+        v, turn = F.abs(F.col(o.name).cast("double")), o.absolute / o.relative if o.relative else float("inf")
+        near = F.least(v, F.lit(turn)) / o.absolute if o.absolute else F.lit(0.0)
+        far = F.log(F.greatest(v / (turn or 1e-300), F.lit(1.0))) / o.relative if o.relative else F.lit(0.0)
+        scaled.append(F.signum(F.col(o.name).cast("double")) * (near + far) * o.sign if o.absolute or o.relative else F.col(o.name) * o.sign)
+    return reduce(Column.__add__, scaled)
+
+
 def pareto_fronts(points: DataFrame, objectives: Sequence[Objective], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(run_id, node_id, front) with fronts numbered from 1; raises when a run makes no progress.
 
-    A node's front is one more than the largest front of its dominators. Slices, cut along the first
-    objective, solve this among their own rows; then those whose fronts have moved send them to the
-    slices of their run that they may dominate, pair by pair, until no front moves. Dominators mostly
-    come from slices before, so a run of k slices takes some k rounds at most, one of one slice none.
+    A node's front is one more than the largest front of its dominators. Nodes of equal objectives have the
+    same front and are one row. Slices, cut along the sum of the objectives in units of noise, solve this among
+    their own rows. Then the first slice of each run whose fronts have moved sends them to the slices of its run
+    that they may dominate, pair by pair, until none is left that has moved. Dominators nearly always come from
+    slices before, so a slice has its final fronts when it sends them: a run of k slices takes some k rounds and
+    each pair of slices meets about once. Whatever the order is, the end is the same.
     """
     names = [o.name for o in objectives]
-    first = objectives[0]
-    order = F.col(first.name).desc() if first.maximize else F.col(first.name).asc()
-    rows = sliced_runs(points.select(*KEY, *names), [order], slice_rows)
+    copies = points.select("run_id", F.col("node_id").alias("_node"), *[F.col(n).alias(f"_c_{n}") for n in names])
+    single = points.groupBy("run_id", *names).agg(F.min("node_id").alias("node_id")).select(*KEY, *names)
+    rows = sliced_runs(single, [_height(objectives).desc()], slice_rows)
     size = rows.count()
     schema = StructType([*rows.schema.fields]).add("front", "long").add("_moved", "boolean")
-    solve = lambda df: pinned(df.groupBy("run_id", SLICE).applyInPandas(_solved(objectives), schema).select(*schema.names))
-    state = solve(rows.withColumns({"front": F.lit(0).cast("long"), "_bound": F.lit(0).cast("long")}))
-    boxes = rows.groupBy("run_id", SLICE).agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))])
+    slice_ = ["run_id", SLICE]
+    solve = lambda df: pinned(df.groupBy(*slice_).applyInPandas(_solved(objectives), schema).select(*schema.names))
+    none = {"front": F.lit(0).cast("long"), "_moved": F.lit(False), "_bound": F.lit(0).cast("long")}
+    state = solve(rows.withColumns(none))
+    boxes = rows.groupBy(*slice_).agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))])
     ways = pinned(_ways(boxes, objectives))
     while not ways.isEmpty():
-        moved = state.groupBy("run_id", SLICE).agg(F.max("_moved").alias("_m"), F.max("front").alias("_f")).filter("_m")
-        if moved.isEmpty():
+        waiting = state.filter("_moved").groupBy("run_id").agg(F.min(SLICE).alias("_from"), F.max("front").alias("_f"))
+        turn = pinned(waiting)
+        highest = turn.agg(F.max("_f")).first()[0]
+        if highest is None:
             break
-        if moved.agg(F.max("_f")).first()[0] > size:
+        if highest > size:
             raise RuntimeError("no node of the rest is free of dominators: the floors do not order them")
-        live = ways.join(moved.select("run_id", F.col(SLICE).alias("_from")), ["run_id", "_from"])
+        turn = turn.drop("_f")
+        live = ways.join(turn, ["run_id", "_from"])
         sent = state.withColumnRenamed(SLICE, "_from").join(live, ["run_id", "_from"])
         met = state.toDF(*["_to" if c == SLICE else c for c in state.columns]).join(live.toDF(*live.columns), ["run_id", "_to"])
         pair = ["run_id", "_from", "_to"]
         bounds = (
             sent.groupBy(*pair).cogroup(met.groupBy(*pair))
-            .applyInPandas(_received(objectives), points.select(*KEY).schema.add("_bound", "long"))
+            .applyInPandas(_received(objectives), single.select(*KEY).schema.add("_bound", "long"))
             .groupBy(*KEY).agg(F.max("_bound").alias("_bound"))
         )
-        now = state.drop("_moved").join(bounds, KEY, "left").withColumn("_bound", F.coalesce("_bound", F.lit(0).cast("long")))
-        state = solve(now)
-    return state.select(*KEY, "front")
+        now = state.join(bounds, KEY, "left").join(turn, "run_id", "left")
+        still = F.col("_moved") & ~F.coalesce(F.col(SLICE) == F.col("_from"), F.lit(False))
+        state = solve(now.withColumns({"_moved": still, "_bound": F.coalesce("_bound", F.lit(0).cast("long"))}).drop("_from"))
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_c_{n}")) for n in names])
+    found = state.select(F.col("run_id").alias("_run"), *names, "front")
+    return copies.join(found, F.col("run_id").eqNullSafe(F.col("_run")) & same).select("run_id", F.col("_node").alias("node_id"), "front")
 
 
 def _ways(boxes: DataFrame, objectives: Sequence[Objective]) -> DataFrame:

@@ -159,3 +159,21 @@ def test_focus_schedule_is_the_weighted_round_robin(spark):
 def test_objective_cycle(spark):
     got = pareto.objective_cycle(spark.range(1, 6).select(F.col("id").alias("iteration")), ["a", "b"]).orderBy("iteration")
     assert [r["targets"] for r in got.collect()] == ["a", "b", "a", "b", "a"]
+
+
+def test_fronts_take_a_round_a_slice_and_copies_none(spark, monkeypatch):
+    """Slices send once, in the order of their noise-scaled sums; sixty copies of a node are one row."""
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"run_id": "hot", "node_id": np.arange(240), "a": rng.normal(5, 1, 240), "b": rng.normal(5, 1, 240)})
+    two = (Objective("a", True, 0.2, 0.0), Objective("b", False, 0.2, 0.0))
+    want = brute_fronts({int(r.node_id): (r.a, r.b) for r in frame.itertuples()}, two)
+    kept = []
+    real = pareto.pinned
+    monkeypatch.setattr(pareto, "pinned", lambda df: kept.append(1) or real(df))
+    fronts = lambda df, n: {r["node_id"]: r["front"] for r in pareto.pareto_fronts(spark.createDataFrame(df), two, n).collect()}
+    assert fronts(frame, 40) == want
+    assert len(kept) <= 3 + 2 * 7 + 1
+    kept.clear()
+    many = pd.concat([frame.assign(node_id=frame.node_id + 1000 * i) for i in range(60)])
+    assert fronts(many, 4096) == {k + 1000 * i: f for k, f in want.items() for i in range(60)}
+    assert len(kept) <= 3
