@@ -2,7 +2,8 @@
 
 Two sets with Jaccard >= t share a token among their rarest |x| - ceil(t |x|) + 1 tokens, so only
 sets that meet in such a token are compared, and of these only pairs whose token places leave room for
-the overlap. Copies of one token set are one row from the start.
+the overlap. Copies of one token set are one row from the start, and tokens are numbers: a dictionary, joined
+once, holds the texts, so what is kept and what pairs carry is 8 bytes a token.
 Only the earliest match is wanted: each bucket first offers a few early members, the earliest of each hash
 class, which answers every member of a cluster of near copies; a set goes on to the rest of its buckets only
 while an earlier answer could still hide there. What is left of a bucket is cut into hash blocks, and these
@@ -32,14 +33,15 @@ def earliest_similar(proposals: DataFrame, threshold: float, leaders: int = LEAD
     named = proposals.filter(F.size("tokens") > 0).select(
         "seq", "targets", "paths", F.sort_array(F.array_distinct("tokens")).alias("tokens")
     )
-    signed = pinned(named.withColumn("_sig", F.sha2(F.array_join("tokens", " "), 256)))
-    keyed = signed.groupBy("_sig").agg(F.min("seq").alias("set_id"), F.min_by("tokens", "seq").alias("tokens"))
-    sets = pinned(keyed)
-    members = signed.select("seq", "targets", "paths", "_sig").join(sets.select("_sig", "set_id"), "_sig")
+    # the token texts are read again where they are wanted; only ids and digests of them are kept
+    signed = pinned(named.select("seq", "targets", "paths", F.sha2(F.array_join("tokens", " "), 256).alias("_sig")))
+    keyed = pinned(signed.groupBy("_sig").agg(F.min("seq").alias("set_id")))
+    firsts = keyed.select(F.col("set_id").alias("seq"))
+    sets = numbered_tokens(named.join(firsts, "seq", "left_semi").select(F.col("seq").alias("set_id"), "tokens"))
+    members = signed.join(keyed, "_sig")
     by_path = pinned(
         members.select("seq", "targets", F.explode(F.array_distinct("paths")).alias("path"), "set_id")
     )
-    sets = sets.select("set_id", "tokens")
     first = by_path.groupBy(*GROUP).agg(F.min("seq").alias("gid"))
     postings = pinned(first.join(prefixes(sets, threshold), "set_id"))
     best = first.join(earliest_group(postings, sets, threshold, leaders, block), GROUP, "left").withColumn(
@@ -54,17 +56,20 @@ def earliest_similar(proposals: DataFrame, threshold: float, leaders: int = LEAD
     return answers.groupBy("seq").agg(F.min("earlier").alias("earlier")).filter(F.col("earlier").isNotNull())
 
 
+def numbered_tokens(sets: DataFrame) -> DataFrame:
+    """(set_id, tokens) with a number for each token, the rarest first, rarest by the number of sets holding them."""
+    each = sets.select("set_id", F.explode("tokens").alias("text"))
+    spread = each.groupBy("text").agg(F.count(F.lit(1)).alias("df"))
+    known = pinned(spread.withColumn("token", F.monotonically_increasing_id()))
+    ordered = each.join(known, "text").groupBy("set_id").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("_t"))
+    return pinned(ordered.select("set_id", F.col("_t")["token"].alias("tokens")))
+
+
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(set_id, size, place, token) of the rarest tokens of each set, rarest by the number of sets holding them."""
-    each = sets.select("set_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    spread = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rare = (
-        each.join(spread, "token")
-        .groupBy("set_id", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_t"))
-    )
+    """(set_id, size, place, token) of the rarest tokens of each set, which has them in that order."""
+    sized = sets.withColumn("size", F.size("tokens"))
     keep = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    return rare.select("set_id", "size", F.posexplode(F.slice("_t", F.lit(1), keep)["token"]).alias("place", "token"))
+    return sized.select("set_id", "size", F.posexplode(F.slice("tokens", F.lit(1), keep)).alias("place", "token"))
 
 
 def earliest_group(postings: DataFrame, sets: DataFrame, threshold: float, leaders: int, block: int = BLOCK) -> DataFrame:

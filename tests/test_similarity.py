@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from fieldcheck.operators import similarity
 from fieldcheck.operators.similarity import earliest_similar
 
 
@@ -33,3 +34,15 @@ def test_matches_brute_force_with_a_hot_cluster(spark, threshold, leaders, block
     df = spark.createDataFrame(rows, "seq long, targets string, paths array<string>, tokens array<string>")
     got = {r["seq"]: r["earlier"] for r in earliest_similar(df, threshold, leaders, block).collect()}
     assert got == brute(rows, threshold)
+
+
+def test_nothing_kept_holds_token_texts(spark, monkeypatch):
+    """Checkpoints of whole token sets, uncompressed, were most of the disk; a row that comes twice is one set."""
+    kept = []
+    real = similarity.pinned
+    monkeypatch.setattr(similarity, "pinned", lambda df: kept.append(df.dtypes) or real(df))
+    words = [f"word{i}" for i in range(20)]
+    data = [(1, "t", ["p"], words), (2, "t", ["p"], words[:19]), (2, "t", ["p"], words[:19]), (3, "t", ["p"], words[10:]), (4, "u", ["p"], words)]
+    df = spark.createDataFrame(data, "seq long, targets string, paths array<string>, tokens array<string>")
+    assert {(r["seq"], r["earlier"]) for r in earliest_similar(df, 0.72).collect()} == {(2, 1)}
+    assert kept and all(kind != "array<string>" for types in kept for name, kind in types if name != "paths")
