@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcheck.functions.columns import flags
-from fieldcheck.operators.ordered import CHUNK, chunked, exact_quantiles
+from fieldcheck.operators.ordered import CHUNK, chunked, exact_quantiles, quantiles_of
 from fieldcheck.session import pinned
 
 MAX_REPAIRS = 3
@@ -225,25 +225,20 @@ def throughput_summary(passes: DataFrame, keys: Sequence[str], warmup: int) -> D
     )
 
 
-def measured_long(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(
-        list(keys), list(names), "measure", "measured"
-    )
-
-
 def variation(repetitions: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Minimum, median, maximum and relative span of every measure; span 0 for a zero median."""
-    q = exact_quantiles(measured_long(repetitions, keys, names), [*keys, "measure"], "measured", {"median": 0.5})
+    found = quantiles_of(repetitions, keys, names, {"median": 0.5})
+    each = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("_q")) for c in names])
+    q = found.select(*keys, F.inline(each)).filter(F.col("_q").isNotNull()).select(*keys, "measure", "_q.*")
     span = F.when(F.col("median") == 0, 0.0).otherwise((F.col("maximum") - F.col("minimum")) / F.abs("median"))
     return q.select(*keys, "measure", "minimum", "median", "maximum", span.alias("relative_span"))
 
 
 def median_objectives(repetitions: DataFrame, keys: Sequence[str], names: Sequence[str], whole: Sequence[str] = ()) -> DataFrame:
     """One row per key with the median of every measure; those in `whole` are truncated."""
-    q = exact_quantiles(measured_long(repetitions, keys, names), [*keys, "measure"], "measured", {"median": 0.5})
-    wide = q.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("measure") == n, F.col("median"))).alias(n) for n in names], F.max("n").alias("repetitions")
-    )
+    q = quantiles_of(repetitions, keys, names, {"median": 0.5})
+    most = F.array_max(F.array(*[F.col(f"{n}.n") for n in names]))
+    wide = q.select(*keys, *[F.col(f"{n}.median").alias(n) for n in names], most.alias("repetitions")).filter("repetitions > 0")
     return wide.withColumns({n: F.col(n).cast("long") for n in whole}) if whole else wide
 
 

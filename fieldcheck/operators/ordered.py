@@ -3,7 +3,7 @@
 A plain window sends a whole partition key to one task. Here rows are range partitioned on
 (keys, order), so a hot key is spread over as many slices as its rows need. Each slice is
 scanned alone and the totals of the slices before it, one small row per (key, slice), are
-added afterwards.
+added afterwards. Quantiles of keys that have few rows need no slices.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from fieldcheck.session import pinned
 
 SLICE = "_slice"
 
+#: Rows up to which the values of a key are held as lists.
+LIGHT_ROWS = 4096
 
 #: Numbers that one row is expanded to at a time.
 CHUNK = 4096
@@ -94,20 +96,59 @@ def ranked(
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, plus `n`, `minimum` and `maximum`.
-
-    Rows are first folded to (key, value, count), so repeated values cost one row; the running
-    count then finds the two order statistics around each position. Missing values are left out.
-    """
+    """Exact linear-interpolated quantiles per key, plus `n`, `minimum` and `maximum`; keys without values are left out."""
     if not keys:
         whole = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs)
         return whole.drop("_all")
-    v = F.col(value)
-    folded = (
-        df.filter(v.isNotNull() & ~F.isnan(v.cast("double")))
-        .groupBy(*keys, v.cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    return quantiles_of(df, keys, [value], probs).filter(F.col(value).isNotNull()).select(*keys, f"{value}.*")
+
+
+def quantiles_of(df: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """A row per key with a struct for each of `values`: `n`, `minimum`, `maximum` and the exact quantiles, or null.
+
+    Missing values are left out. Nearly all keys have few rows: their values are sorted lists of LIGHT_ROWS numbers at
+    most, after one shuffle. Rows of larger keys are only counted there and go through slices, which no key can fill.
+    """
+    there = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") + 0.0).alias(c) for c in values}
+    rows = pinned(df.select(*keys, *there.values()))
+    large = pinned(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > LIGHT_ROWS).drop("_rows"))
+    if large.isEmpty():
+        return _listed_quantiles(rows, keys, values, probs)
+    right = large.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
+    light = _listed_quantiles(rows.join(right, same, "left_anti"), keys, values, probs)
+    long = rows.join(right, same, "left_semi").unpivot(list(keys), list(values), "_of", "_value")
+    cut = _sliced_quantiles(long, [*keys, "_of"], "_value", probs)
+    found = F.struct("n", "minimum", "maximum", *probs)
+    return light.unionByName(cut.groupBy(*keys).agg(*[F.max(F.when(F.col("_of") == c, found)).alias(c) for c in values]))
+
+
+def _listed_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """`quantiles_of` for keys whose values fit into a list."""
+    lists = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in values])
+    out = []
+    for c in values:
+        n = F.size(c)
+        at = lambda pos, c=c: F.get(F.col(c), pos.cast("int"))
+        found = []
+        for name, p in probs.items():
+            pos = F.lit(float(p)) * (n - 1)
+            lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+            found.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+        ends = (n.cast("long").alias("n"), at(F.lit(0)).alias("minimum"), at(n - 1).alias("maximum"))
+        out.append(F.when(n > 0, F.struct(*ends, *found)).alias(c))
+    return lists.select(*keys, *out)
+
+
+def _sliced_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+) -> DataFrame:
+    """Quantiles of keys of any size; a key without values has no row.
+
+    Rows are first folded to (key, value, count), so repeated values cost one row; the running
+    count then finds the two order statistics around each position.
+    """
+    folded = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     cut = sliced(folded, keys, ["_v"])
     totals = cut.groupBy(*keys, SLICE).agg(F.sum("_c").alias("_t"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     every = Window.partitionBy(*keys)

@@ -57,6 +57,51 @@ def test_null_keys_are_kept(spark):
     assert q == {None: 6.0, "a": 1.0}
 
 
+@pytest.mark.parametrize("most", [4096, 9, 0])
+def test_only_large_keys_go_through_slices(spark, monkeypatch, most):
+    """All measures of a key share its rows; only values of large keys are sorted by range."""
+    rng = np.random.default_rng(6)
+    key = np.where(np.arange(600) < 300, -1, rng.integers(0, 60, 600))
+    frame = pd.DataFrame({"key": key, "a": rng.normal(0, 1, 600), "b": rng.integers(-3, 3, 600).astype(float)})
+    df = spark.createDataFrame(frame).select(
+        F.when(F.col("key") != 7, F.col("key")).alias("key"),
+        F.when(F.col("key") == 9, None).when(F.col("key") % 2 == 0, float("nan")).otherwise(F.col("a")).alias("a"),
+        F.when(F.col("key") != 9, F.col("b")).alias("b"),
+    )
+    monkeypatch.setattr(ordered, "LIGHT_ROWS", most, raising=False)
+    through, real = [], ordered.sliced
+    monkeypatch.setattr(ordered, "sliced", lambda d, *a: through.append(d.agg(F.sum("_c")).first()[0]) or real(d, *a))
+    probs = {"q1": 0.25, "median": 0.5}
+    got = {r["key"]: r.asDict(recursive=True) for r in ordered.quantiles_of(df, ["key"], ["a", "b"], probs).collect()}
+    counts, values = frame.groupby("key").size(), 0
+    for k, part in frame.groupby("key"):
+        row = got.pop(None if k == 7 else k, None)
+        for name in ("a", "b"):
+            gone = k == 9 or (name == "a" and k % 2 == 0)
+            values += 0 if gone or counts[k] <= most else len(part)
+            if gone:
+                assert row is None or row[name] is None
+                continue
+            want = {"n": len(part), "minimum": part[name].min(), "maximum": part[name].max(), "q1": np.percentile(part[name], 25), "median": part[name].median()}
+            assert row[name] == pytest.approx(want)
+    assert not got and sum(through) == values
+
+
+def test_medians_of_small_keys_pin_each_row_once(spark, monkeypatch):
+    """Rows were a row a measure, sorted by range and kept, before."""
+    from fieldcheck.operators import experiments
+
+    def not_here(*_):
+        raise AssertionError("sorted by range")
+
+    monkeypatch.setattr(ordered, "sliced", not_here)
+    df = spark.createDataFrame([(1, 2.0, None), (1, 3.0, 8.5), (2, None, None), (None, 1.0, 9.9)], "k int, a double, b double")
+    got = experiments.median_objectives(df, ["k"], ["a", "b"], whole=["b"]).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 2.5, 8, 2), (None, 1.0, 9, 1)]
+    spans = experiments.variation(df, ["k"], ["a", "b"]).collect()
+    assert sorted(map(tuple, spans), key=str) == [(1, "a", 2.0, 2.5, 3.0, 0.4), (1, "b", 8.5, 8.5, 8.5, 0.0), (None, "a", 1.0, 1.0, 1.0, 0.0), (None, "b", 9.9, 9.9, 9.9, 0.0)]
+
+
 def test_numbered_has_no_long_array(spark):
     df = spark.createDataFrame([("a", 0), ("b", 1), ("c", ordered.CHUNK), ("d", ordered.CHUNK + 1), ("e", 3 * ordered.CHUNK**2 // 2), ("f", -3)], "k string, n long")
     got = {r["k"]: (r["n"], r["lo"], r["hi"], r["c"]) for r in ordered.numbered(df, F.col("n"), "i").groupBy("k", "n").agg(
