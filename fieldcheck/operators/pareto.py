@@ -26,6 +26,10 @@ from fieldcheck.session import pinned
 
 #: Nodes of a slice: bounds what a task compares.
 SLICE_ROWS = 4096
+#: Nodes of a slice of fronts: each slice of a run is a round of jobs, which the driver has to hold.
+FRONT_ROWS = 32_768
+#: Pairs of nodes that are compared at once.
+TILE = (128, 4096)
 MERGE_ROWS = 100_000
 CHUNK = 500
 SALTS = 32
@@ -165,21 +169,39 @@ def first_front(points: DataFrame, objectives: Sequence[Objective]) -> DataFrame
     return dominated_flags(points, objectives).filter(~F.col("dominated")).select(*KEY)
 
 
+def _tiles(senders: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Two lists of row numbers in pieces that are compared at once."""
+    for i in range(0, len(senders), TILE[0]):
+        for j in range(0, len(rows), TILE[1]):
+            yield senders[i : i + TILE[0]], rows[j : j + TILE[1]]
+
+
+def _beats(senders: np.ndarray, values: np.ndarray, floors: np.ndarray) -> np.ndarray:
+    """Which sender (row) dominates which of the values (column)."""
+    better = np.zeros((len(senders), len(values)), bool)
+    worse = better.copy()
+    for k in range(values.shape[1]):
+        gain = senders[:, k, None] - values[None, :, k]
+        better |= gain > floors[None, :, k]
+        worse |= gain < -floors[None, :, k]
+    return better & ~worse
+
+
 def _bounds(values: np.ndarray, senders: np.ndarray, front: np.ndarray, objectives: Sequence[Objective]) -> np.ndarray:
     """For each row the largest front of the senders that dominate it, 0 without any."""
     floors = _floors(values, objectives)
     out = np.zeros(len(values), np.int64)
-    for i in range(0, len(senders), CHUNK):
-        gain = senders[i : i + CHUNK, None, :] - values[None]
-        beats = (gain > floors).any(2) & ~(gain < -floors).any(2)
-        out = np.maximum(out, (beats * front[i : i + CHUNK, None]).max(0))
+    for some, rows in _tiles(np.arange(len(senders)), np.arange(len(values))):
+        beats = _beats(senders[some], values[rows], floors[rows])
+        out[rows] = np.maximum(out[rows], (beats * front[some, None]).max(0))
     return out
 
 
 def _solved(objectives: Sequence[Objective]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """Fronts of a slice, given the largest front that dominates each of its rows from outside.
 
-    Rows whose dominators are all done push their front to what they dominate, each of them once.
+    Rows whose dominators are all done push their front to what they dominate, each of them once. Pairs are
+    compared tile by tile, first to count the dominators and again to push, and are not kept.
     """
 
     def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,23 +211,19 @@ def _solved(objectives: Sequence[Objective]) -> Callable[[tuple, pd.DataFrame],
         if (front == was).all():
             return pdf
         floors = _floors(v, objectives)
-        beats = np.zeros((len(v), len(v)), bool)
-        for i in range(0, len(v), CHUNK):
-            gain = v[i : i + CHUNK, None, :] - v[None]
-            beats[i : i + CHUNK] = (gain > floors).any(2) & ~(gain < -floors).any(2)
-        waits = beats.sum(0)
-        ready = np.flatnonzero(waits == 0)
-        done = len(ready)
-        while len(ready):
-            before = waits.copy()
-            for i in range(0, len(ready), CHUNK):
-                some = ready[i : i + CHUNK]
-                front = np.maximum(front, (beats[some] * (front[some, None] + 1)).max(0))
-                waits = waits - beats[some].sum(0)
-            ready = np.flatnonzero((waits == 0) & (before > 0))
-            done += len(ready)
-        if done < len(v):
-            raise RuntimeError("no node of the rest is free of dominators: the floors do not order them")
+        left = np.arange(len(v))
+        waits = np.zeros(len(v), np.int64)
+        for some, rows in _tiles(left, left):
+            waits[rows] += np.count_nonzero(_beats(v[some], v[rows], floors[rows]), axis=0)
+        while len(left):
+            ready = waits[left] == 0
+            free, left = left[ready], left[~ready]
+            if not len(free):
+                raise RuntimeError("no node of the rest is free of dominators: the floors do not order them")
+            for some, rows in _tiles(free, left):
+                beats = _beats(v[some], v[rows], floors[rows])
+                front[rows] = np.maximum(front[rows], (beats * (front[some, None] + 1)).max(0))
+                waits[rows] -= np.count_nonzero(beats, axis=0)
         return pdf.assign(_moved=pdf["_moved"] | bool((front != was).any()), front=front)
 
     return run
@@ -232,7 +250,7 @@ def _height(objectives: Sequence[Objective]) -> Column:
     return reduce(Column.__add__, scaled)
 
 
-def pareto_fronts(points: DataFrame, objectives: Sequence[Objective], slice_rows: int = SLICE_ROWS) -> DataFrame:
+def pareto_fronts(points: DataFrame, objectives: Sequence[Objective], slice_rows: int = FRONT_ROWS) -> DataFrame:
     """(run_id, node_id, front) with fronts numbered from 1; raises when a run makes no progress.
 
     A node's front is one more than the largest front of its dominators. Nodes of equal objectives have the

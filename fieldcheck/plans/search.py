@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldcheck.operators import pareto
 from fieldcheck.plans.registry import Tables, query
+from fieldcheck.session import pinned
 
 OBJECTIVES = (pareto.Objective("throughput", True, 0.25, 0.005), pareto.Objective("bytes", False, 65536.0, 0.005))
 
@@ -119,7 +120,8 @@ def dist(a: str, b: str) -> str:
         SELECT run_id, node_id, 1 AS step FROM s1 UNION ALL SELECT run_id, node_id, 2 FROM s2 UNION ALL SELECT run_id, node_id, 3 FROM r3 WHERE r = 1""",
 )
 def branch_seeds(t: Tables) -> DataFrame:
-    points = t.points()
+    # every step reads the points; pinned, the lines are folded once
+    points = pinned(t.points())
     best = pareto.lexicographic_rank(points, OBJECTIVES).filter(F.col("rank") == 1)
     return pareto.branch_seeds(points, pareto.pareto_fronts(points, OBJECTIVES), best, OBJECTIVES, WIDTH)
 

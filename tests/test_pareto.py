@@ -177,3 +177,32 @@ def test_fronts_take_a_round_a_slice_and_copies_none(spark, monkeypatch):
     many = pd.concat([frame.assign(node_id=frame.node_id + 1000 * i) for i in range(60)])
     assert fronts(many, 4096) == {k + 1000 * i: f for k, f in want.items() for i in range(60)}
     assert len(kept) <= 3
+
+
+def test_thousands_of_nodes_take_no_rounds(spark, monkeypatch):
+    """Each round leaves plans and classes with the driver; a slice holds what took two of them, and no pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    frame = pd.DataFrame({"run_id": "hot", "node_id": np.arange(4500), "a": rng.normal(5, 1, 4500), "b": rng.normal(5, 1, 4500)})
+    two = (Objective("a", True, 0.2, 0.01), Objective("b", False, 0.2, 0.0))
+    kept = []
+    real = pareto.pinned
+    monkeypatch.setattr(pareto, "pinned", lambda df: kept.append(1) or real(df))
+    fronts = lambda *n: {r["node_id"]: r["front"] for r in pareto.pareto_fronts(spark.createDataFrame(frame), two, *n).collect()}
+    got = fronts()
+    assert len(kept) == 3
+    assert got == fronts(2000) and len(kept) > 6
+    tracemalloc.start()
+    solved = pareto._solved(two)((), frame.assign(front=0, _moved=False, _bound=0))
+    assert tracemalloc.get_traced_memory()[1] < 4500**2
+    tracemalloc.stop()
+    assert dict(zip(solved["node_id"], solved["front"], strict=True)) == got
+
+
+def test_floors_that_do_not_order_are_refused():
+    """Three nodes that dominate each other in a ring, and one that is free."""
+    three = tuple(Objective(n, True, 1.0, 0.0) for n in "abc")
+    ring = pd.DataFrame([(0.0, 0.0, 0.0), (1.2, -0.9, -0.9), (0.3, 0.3, -1.8), (9.0, 9.0, 9.0)], columns=list("abc"))
+    with pytest.raises(RuntimeError, match="free of dominators"):
+        pareto._solved(three)((), ring.assign(run_id="r", node_id=range(4), front=0, _moved=False, _bound=0))
