@@ -88,9 +88,9 @@ def with_policy(
 
 
 def relative_error(diff: Column, reference: Column) -> Column:
-    """abs / |reference|; 0 for 0/0 and infinite when only the reference is zero."""
+    """abs / |reference|; 0 for 0/0, infinite when only the reference is zero, null where a side has no value."""
     inf = F.lit(float("inf"))
-    return F.when(reference == 0, F.when(diff == 0, 0.0).otherwise(inf)).otherwise(diff / F.abs(reference))
+    return F.when(reference == 0, F.when(diff == 0, 0.0).when(diff > 0, inf)).otherwise(diff / F.abs(reference))
 
 
 def mismatch_summary(diff: DataFrame, channel: str | None = None) -> DataFrame:

@@ -113,6 +113,14 @@ def test_summary_of_infinite_relative_error(spark):
     assert (row["value_mismatches"], row["infinite_relative"], row["max_abs_error"], row["max_rel_error"]) == (2, 1, 2.0, 0.5)
 
 
+def test_a_zero_reference_without_a_candidate_has_no_relative_error(spark):
+    """Neither a lost value nor a lost key is an infinite error."""
+    a = table(spark, [("s", DAY, "f", None), ("s", DAY, "g", 2.0)])
+    b = table(spark, [("s", DAY, "f", 0.0), ("t", DAY, "f", 0.0), ("s", DAY, "g", 1.0)])
+    row = diff.mismatch_summary(diff.diff_values(a, b, station.KEY)).first()
+    assert (row["missingness_mismatches"], row["missing_keys"], row["infinite_relative"], row["max_rel_error"]) == (1, 1, 0, 1.0)
+
+
 def test_hot_repeated_key_is_one_row(spark):
     many = spark.range(5000).select(F.lit("s").alias("station_id"), F.lit(DAY).cast("timestamp_ntz").alias("timestamp"), F.lit("f").alias("field_id"), F.col("id").cast("double").alias("value"))
     out = diff.diff_values(many, table(spark, [("s", DAY, "f", 1.0)]), station.KEY).collect()
