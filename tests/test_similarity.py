@@ -46,3 +46,27 @@ def test_nothing_kept_holds_token_texts(spark, monkeypatch):
     df = spark.createDataFrame(data, "seq long, targets string, paths array<string>, tokens array<string>")
     assert {(r["seq"], r["earlier"]) for r in earliest_similar(df, 0.72).collect()} == {(2, 1)}
     assert kept and all(kind != "array<string>" for types in kept for name, kind in types if name != "paths")
+
+
+def test_a_pair_is_looked_at_in_few_rows(spark, monkeypatch):
+    """Whole token sets travel only for pairs whose sketches agree, the earliest of a set first; nothing kept is wider than its sets."""
+    asked = []
+    real = similarity.similar
+    monkeypatch.setattr(similarity, "similar", lambda pairs, sets, t: asked.append(pairs.count()) or real(pairs, sets, t))
+    near = [[f"word{i}" for i in range(100)] + [f"own{n}"] for n in range(12)]  # a cluster
+    far = [[f"rare{n}", "rare"] + [f"text{n}_{i}" for i in range(100)] for n in range(12)]  # one rare token in common
+    data = [(n, "t", ["p"], words) for n, words in enumerate(near + far)]
+    df = spark.createDataFrame(data, "seq long, targets string, paths array<string>, tokens array<string>")
+    assert {(r["seq"], r["earlier"]) for r in earliest_similar(df, 0.72).collect()} == {(n, 0) for n in range(1, 12)}
+    assert asked[0] == 11 and not any(asked[1:])
+
+
+def test_hashed_and_listed_tokens_are_the_same_sets(spark, monkeypatch):
+    """Without a list of frequent tokens, and with one that holds some of them."""
+    data = [(n, "t", ["p"], [f"w{(n * 7 + i * i) % 23}" for i in range(12)]) for n in range(60)]
+    rows = [(s, t, p, list(dict.fromkeys(k))) for s, t, p, k in data]
+    df = spark.createDataFrame(rows, "seq long, targets string, paths array<string>, tokens array<string>")
+    for common in (0, 11, 1 << 19):
+        monkeypatch.setattr(similarity, "COMMON", common)
+        assert {r["seq"]: r["earlier"] for r in earliest_similar(df, 0.5).collect()} == brute(rows, 0.5)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
