@@ -2,7 +2,7 @@
 
 Two sets with Jaccard >= t share a token among their rarest |x| - ceil(t |x|) + 1 tokens, so only
 sets that meet in such a token are compared, and of these only pairs whose token places leave room for
-the overlap and whose sketches of 512 bits do not differ in more bits than the sets may differ in tokens.
+the overlap and whose sketches of 2,048 bits do not differ in more bits than the sets may differ in tokens.
 What is rare is told to the tasks by a list of the most frequent tokens, so the sets are put in order where they
 are read: a token is its place in that list, 4 bytes, or a hash of 64 bits. Copies of one token set are one row from
 there on.
@@ -28,7 +28,7 @@ LEADERS, BLOCK = 8, 512
 #: Tokens in the list that is broadcast, at most (6 MB).
 COMMON = 1 << 19
 #: Bits of a set's sketch.
-SKETCH = 512
+SKETCH = 2048
 GROUP = ["group", "set_id"]
 
 
